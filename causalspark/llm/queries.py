@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import contamination
 from .language_id import language_id
+from .minhash import near_duplicates
+
+
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+    return parts.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +36,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash_dedup": op1_minhash_dedup,
         "op6_language_id": op6_language_id,
         "op10_decontamination": op10_decontamination,
     }
