@@ -11,6 +11,7 @@ from .common import table
 from .decontaminate import contamination
 from .language_id import language_id
 from .minhash import near_duplicates
+from .pii import BASE, count_kind, rendered, train, with_spans
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = with_spans(docs, train(docs))
+    counts = [count_kind(F.col("base"), k).alias(f"n_{kind}") for k, (kind, _, _) in enumerate(BASE)]
+    return found.select("doc_id", *counts, F.sha2(rendered(F.col("base")).cast("binary"), 256).alias("base_sha256"), rendered(F.col("spans")).alias("spans"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(
@@ -38,5 +46,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
         "op6_language_id": op6_language_id,
+        "op7_pii": op7_pii,
         "op10_decontamination": op10_decontamination,
     }
