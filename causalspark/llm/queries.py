@@ -11,6 +11,7 @@ from .common import table
 from .decontaminate import contamination
 from .language_id import language_id
 from .minhash import near_duplicates
+from .packing import pack
 from .pii import BASE, count_kind, rendered, train, with_spans
 
 
@@ -30,6 +31,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(rendered(F.col("base")).cast("binary"), 256).alias("base_sha256"), rendered(F.col("spans")).alias("spans"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(
@@ -47,5 +52,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_minhash_dedup": op1_minhash_dedup,
         "op6_language_id": op6_language_id,
         "op7_pii": op7_pii,
+        "op9_packing": op9_packing,
         "op10_decontamination": op10_decontamination,
     }
