@@ -176,3 +176,30 @@ def language_id(docs: DataFrame) -> DataFrame:
     return predict_language(docs, profiles).select(
         "doc_id", F.coalesce(held_out("doc_id"), F.lit(True)).alias("held_out"), "lang_pred", "score"
     )
+
+
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose language is known or can be told; a null lang is filled with the prediction.
+
+    Rejects texts that are null or have no letter. If docs has no row to learn from, texts
+    with a letter stay with their null lang.
+    """
+    profiles = learn_profiles(docs.where(~held_out("doc_id")))
+    names = sorted(profiles)
+    matrix = np.array([profiles[n] for n in names], dtype=np.float32) if names else None
+    text_at, lang_at = docs.columns.index("text"), docs.columns.index("lang")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors = letter_vectors()
+        for b in batches:
+            keep, lang = [], []
+            for t, old in zip(b.column(text_at), b.column(lang_at), strict=True):
+                v = text_vector(t.as_py(), vectors)
+                keep.append(v is not None)
+                old = old.as_py()
+                lang.append(names[int(np.argmax(matrix @ v))] if old is None and names and v is not None else old)
+            columns = list(b.columns)
+            columns[lang_at] = pa.array(lang, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names).filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
