@@ -14,6 +14,7 @@ from .language_id import language_id
 from .minhash import near_duplicates
 from .packing import pack
 from .pii import BASE, count_kind, rendered, train, with_spans
+from .spans import remove_repeated_spans
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,10 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
         "op2_html_text": op2_html_text,
+        "op3_sentence_spans": op3_sentence_spans,
         "op6_language_id": op6_language_id,
         "op7_pii": op7_pii,
         "op9_packing": op9_packing,
