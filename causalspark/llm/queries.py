@@ -15,6 +15,7 @@ from .minhash import near_duplicates
 from .packing import pack
 from .pii import BASE, count_kind, rendered, train, with_spans
 from .spans import remove_repeated_spans
+from .topk import integer_vectors, top_k
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +42,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(rendered(F.col("base")).cast("binary"), 256).alias("base_sha256"), rendered(F.col("spans")).alias("spans"))
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -70,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sentence_spans": op3_sentence_spans,
         "op6_language_id": op6_language_id,
         "op7_pii": op7_pii,
+        "op8_topk": op8_topk,
         "op9_packing": op9_packing,
         "op10_decontamination": op10_decontamination,
         "pipeline": pipeline,
