@@ -2,24 +2,38 @@
 
 The tokenizer splits at white space, lower-cases, and encodes each run of letters, single
 digit or run of other characters for itself. So the ids of a text are those of its parts in
-order, and a part that was met before need not be encoded again. Texts with characters
-outside a range where this is certain are encoded whole.
+order, and a part that was met before need not be encoded again; nor need a run between
+white space be split again. Texts with characters outside a range where this is certain are
+encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 _PLAIN = re.compile(r"[^\x09-\x0d\x20-\x7e¡«»¿-ɏ]|<\|")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-#: Words that one Python worker remembers; then it starts afresh.
+#: Parts, and runs between white space, that one Python worker remembers; then it starts afresh.
 REMEMBERED = 500_000
 EOS = 2
 
 
+class _Runs(dict):
+    """Maps a run between white space to its ids."""
+
+    def __init__(self, parts: WordEncoder) -> None:
+        super().__init__()
+        self.parts = parts
+
+    def __missing__(self, run: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        out = self[run] = b"".join(map(self.parts.__getitem__, _PARTS.findall(run.lower())))
+        return out
+
+
 class WordEncoder(dict):
     """Maps a part to its ids, as bytes of little-endian unsigned 32-bit numbers."""
 
@@ -29,6 +43,7 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.runs = _Runs(self)
 
     def __missing__(self, part: str) -> bytes:
         if len(self) >= REMEMBERED:
@@ -37,7 +52,7 @@ class WordEncoder(dict):
         return out
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text (null: none) and the end-of-text id."""
@@ -46,7 +61,7 @@ class WordEncoder(dict):
         elif _PLAIN.search(text):
             ids = self.whole(text)
         else:
-            ids = b"".join(map(self.__getitem__, _PARTS.findall(text.lower())))
+            ids = b"".join(map(self.runs.__getitem__, text.split()))
         return ids + EOS.to_bytes(4, "little")
 
 
