@@ -16,6 +16,8 @@ from .packing import pack
 from .pii import BASE, count_kind, rendered, train, with_spans
 from .spans import remove_repeated_spans
 from .topk import integer_vectors, top_k
+from .toxicity import toxicity
+from .training_order import read_shards, write_shards
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +33,14 @@ def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_shards(spark, write_shards(table(spark, sf_dir, "documents"))).drop("ids")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
@@ -74,6 +84,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_minhash_dedup": op1_minhash_dedup,
         "op2_html_text": op2_html_text,
         "op3_sentence_spans": op3_sentence_spans,
+        "op4_training_order": op4_training_order,
+        "op5_toxicity": op5_toxicity,
         "op6_language_id": op6_language_id,
         "op7_pii": op7_pii,
         "op8_topk": op8_topk,
