@@ -12,6 +12,8 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,9 +126,6 @@ def _normal(seed: int, mean: Column, sd: Column) -> Column:
 
 def _gamma(shape: Column, scale: Column, seed: int) -> Column:
     """Marsaglia and Tsang's method in a Pandas function: the seed and a row's own draw make it repeatable."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("double")
     def draw(u: pd.Series, k: pd.Series, s: pd.Series) -> pd.Series:
         bits = (u.to_numpy() * 2**53).astype(np.uint64)
@@ -136,7 +135,14 @@ def _gamma(shape: Column, scale: Column, seed: int) -> Column:
 
 
 def _random(name: str, a: list[Column], seed: int) -> Column | None:
-    u = F.rand(seed)
+    """A draw; formulas that need the uniform number more than once get it bound, as each call would draw anew."""
+    known = _draw(name, a, seed, F.rand(seed))
+    if known is None or name not in ("Laplace", "Triangular", "Discrete", "DiscError", "Mixture", "Split"):
+        return known
+    return F.element_at(F.transform(F.array(F.rand(seed)), lambda u: _draw(name, a, seed, u)), 1)
+
+
+def _draw(name: str, a: list[Column], seed: int, u: Column) -> Column | None:
     match name, len(a):
         case "random", 0:
             return u
@@ -198,19 +204,17 @@ def _random(name: str, a: list[Column], seed: int) -> Column | None:
             return out
         case "Split", n if n and n % 2 == 0:
             sizes = [a[k + 1] - a[k] for k in range(0, n, 2)]
-            total, at = reduce(lambda x, y: x + y, sizes), u * reduce(lambda x, y: x + y, sizes)
-            out, before = a[-1], total
-            for k in range(n // 2 - 1, -1, -1):
-                before = before - sizes[k]
+            total = reduce(lambda x, y: x + y, sizes)
+            at = u * total
+            out, before = a[0] + at, F.lit(0.0)
+            for k in range(1, n // 2):
+                before = before + sizes[k - 1]
                 out = F.when(at >= before, a[2 * k] + at - before).otherwise(out)
             return F.when(total > 0, out)
     return None
 
 
 def _poisson(mean: Column, seed: int) -> Column:
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("double")
     def draw(u: pd.Series, m: pd.Series) -> pd.Series:
         bits = (u.to_numpy() * 2**53).astype(np.uint64)

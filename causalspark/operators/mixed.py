@@ -19,6 +19,10 @@ from .search import skeleton
 from .transforms import bootstrap, standardize, subsamples
 
 
+#: Rows that the driver may hold for the discrete conditionals of a mixed model.
+LOCAL_ROWS = 200_000
+
+
 @dataclass
 class MixedModel:
     """Pairwise model: beta among continuous columns, rho of continuous with levels, phi among levels."""
@@ -50,10 +54,10 @@ class MixedModel:
 def mgm(df: DataFrame, continuous: list[str], discrete: list[str], lam: tuple[float, float, float], rounds: int = 200, tol: float = 1e-5) -> MixedModel:
     """Penalised pseudo-likelihood by accelerated proximal gradient steps.
 
-    Penalties are for continuous pairs, continuous-discrete pairs and discrete pairs. The data
-    enter through their distinct discrete cells alone: for each, the count, the sums and the
-    products of the standardised continuous columns. These come from one pass, and every
-    gradient is computed from them, so that the rounds do not touch the rows again.
+    Penalties are for continuous pairs, continuous-discrete pairs and discrete pairs. The
+    conditionals of continuous columns only need the count, sums and products of each discrete
+    cell, from one pass. Those of discrete columns need the rows: up to LOCAL_ROWS they are
+    held by the driver as arrays; beyond, every evaluation is a pass that returns sums.
     """
     p, q = len(continuous), len(discrete)
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in continuous], *[F.col(c).cast("string").alias(c) for c in discrete]).dropna()
@@ -96,15 +100,60 @@ def mgm(df: DataFrame, continuous: list[str], discrete: list[str], lam: tuple[fl
     block = np.zeros((width, width), dtype=bool)
     for j in range(q):
         block[at[j] : at[j + 1], at[j] : at[j + 1]] = True
+    number = [{v: at[j] + k for k, v in enumerate(names[j])} for j in range(q)]
+
+    def discrete_part(x: np.ndarray, code: np.ndarray, w) -> tuple:
+        """(negative log-likelihood of the discrete columns, its sums for alpha2, rho, phi) over rows with level numbers."""
+        f = np.triu(w["phi"], 1)
+        f = np.where(block, 0, f + f.T)
+        base = w["alpha2"] + x @ w["rho"]
+        for j in range(q):
+            base = base + f[code[:, j]]
+        diff = np.zeros_like(base)
+        value = 0.0
+        for j in range(q):
+            s = slice(at[j], at[j + 1])
+            score = base[:, s] - base[:, s].max(axis=1, keepdims=True)
+            prob = np.exp(score)
+            norm = prob.sum(axis=1, keepdims=True)
+            own = code[:, j] - at[j]
+            value -= float((score[np.arange(len(x)), own] - np.log(norm[:, 0])).sum())
+            prob /= norm
+            prob[np.arange(len(x)), own] -= 1
+            diff[:, s] = prob
+        d = np.zeros((len(x), width))
+        for j in range(q):
+            d[np.arange(len(x)), code[:, j]] = 1
+        return value, diff.sum(axis=0), x.T @ diff, d.T @ diff
+
+    def arrays(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[:p]], axis=1) if p else np.zeros((b.num_rows, 0))
+        return x, np.array([[number[j][v] for v in c.to_pylist()] for j, c in enumerate(b.columns[p:])]).reshape(q, -1).T
+
+    held = [arrays(b) for b in z.toArrow().to_batches()] if q and total <= LOCAL_ROWS else None
+
+    def level_sums(w) -> tuple:
+        if held is not None:
+            parts = [discrete_part(x, c, w) for x, c in held if len(x)]
+        else:
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    if b.num_rows:
+                        v, *g = discrete_part(*arrays(b), w)
+                        yield pa.RecordBatch.from_arrays([pa.array([v]), *(pa.array([m.tobytes()], pa.binary()) for m in g)], names=["v", "a", "r", "f"])
+
+            shapes = ((width,), (p, width), (width, width))
+            parts = [(r["v"], *(np.frombuffer(r[k]).reshape(shape) for k, shape in zip("arf", shapes, strict=True))) for r in z.mapInArrow(run, "v double, a binary, r binary, f binary").toLocalIterator()]
+        return tuple(sum(x[k] for x in parts) / total for k in range(4))
+
     sizes = {"beta": (p, p), "betad": (p,), "rho": (p, width), "phi": (width, width), "alpha1": (p,), "alpha2": (width,)}
 
     def smooth(w):
         """(negative pseudo-log-likelihood for each row, gradient)."""
-        beta, d, rho, phi = w["beta"], w["betad"], w["rho"], w["phi"]
+        beta, d, rho = w["beta"], w["betad"], w["rho"]
         b = np.triu(beta, 1)
         b = b + b.T
-        f = np.triu(phi, 1)
-        f = np.where(block, 0, f + f.T)
         g = {k: np.zeros(v) for k, v in sizes.items()}
         value = 0.0
         if p:
@@ -124,20 +173,10 @@ def mgm(df: DataFrame, continuous: list[str], discrete: list[str], lam: tuple[fl
             # with the residual x - e / d: derivative in d of d (x - e / d)^2 / 2 is (x^2 - e^2 / d^2) / 2
             e2 = np.einsum("kij,is,js->ks", second, b, b) + 2 * (mean @ b) * lin + lin * lin
             g["betad"] = (count[:, None] * (np.einsum("kii->ki", second) - e2 / d**2) / 2).sum(axis=0) - 1 / (2 * d)
-        for j in range(q):
-            s = slice(at[j], at[j + 1])
-            # given x, the scores of the levels are linear in x; cells stand for their mean
-            score = w["alpha2"][s] + mean @ rho[:, s] + dummy @ f[:, s]
-            top = score.max(axis=1, keepdims=True)
-            prob = np.exp(score - top)
-            norm = prob.sum(axis=1, keepdims=True)
-            prob /= norm
-            value -= float((count * ((score * dummy[:, s]).sum(axis=1) - top[:, 0] - np.log(norm[:, 0]))).sum())
-            diff = count[:, None] * (prob - dummy[:, s])
-            g["alpha2"][s] = diff.sum(axis=0)
-            g["rho"][:, s] += mean.T @ diff
-            part = dummy.T @ diff
-            g["phi"][:, s] += part
+        if q:
+            extra, ga, gr, gf = level_sums(w)
+            value += extra
+            g["alpha2"], g["rho"], g["phi"] = ga, g["rho"] + gr, gf
         gphi = g["phi"] + g["phi"].T
         g["phi"] = np.where(block, 0, np.triu(gphi, 1))
         return value, g
