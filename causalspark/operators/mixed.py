@@ -16,11 +16,11 @@ from ..plans.suffstats import SuffStats, _merge
 from .graph import Graph
 from .independence import FisherZ
 from .search import skeleton
-from .transforms import bootstrap, standardize, subsamples
+from .transforms import standardize, subsamples
 
 
 #: Rows that the driver may hold for the discrete conditionals of a mixed model.
-LOCAL_ROWS = 200_000
+LOCAL_ROWS = 1_000_000
 
 
 @dataclass
@@ -61,7 +61,7 @@ def mgm(df: DataFrame, continuous: list[str], discrete: list[str], lam: tuple[fl
     """
     p, q = len(continuous), len(discrete)
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in continuous], *[F.col(c).cast("string").alias(c) for c in discrete]).dropna()
-    z = standardize(rows, continuous) if continuous else rows
+    z = (standardize(rows, continuous) if continuous else rows).cache()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
@@ -100,7 +100,7 @@ def mgm(df: DataFrame, continuous: list[str], discrete: list[str], lam: tuple[fl
     block = np.zeros((width, width), dtype=bool)
     for j in range(q):
         block[at[j] : at[j + 1], at[j] : at[j + 1]] = True
-    number = [{v: at[j] + k for k, v in enumerate(names[j])} for j in range(q)]
+    number = [{v: int(at[j]) + k for k, v in enumerate(names[j])} for j in range(q)]
 
     def discrete_part(x: np.ndarray, code: np.ndarray, w) -> tuple:
         """(negative log-likelihood of the discrete columns, its sums for alpha2, rho, phi) over rows with level numbers."""
@@ -128,9 +128,11 @@ def mgm(df: DataFrame, continuous: list[str], discrete: list[str], lam: tuple[fl
 
     def arrays(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[:p]], axis=1) if p else np.zeros((b.num_rows, 0))
-        return x, np.array([[number[j][v] for v in c.to_pylist()] for j, c in enumerate(b.columns[p:])]).reshape(q, -1).T
+        return x, np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[p:]], axis=1)
 
-    held = [arrays(b) for b in z.toArrow().to_batches()] if q and total <= LOCAL_ROWS else None
+    code = [F.element_at(F.create_map(*[F.lit(v) for pair in n.items() for v in pair]), F.col(d)).cast("int").alias(d) for d, n in zip(discrete, number, strict=True)]
+    coded = z.select(*continuous, *code).cache()
+    held = [arrays(b) for b in coded.toArrow().to_batches()] if q and total <= LOCAL_ROWS else None
 
     def level_sums(w) -> tuple:
         if held is not None:
@@ -144,7 +146,7 @@ def mgm(df: DataFrame, continuous: list[str], discrete: list[str], lam: tuple[fl
                         yield pa.RecordBatch.from_arrays([pa.array([v]), *(pa.array([m.tobytes()], pa.binary()) for m in g)], names=["v", "a", "r", "f"])
 
             shapes = ((width,), (p, width), (width, width))
-            parts = [(r["v"], *(np.frombuffer(r[k]).reshape(shape) for k, shape in zip("arf", shapes, strict=True))) for r in z.mapInArrow(run, "v double, a binary, r binary, f binary").toLocalIterator()]
+            parts = [(r["v"], *(np.frombuffer(r[k]).reshape(shape) for k, shape in zip("arf", shapes, strict=True))) for r in coded.mapInArrow(run, "v double, a binary, r binary, f binary").toLocalIterator()]
         return tuple(sum(x[k] for x in parts) / total for k in range(4))
 
     sizes = {"beta": (p, p), "betad": (p,), "rho": (p, width), "phi": (width, width), "alpha1": (p,), "alpha2": (width,)}
@@ -220,32 +222,52 @@ def mgm(df: DataFrame, continuous: list[str], discrete: list[str], lam: tuple[fl
         w, t, last = new, t_next, trial
         if done:
             break
+    coded.unpersist()
+    z.unpersist()
     return MixedModel(list(continuous), list(discrete), levels, w["beta"], w["rho"], w["phi"], last)
 
 
 # stability
 
 
-def replicate_stats(rows: DataFrame, cols: list[str], weight: str | None = None) -> dict[int, SuffStats]:
-    """Statistics of each value of `replicate`, weighted or not, from one pass."""
+def _unit(ids: np.ndarray, replicate: int, seed: int) -> np.ndarray:
+    """Numbers in [0, 1) from row ids, a replicate and a seed (SplitMix64)."""
+    x = ids.astype(np.uint64) + np.uint64((replicate * 0x9E3779B97F4A7C15 + seed * 0xD1B54A32D192ED03 + 1) % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2.0**53
+
+
+def bootstrap_stats(df: DataFrame, cols: list[str], replicates: int, seed: int, row_id: str, share: float | None = None) -> dict[int, SuffStats]:
+    """Statistics of weighted replicates from one pass over the rows, which are never copied.
+
+    A row's weight in a replicate comes from a hash of its id: Poisson(1), or 1 with
+    probability `share` for subsamples; so a repeated task draws the same.
+    """
     p = len(cols)
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {}
+        held = [(0, np.zeros(p), np.zeros((p, p)))] * replicates
         for b in batches:
-            rep, w = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[2:]], axis=1)
-            for r in np.unique(rep):
-                y, v = x[rep == r], w[rep == r]
-                n = int(v.sum())
-                mu = v @ y / n
-                held[int(r)] = _merge(held.get(int(r), (0, np.zeros(p), np.zeros((p, p)))), (n, mu, (y - mu).T @ ((y - mu) * v[:, None])))
-        keys = list(held)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([held[k][0] for k in keys], pa.int64()), *(pa.array([held[k][j].tobytes() for k in keys], pa.binary()) for j in (1, 2))], names=["r", "n", "mean", "m2"])
+            if not b.num_rows:
+                continue
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]], axis=1)
+            for r in range(replicates):
+                u = _unit(ids, r, seed)
+                w = np.searchsorted(steps, u, side="right").astype(float) if share is None else (u < share).astype(float)
+                n = int(w.sum())
+                if n:
+                    mu = w @ x / n
+                    d = x - mu
+                    held[r] = _merge(held[r], (n, mu, (d * w[:, None]).T @ d))
+        for r, (n, mean, m2) in enumerate(held):
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([n], pa.int64()), pa.array([mean.tobytes()]), pa.array([m2.tobytes()])], names=["r", "n", "mean", "m2"])
 
     out: dict = {}
-    picked = rows.select(F.col("replicate").cast("int"), (F.col(weight) if weight else F.lit(1)).cast("double"), *[F.col(c).cast("double") for c in cols]).dropna()
-    for r in picked.mapInArrow(run, "r int, n long, mean binary, m2 binary").toLocalIterator():
+    rows = df.select(F.col(row_id).cast("long"), *[F.col(c).cast("double") for c in cols]).dropna()
+    for r in rows.mapInArrow(run, "r int, n long, mean binary, m2 binary").toLocalIterator():
         out[r["r"]] = _merge(out.get(r["r"], (0, np.zeros(p), np.zeros((p, p)))), (r["n"], np.frombuffer(r["mean"]), np.frombuffer(r["m2"]).reshape(p, p)))
     return {k: SuffStats(list(cols), n, m2 / max(n - 1, 1), mean) for k, (n, mean, m2) in sorted(out.items())}
 
@@ -263,7 +285,7 @@ def edge_frequencies(stats: dict[int, SuffStats], alpha: float, depth: int = -1)
 
 def bootstrap_frequencies(df: DataFrame, cols: list[str], replicates: int, seed: int, row_id: str, alpha: float = 0.05) -> DataFrame:
     """(src, dst, frequency) over weighted bootstrap replicates."""
-    f = edge_frequencies(replicate_stats(bootstrap(df.select(row_id, *cols), replicates, seed, row_id), cols, "weight"), alpha)
+    f = edge_frequencies(bootstrap_stats(df, cols, replicates, seed, row_id), alpha)
     return df.sparkSession.createDataFrame([(a, b, v) for (a, b), v in sorted(f.items())], "src string, dst string, frequency double")
 
 
@@ -276,7 +298,7 @@ def stars(df: DataFrame, cols: list[str], alphas: list[float], row_id: str, repl
     """The largest alpha, from the largest down, whose instability does not pass the threshold; the smallest if none."""
     n = df.count()
     share = min(0.75, 10 * math.sqrt(n) / n)
-    stats = replicate_stats(subsamples(df.select(row_id, *cols), replicates, share, seed, row_id), cols)
+    stats = bootstrap_stats(df, cols, replicates, seed, row_id, share)
     for a in sorted(alphas, reverse=True):
         if stability(edge_frequencies(stats, a), len(cols)) <= threshold:
             return a
