@@ -1,4 +1,4 @@
-"""Pure measurement clusters from vanishing tetrads, and exploratory factors."""
+"""Pure measurement clusters from vanishing differences of covariance products of four variables, and exploratory factors."""
 
 from __future__ import annotations
 
@@ -8,17 +8,17 @@ import numpy as np
 
 from ..plans.suffstats import SuffStats
 from .graph import Graph
-from .independence import tetrad_differences
+from .independence import quartet_differences
 
 
 def _pure(stats: SuffStats, quad, alpha: float) -> bool:
-    return all(p > alpha for _, p in tetrad_differences(stats, *quad))
+    return all(p > alpha for _, p in quartet_differences(stats, *quad))
 
 
 def one_factor_clusters(stats: SuffStats, alpha: float = 0.01) -> list[list[str]]:
-    """Sets of four and more variables of which every four's tetrads vanish.
+    """Sets of four and more variables of which every four's differences vanish.
 
-    A triple is pure if with every other correlated variable its tetrads vanish; pure triples
+    A triple is pure if with every other correlated variable its differences vanish; pure triples
     seed clusters that grow by what keeps all quartets pure, and the largest come first.
     """
     names = stats.names
@@ -54,7 +54,7 @@ def measurement_graph(clusters: list[list[str]]) -> Graph:
 
 
 def purify(stats: SuffStats, clusters: list[list[str]], alpha: float = 0.01) -> list[list[str]]:
-    """Clusters less the variables that spoil most tetrads, one after the other, until none fails."""
+    """Clusters less the variables that spoil most quartets, one after the other, until none fails."""
     out = []
     for c in clusters:
         c = list(c)

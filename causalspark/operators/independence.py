@@ -318,8 +318,8 @@ def canonical_rank(stats: SuffStats, xs: list[str], ys: list[str], alpha: float
     return min(p, q)
 
 
-def tetrad_differences(stats: SuffStats, a: str, b: str, c: str, d: str) -> list[tuple[float, float]]:
-    """(difference, Wishart p-value) of the three tetrads of four variables."""
+def quartet_differences(stats: SuffStats, a: str, b: str, c: str, d: str) -> list[tuple[float, float]]:
+    """(difference, Wishart p-value) of the three differences of covariance products of four variables."""
     out = []
     for w, x, y, z in ((a, b, c, d), (a, b, d, c), (a, c, d, b)):
         i, j, k, m = (stats.index[v] for v in (w, x, y, z))
