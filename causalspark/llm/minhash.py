@@ -1,18 +1,22 @@
 """MinHash near-duplicates by a signature-coordinate inverted join.
 
-1. Every document becomes a set of hashed word shingles and a signature of COORDINATES
-   minima. Documents with equal sets are one class, whose smallest id goes on.
-2. Classes are posted under each pair of coordinate and value. A pair that no other class has
-   is skipped; a class with fewer than MATCHES shared pairs can match none. The others are
-   posted under their rarest pairs only: two signatures that agree in MATCHES coordinates
-   agree in one of these.
-3. In each posting list, the class with the most collisions (the hub) is compared with the
+1. Every document becomes a set of hashed word shingles and a signature of SCREEN minima.
+   Documents with equal sets are one class, whose smallest id goes on.
+2. Screen: coordinates are taken two by two; a class that shares fewer than SCREEN_MATCHES of
+   these pairs with others can match none and is skipped. The others get signatures of
+   COORDINATES minima.
+3. These are posted under each coordinate and value, without the postings that no other has,
+   and kept under their rarest only: two signatures that agree in MATCHES coordinates agree
+   in one of these.
+4. In each posting list, the class with the most collisions (the hub) is compared with the
    others by counting equal coordinates. Pairs of MATCHES and more are verified on full sets.
-4. Pairs of a list that the links found so far leave in different components are compared
-   too, in blocks; pairs within one component cannot change it and are skipped.
+5. Pairs of a list that the links found so far leave in different components are compared
+   too, in blocks; pairs within one component cannot change it and are skipped. First each
+   class is verified against its best match in every other component of a block; those that
+   this does not link are then verified against all their matches, where they lie.
 
-A pair at Jaccard 0.8 agrees in 35 or fewer of 64 coordinates with a probability of some
-2e-6; that is the only way in which a link can be missed.
+A pair at Jaccard 0.8 fails either bound with a probability of some 1e-5, one above it with
+much less; that is the only way in which a link can be missed.
 """
 
 from __future__ import annotations
@@ -27,10 +31,15 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .components import connected_components
 
-COORDINATES = 64
-MATCHES = 36
-#: Rows of a posting list that are compared at once in step 4.
+SCREEN = 64
+SCREEN_MATCHES = 9
+COORDINATES = 256
+MATCHES = 176
+#: Rows of a posting list that are compared at once in step 5: of those to place, and of the others.
 BLOCK = 128
+OTHERS = 512
+#: Up to so many ids (8 bytes each) are broadcast to pick the screened texts; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 
 _DRAW = np.random.default_rng(20)
 _A = (_DRAW.integers(0, 2**63, COORDINATES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -65,10 +74,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: str | None, powers: _Powers) -> np.ndarray:
-    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased, in order."""
+def word_hashes(text: str | None, powers: _Powers, space: np.ndarray = _SPACE) -> np.ndarray:
+    """64-bit hashes of the words of the text with A-Z lower-cased, in order; `space` has the bytes between words."""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass") if text else b"", dtype=np.uint8)
-    edge = np.diff(_SPACE[data].view(np.int8), prepend=np.int8(1), append=np.int8(1))
+    edge = np.diff(space[data].view(np.int8), prepend=np.int8(1), append=np.int8(1))
     starts, ends = np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
     up, down = powers.upto(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
@@ -90,12 +99,12 @@ def shingle_set(text: str | None, width: int, powers: _Powers) -> np.ndarray:
     return acc[np.concatenate(([True], acc[1:] != acc[:-1]))]
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """COORDINATES 32-bit minima of a set of hashes."""
-    out = np.full(COORDINATES, np.uint64(2**64 - 1))
-    for at in range(0, len(hashes), 2048):
-        part = hashes[at : at + 2048]
-        np.minimum(out, (part[None, :] * _A[:, None] + _B[:, None]).min(axis=1), out=out)
+def signature(hashes: np.ndarray, coordinates: int) -> np.ndarray:
+    """The first so many 32-bit minima of a set of hashes."""
+    a, b = _A[:coordinates, None], _B[:coordinates, None]
+    out = np.full(coordinates, np.uint64(2**64 - 1))
+    for at in range(0, len(hashes), 1024):
+        np.minimum(out, (hashes[None, at : at + 1024] * a + b).min(axis=1), out=out)
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
@@ -111,7 +120,7 @@ def _features(docs: DataFrame, width: int) -> DataFrame:
                 n.append(len(s))
                 f1.append(int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 f2.append(int(_mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-                sig.append(signature(s).tobytes() if len(s) else None)
+                sig.append(signature(s, SCREEN).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sig, pa.binary())],
                 names=["doc_id", "n", "fp1", "fp2", "sig"],
@@ -121,56 +130,98 @@ def _features(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, fp1 long, fp2 long, sig binary")
 
 
-def _postings(classes: DataFrame) -> DataFrame:
-    """(key, doc_id): each class under each of its coordinates; key holds the coordinate and the value."""
+def _postings(classes: DataFrame, coordinates: int, together: int = 1) -> DataFrame:
+    """(key, doc_id): each class under each of its coordinates, or of so many together; key tells places and values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = np.arange(COORDINATES, dtype=np.int64) << 32
+        groups = coordinates // together
+        place = np.arange(groups, dtype=np.uint64) << np.uint64(32)
         for b in batches:
             if b.num_rows:
-                sig = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
-                keys = (sig.astype(np.int64) + place).ravel()
-                ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), COORDINATES)
+                sig = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint32).reshape(-1, groups, together).astype(np.uint64)
+                keys = sig[:, :, 0] + place
+                for k in range(1, together):
+                    keys = _mix(keys) + sig[:, :, k]
+                keys = keys.ravel().view(np.int64)
+                ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), groups)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], names=["key", "doc_id"])
 
     return classes.select("doc_id", "sig").mapInArrow(run, "key long, doc_id long")
 
 
+def _screened(classes: DataFrame) -> DataFrame:
+    """(doc_id) of the classes that share SCREEN_MATCHES pairs of coordinates with others.
+
+    Postings are sorted over all partitions; a posting is shared if a neighbour has its key. A
+    partition's first and last postings may have theirs in the next one and count as shared.
+    """
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, first = None, None, True
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k, d = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            # the last posting so far waits for its right neighbour
+            k, d = (k, d) if key is None else (np.concatenate((key, k)), np.concatenate((ids, d)))
+            same = k[1:] == k[:-1]
+            left = np.concatenate(([first if key is None else before], same))
+            keep = left[:-1] | same
+            first, before, key, ids = False, left[-1], k[-1:], d[-1:]
+            yield pa.RecordBatch.from_arrays([pa.array(d[:-1][keep])], names=["doc_id"])
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(ids)], names=["doc_id"])
+
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = _postings(classes, SCREEN, 2).repartitionByRange(parts, "key", "doc_id").sortWithinPartitions("key", "doc_id")
+    return ordered.mapInArrow(shared, "doc_id long").groupBy("doc_id").agg(F.count("*").alias("m")).where(F.col("m") >= SCREEN_MATCHES).select("doc_id")
+
+
 def _bytes(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width)
 
 
-def _colliding(pairs: DataFrame) -> DataFrame:
-    """(a, b) of the rows of (x, y, mx, my) whose short signatures agree in MATCHES places.
+def _sets(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
+    """(doc_id, n, shingles, sig, mini) of the chosen documents: full sets, signatures, and their lowest bytes."""
 
-    A short signature keeps a byte of each coordinate, so it agrees wherever the whole does.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = _Powers()
+        for b in batches:
+            out = [shingle_set(t.as_py(), width, powers) for t in b.column(1)]
+            sig = [signature(s, COORDINATES) for s in out]
+            ends = np.cumsum([0, *map(len, out)], dtype=np.int32)
+            values = np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0),
+                    pa.array([len(s) for s in out], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64))),
+                    pa.array([x.tobytes() for x in sig], pa.binary()),
+                    pa.array([x.astype(np.uint8).tobytes() for x in sig], pa.binary()),
+                ],
+                names=["doc_id", "n", "shingles", "sig", "mini"],
+            )
+
+    hint = F.broadcast if chosen.count() <= BROADCAST_IDS else (lambda df: df)
+    texts = docs.select("doc_id", "text").join(hint(chosen), "doc_id", "left_semi")
+    return texts.mapInArrow(run, "doc_id long, n long, shingles array<long>, sig binary, mini binary")
+
+
+def _colliding(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in MATCHES coordinates, as far as their lowest bytes tell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 same = (_bytes(b.column(2), COORDINATES) == _bytes(b.column(3), COORDINATES)).sum(axis=1) >= MATCHES
-                x, y = (b.column(k).to_numpy(zero_copy_only=False)[same] for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                yield b.select([0, 1]).filter(pa.array(same))
 
-    return pairs.select("x", "y", "mx", "my").mapInArrow(run, "a long, b long").distinct()
+    x, y = (full.select(F.col("doc_id").alias(k), F.col("mini").alias(f"m{k}")) for k in "ab")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = _Powers()
-        for b in batches:
-            out = [shingle_set(t.as_py(), width, powers).view(np.int64) for t in b.column(1)]
-            ends = np.cumsum([0, *map(len, out)], dtype=np.int32)
-            values = np.concatenate(out) if out else np.empty(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["doc_id", "shingles"])
-
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    full = materialize(
-        docs.select("doc_id", "text").join(needed, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles array<long>"), "minhash-sets"
-    )
     x, y = (full.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
     common = F.size(F.array_intersect("sa", "sb"))
     return (
@@ -182,78 +233,98 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     )
 
 
-def _residual(posted: DataFrame, hubs: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(a, b): colliding pairs of posting lists, without hubs, that lie in different components."""
-    of = lambda c, name: labels.select(F.col("node").alias(c), F.col("component").alias(name))
-    rows = (
-        posted.join(hubs.where("size > 2").select("key", "hub"), "key")
-        .where("doc_id <> hub")
-        .join(of("doc_id", "label"), "doc_id", "left")
-        .join(of("hub", "hub_label"), "hub", "left")
-        .select("key", "doc_id", "n", "mini", F.coalesce("label", "doc_id").alias("label"), (F.coalesce("label", "doc_id") != F.coalesce("hub_label", "hub")).alias("apart"))
-    )
+def _named(rows: DataFrame, labels: DataFrame, col: str, name: str) -> DataFrame:
+    """rows with the component of a column's document; a document without links is its own."""
+    of = labels.select(F.col("node").alias(col), F.col("component").alias(name))
+    return rows.join(of, col, "left").withColumn(name, F.coalesce(name, col))
+
+
+def _apart(posted: DataFrame, hubs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, doc_id, n, label, apart) of the lists, without hubs; apart: in another component than the hub."""
+    rows = posted.select("key", "doc_id", "n").join(hubs.where("size > 2").select("key", "hub"), "key").where("doc_id <> hub")
+    rows = _named(_named(rows, labels, "doc_id", "label"), labels, "hub", "hub_label")
+    return rows.select("key", "doc_id", "n", "label", (F.col("label") != F.col("hub_label")).alias("apart"))
+
+
+def _suspects(posted: DataFrame, failed: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, doc_id, n, label, apart) of the lists with a document of failed (doc_id), which are the apart ones."""
+    rows = posted.select("key", "doc_id", "n").join(failed.withColumn("mark", F.lit(True)), "doc_id", "left")
+    keys = rows.where("mark").select("key").distinct()
+    rows = _named(rows.join(keys, "key"), labels, "doc_id", "label")
+    return rows.select("key", "doc_id", "n", "label", F.coalesce("mark", F.lit(False)).alias("apart"))
+
+
+def _compared(rows: DataFrame, full: DataFrame, percent: int, verify: bool) -> DataFrame:
+    """(o, m): for each apart row its matches in other components of its list, in cells of bounded size.
+
+    Without verify: the best match in each other component of a cell. With verify: a link to
+    each other component of a cell that it has one to, found on the full sets.
+    """
     rows = materialize(rows, "minhash-lists")
-    # only lists with someone outside the hub's component have pairs left
     sizes = materialize(
         rows.groupBy("key").agg(F.sum(F.col("apart").cast("int")).alias("out"), F.sum((~F.col("apart")).cast("int")).alias("within")).where("out > 0 and out + within > 1"),
         "minhash-open",
     )
-    blocks = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int")
+    pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    none = F.array().cast("array<struct<i:int,j:int>>")
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    # apart rows in block i meet apart rows in block j, and others in block j - ob
+    mine = F.concat(
+        F.transform(upto(F.col("ob")), lambda j: pair(F.least(j, F.col("my")), F.greatest(j, F.col("my")))),
+        F.coalesce(F.transform(upto(F.col("ib")), lambda j: pair(F.col("my"), j + F.col("ob"))), none),
+    )
+    theirs = F.transform(upto(F.col("ob")), lambda i: pair(i, F.col("my") + F.col("ob")))
     cells = (
         rows.join(sizes, "key")
-        .withColumn("ob", blocks("out"))
-        .withColumn("ib", F.when(F.col("within") > 0, blocks("within")).otherwise(0))
+        .withColumn("ob", F.ceil(F.col("out") / BLOCK).cast("int"))
+        .withColumn("ib", F.ceil(F.col("within") / OTHERS).cast("int"))
         .withColumn("my", F.pmod(F.xxhash64("doc_id"), F.when(F.col("apart"), F.col("ob")).otherwise(F.col("ib")).cast("long")).cast("int"))
-        # cells (i, j): rows apart in block i meet rows apart in block j >= i, or rows within in block j - ob
-        .withColumn(
-            "cell",
-            F.when(
-                F.col("apart"),
-                F.concat(
-                    F.transform(F.sequence(F.lit(0), F.col("ob") - 1), lambda j: F.struct(F.least(j, F.col("my")).alias("i"), F.greatest(j, F.col("my")).alias("j"))),
-                    F.when(F.col("ib") > 0, F.transform(F.sequence(F.lit(0), F.col("ib") - 1), lambda j: F.struct(F.col("my").alias("i"), (j + F.col("ob")).alias("j")))).otherwise(
-                        F.array().cast("array<struct<i:int,j:int>>")
-                    ),
-                ),
-            ).otherwise(F.transform(F.sequence(F.lit(0), F.col("ob") - 1), lambda i: F.struct(i.alias("i"), (F.col("my") + F.col("ob")).alias("j")))),
-        )
-        .select("key", F.explode("cell").alias("c"), "doc_id", "n", "label", "mini", "apart")
-        .select("key", "c.i", "c.j", "doc_id", "n", "label", "mini", "apart")
+        .select("key", "doc_id", "n", "label", "apart", F.explode(F.when(F.col("apart"), mine).otherwise(theirs)).alias("c"))
+        .join(full.select("doc_id", "mini", (F.col("shingles") if verify else F.lit(None).cast("array<long>")).alias("shingles")), "doc_id")
+        .select("key", "c.i", "c.j", "doc_id", "n", "label", "apart", "mini", "shingles")
     )
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kept = None, []
+    def linked(s: np.ndarray, t: np.ndarray) -> bool:
+        both = len(np.intersect1d(s, t, assume_unique=True))
+        return 100 * both >= percent * (len(s) + len(t) - both)
+
+    def matches(ids, n, label, apart, mini, sets):
+        o, m = [], []
+        for k in np.flatnonzero(apart):
+            at = np.flatnonzero((label != label[k]) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k])))
+            same = (mini[at] == mini[k]).sum(axis=1)
+            good = np.flatnonzero(same >= MATCHES)
+            done = set()
+            for x in good[np.argsort(-same[good], kind="stable")]:
+                if label[at[x]] not in done and (not verify or linked(sets[k], sets[at[x]])):
+                    done.add(label[at[x]])
+                    o.append(ids[k])
+                    m.append(ids[at[x]])
+        return o, m
 
-        def pairs(ids, n, label, mini, apart):
-            out = []
-            for k in np.flatnonzero(apart):
-                ok = (label != label[k]) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k])) & (~apart | (ids > ids[k]))
-                if ok.any():
-                    at = np.flatnonzero(ok)
-                    at = at[(mini[at] == mini[k]).sum(axis=1) >= MATCHES]
-                    out.append(np.stack([np.minimum(ids[at], ids[k]), np.maximum(ids[at], ids[k])]))
-            return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, kept = None, []
 
         def flush():
-            found = pairs(*(np.concatenate(c) for c in zip(*kept, strict=True))) if kept else []
-            both = np.concatenate(found, axis=1) if found else np.empty((2, 0), dtype=np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+            o, m = matches(*(np.concatenate(c) if isinstance(c[0], np.ndarray) else sum(c, []) for c in zip(*kept, strict=True))) if kept else ([], [])
+            return pa.RecordBatch.from_arrays([pa.array(o, pa.int64()), pa.array(m, pa.int64())], names=["o", "m"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            key, i, j, ids, n, label = (b.column(k).to_numpy(zero_copy_only=False) for k in range(6))
-            mini, apart = _bytes(b.column(6), COORDINATES), b.column(7).to_numpy(zero_copy_only=False)
+            key, i, j, ids, n, label, apart = (b.column(k).to_numpy(zero_copy_only=False) for k in range(7))
+            mini = _bytes(b.column(7), COORDINATES)
             cut = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             for s, e in zip([0, *cut], [*cut, len(key)], strict=True):
                 if (cell := (key[s], i[s], j[s])) != last:
                     yield flush()
                     last, kept = cell, []
-                kept.append((ids[s:e], n[s:e], label[s:e], mini[s:e], apart[s:e]))
+                sets = [x.values.to_numpy() for x in b.column(8).slice(s, e - s)] if verify else [None] * int(e - s)
+                kept.append((ids[s:e], n[s:e], label[s:e], apart[s:e], mini[s:e], sets))
         yield flush()
 
-    spread = int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cells.repartition(spread, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a long, b long").distinct()
+    spread = int(full.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(spread, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "o long, m long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -269,13 +340,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     features = materialize(_features(docs, width), "minhash-features")
     linkable = features.where("n > 0 and doc_id is not null")
     copies = materialize(
-        linkable.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "minhash-copies"
+        linkable.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "minhash-copies"
+    )
+    members = materialize(
+        linkable.select("doc_id", "n", "fp1", "fp2").join(copies, ["n", "fp1", "fp2"]).where("rep <> doc_id").select("doc_id", "rep").distinct(), "minhash-members"
     )
-    named = linkable.join(copies.drop("copies"), ["n", "fp1", "fp2"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    members = materialize(named.where("rep <> doc_id").select("doc_id", "rep").distinct(), "minhash-members")
-    classes = materialize(named.where("rep = doc_id").select("doc_id", "n", "sig").dropDuplicates(["doc_id"]), "minhash-classes")
+    classes = linkable.join(members, "doc_id", "left_anti")
+    full = materialize(_sets(docs, materialize(_screened(classes), "minhash-screened"), width), "minhash-sets")
 
-    postings = _postings(classes)
+    postings = _postings(full, COORDINATES)
     shared = postings.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     rare = (
         postings.join(shared, "key")
@@ -284,26 +357,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         .where(F.size("keys") >= MATCHES)
         .select("doc_id", "weight", F.slice("keys", 1, F.size("keys") - (MATCHES - 1)).alias("keys"))
     )
-    mini = _short(classes)
-    posted = materialize(
-        rare.join(mini, "doc_id").select("doc_id", "n", "mini", "weight", F.explode("keys.key").alias("key")), "minhash-posted"
-    )
+    posted = materialize(rare.join(full.select("doc_id", "n"), "doc_id").select("doc_id", "n", "weight", F.explode("keys.key").alias("key")), "minhash-posted")
     hubs = materialize(
-        posted.groupBy("key").agg(F.max(F.struct("weight", F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"), F.col("mini").alias("hub_mini"))).alias("h"), F.count("*").alias("size"))
+        posted.groupBy("key")
+        .agg(F.max(F.struct("weight", F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"))).alias("h"), F.count("*").alias("size"))
         .where("size > 1")
-        .select("key", "size", "h.hub", "h.hub_n", "h.hub_mini"),
+        .select("key", "size", "h.hub", "h.hub_n"),
         "minhash-hubs",
     )
     near_size = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
-    star = _colliding(
-        posted.join(hubs, "key").where(near_size & (F.col("doc_id") != F.col("hub"))).select(F.col("doc_id").alias("x"), F.col("hub").alias("y"), F.col("mini").alias("mx"), F.col("hub_mini").alias("my"))
+    star = (
+        posted.join(hubs, "key")
+        .where(near_size & (F.col("doc_id") != F.col("hub")))
+        .select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
+        .distinct()
     )
-    links = materialize(_verified(materialize(star, "minhash-star"), docs, width, percent), "minhash-links")
+    links = materialize(_verified(materialize(_colliding(star, full), "minhash-star"), full, percent), "minhash-links")
     labels = materialize(connected_components(links), "minhash-labels")
-    rest = materialize(_residual(posted, hubs, labels, percent), "minhash-rest")
-    if rest.take(1):
-        links = links.union(materialize(_verified(rest, docs, width, percent), "minhash-links"))
+    best = materialize(_compared(_apart(posted, hubs, labels), full, percent, False), "minhash-best")
+    pairs = lambda df: df.select(F.least("o", "m").alias("a"), F.greatest("o", "m").alias("b")).distinct()
+    if best.take(1):
+        links = links.union(materialize(_verified(materialize(pairs(best), "minhash-rest"), full, percent), "minhash-links"))
         labels = materialize(connected_components(links), "minhash-labels")
+        left = _named(_named(best, labels, "o", "lo"), labels, "m", "lm").where("lo <> lm")
+        failed = materialize(left.select(F.col("o").alias("doc_id")).distinct(), "minhash-failed")
+        if failed.take(1):
+            more = materialize(pairs(_compared(_suspects(posted, failed, labels), full, percent, True)), "minhash-links")
+            if more.take(1):
+                links = links.union(more)
+                labels = materialize(connected_components(links), "minhash-labels")
     renamed = labels.select(F.col("node").alias("rep"), "component")
     moved = members.join(renamed, "rep", "left").select(F.col("doc_id").alias("member"), F.coalesce("component", "rep").alias("component"))
     component = materialize(moved.union(renamed.select(F.col("rep").alias("member"), "component")), "minhash-components")
@@ -312,18 +394,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
 
 
-def _short(classes: DataFrame) -> DataFrame:
-    """(doc_id, n, mini): the lowest byte of each coordinate."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                low = _bytes(b.column(2), 4 * COORDINATES)[:, ::4]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in low], pa.binary())], names=["doc_id", "n", "mini"])
-
-    return classes.select("doc_id", "n", "sig").mapInArrow(run, "doc_id long, n long, mini binary")
-
-
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row of each group of near-duplicates: that with the group's smallest doc_id.
 
