@@ -36,14 +36,14 @@ def _remove(spark: SparkSession, root: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
+def materialize(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Write df as a Parquet table in the shared folder, in so many files at most, and read it back.
 
     Cuts the lineage in a way that survives lost executors; zstd keeps the disk use low.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:8]}"
-    df.write.option("compression", "zstd").parquet(path)
+    (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
