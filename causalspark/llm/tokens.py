@@ -15,26 +15,45 @@ from array import array
 
 _PLAIN = re.compile(r"[^\x09-\x0d\x20-\x7e¡«»¿-ɏ]|<\|")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-#: Parts, and runs between white space, that one Python worker remembers; then it starts afresh.
-REMEMBERED = 500_000
+#: Parts, and runs between white space, of a generation that one Python worker remembers. When it is
+#: full it becomes the old generation, from which what is met again moves to the new one.
+REMEMBERED = 350_000
 EOS = 2
 
 
-class _Runs(dict):
-    """Maps a run between white space to its ids."""
+class _Remembered(dict):
+    """A mapping that computes what it lacks and keeps what was asked for lately."""
 
-    def __init__(self, parts: WordEncoder) -> None:
+    def __init__(self) -> None:
         super().__init__()
-        self.parts = parts
+        self.old: dict[str, bytes] = {}
 
-    def __missing__(self, run: str) -> bytes:
+    def __missing__(self, key: str) -> bytes:
         if len(self) >= REMEMBERED:
+            self.old = dict(self)
             self.clear()
-        out = self[run] = b"".join(map(self.parts.__getitem__, _PARTS.findall(run.lower())))
+        out = self.old.get(key)
+        if out is None:
+            out = self.compute(key)
+        self[key] = out
         return out
 
+    def compute(self, key: str) -> bytes:
+        raise NotImplementedError
+
 
-class WordEncoder(dict):
+class _Runs(_Remembered):
+    """Maps a run between white space to its ids."""
+
+    def __init__(self, parts: WordEncoder) -> None:
+        super().__init__()
+        self.parts = parts
+
+    def compute(self, run: str) -> bytes:
+        return b"".join(map(self.parts.__getitem__, _PARTS.findall(run.lower())))
+
+
+class WordEncoder(_Remembered):
     """Maps a part to its ids, as bytes of little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str) -> None:
@@ -45,11 +64,8 @@ class WordEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.runs = _Runs(self)
 
-    def __missing__(self, part: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        out = self[part] = self.whole(part)
-        return out
+    def compute(self, part: str) -> bytes:
+        return self.whole(part)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
