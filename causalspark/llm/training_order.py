@@ -93,26 +93,12 @@ def _records(docs: list, texts: list, enc) -> np.ndarray:
     return np.concatenate(blocks)
 
 
-def _pack(records: np.ndarray) -> bytes:
-    """Records compressed; high and low bytes of the ids apart, which compress better so."""
-    ids = np.ascontiguousarray(records["ids"]).view(np.uint8).reshape(-1, 2)
-    head = np.empty(len(records), dtype=np.dtype(_RECORD.descr[:3]))
-    for c in head.dtype.names:
-        head[c] = records[c]
-    return zstandard.ZstdCompressor(level=3).compress(head.tobytes() + ids[:, 0].tobytes() + ids[:, 1].tobytes())
+def _pack(records: np.ndarray, level: int) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(records.tobytes())
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    data = zstandard.ZstdDecompressor().decompress(blob)
-    kind = np.dtype(_RECORD.descr[:3])
-    n = len(data) // _RECORD.itemsize
-    out = np.empty(n, dtype=_RECORD)
-    head = np.frombuffer(data, dtype=kind, count=n)
-    for c in kind.names:
-        out[c] = head[c]
-    low, high = np.frombuffer(data, dtype=np.uint8, offset=n * kind.itemsize).reshape(2, -1).astype(np.uint16)
-    out["ids"] = (low | (high << 8)).reshape(n, LENGTH)
-    return out
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=_RECORD)
 
 
 def write_shards(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, key: int = 1) -> Manifest:
@@ -128,7 +114,7 @@ def write_shards(docs: DataFrame, path: str | None = None, tokenizer: str | None
             for lo in range(0, b.num_rows, BLOB_ROWS):
                 piece = b.slice(lo, BLOB_ROWS)
                 r = _records(piece.column(0).to_pylist(), (t.as_py() for t in piece.column(1)), enc)
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at], pa.int64()), pa.array([len(r)], pa.int64()), pa.array([_pack(r)], pa.binary())], names=["part", "at", "n", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at], pa.int64()), pa.array([len(r)], pa.int64()), pa.array([_pack(r, 6)], pa.binary())], names=["part", "at", "n", "blob"])
                 at += len(r)
 
     blobs = materialize(texts.mapInArrow(tokenise, "part int, at long, n long, blob binary"), "sequences")
@@ -150,7 +136,7 @@ def write_shards(docs: DataFrame, path: str | None = None, tokenizer: str | None
             for k in np.flatnonzero(np.diff(cut)):
                 s = slice(cut[k], cut[k + 1])
                 places = (slots[s] - k * per_shard).astype("<u4").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([places], pa.binary()), pa.array([_pack(records[s])], pa.binary())], names=["shard", "places", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([places], pa.binary()), pa.array([_pack(records[s], 3)], pa.binary())], names=["shard", "places", "blob"])
 
         held, size = [], 0
         for b in batches:
