@@ -1,36 +1,57 @@
-"""Main text of web pages: markup rules, and a suffix array of each host's page streams.
+"""Main text of web pages: a suffix array of each host's page streams, guarded by markup rules.
 
 A page is parsed into blocks. Scripts, styles, menus, headers, footers, sidebars, notices,
 adverts, forms and comments are marked by their elements and class names; an article (else
-a main, else a content container) holds the main text if the page has one. The words of all
-blocks outside such containers are the page's token stream. Streams are concatenated, in
-bounded batches, and their suffixes sorted; suffixes that agree in RUN words form a class.
-The classes of all batches meet in one aggregation by host and words; those found on PAGES
-or more different pages are boilerplate. On pages without a container, words covered by them
-go and unique runs stay.
-
-Defined results: null and empty html give an empty text. Pages of one content count once, so
-that copies of a page do not erase each other. Repeated rows give repeated rows. An empty
-table gives none. Other columns are ignored.
+a main, else a content container) holds the main text if the page has one, else all blocks
+that are not marked. These are the page's kept blocks. The words of all blocks, kept or not,
+are its token stream, with breaks where kept blocks meet others.
+
+A run of RUN words or more that is on enough different pages of its host is boilerplate, and
+goes from the kept blocks of every page. The words of such runs are those of their windows
+of RUN words, so classes of suffixes that agree in RUN words find them all, however long.
+Streams are concatenated, in bounded batches, and their suffixes sorted; the classes of all
+batches meet in one aggregation. Before it, each window is known by the least hash of its
+short grams: windows whose least gram is on too few pages are on too few themselves, and are
+left out. Runs on two pages only are followed to LONG words. How many pages are enough depends on the host's pages, see `enough`. Articles that
+are repeated with small changes are not boilerplate: pages that would lose more than COPY of
+their kept words, less those in runs on most pages of the host, to other runs do not count.
+
+Covered words go in whole blocks or in RUN or more words of a block; fewer at a block's
+edge stay. Defined results: null and empty html give an empty text. Pages of one content
+count once, so that copies of a page do not erase each other. Repeated rows give repeated
+rows. An empty table gives none. Other columns are ignored. Words are equal if they differ
+in the case of A-Z only.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words in a row that make a repeated run, and on how many different pages.
-RUN = 6
-PAGES = 3
+from .common import materialize
+from .minhash import _mix, _Powers, word_hashes
+
+#: Words in a row that make a repeated run; words of the grams that stand for a run's windows.
+RUN = 10
+GRAM = 4
+#: Words in a row where the run is on two pages only, as can be enough on hosts of two or three.
+LONG = 15
+#: A run is boilerplate on this share of a host's pages, see `enough`.
+SHARE = 0.1
+#: A page counts as a copy of others if runs hold more than this share of its kept words.
+COPY = 0.8
 #: Words of streams whose suffixes are sorted together.
 BATCH_WORDS = 200_000
+#: Grams or runs, 8 or 16 bytes each, that are sent to all executors; more are not, see `main_text`.
+SENT = 2_000_000
 
 # fixed values: element names by role
 _RAW = frozenset(["script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp"])
@@ -161,128 +182,262 @@ def _suffix_ranks(tokens: np.ndarray, length: int) -> np.ndarray:
     return rank
 
 
-def _stream(blocks: list[tuple[int, str]]) -> list[str]:
-    top = max((r for r, _ in blocks), default=0)
-    return [w for r, t in blocks if r <= 0 or top == 0 for w in t.split()]
-
-
-def _run_ids(host: str, words: list[str]) -> list[int]:
-    """A 64-bit number for each run of RUN words on a host."""
-    return [xxhash.xxh3_64_intdigest("\x00".join([host, *words[k : k + RUN]])) - 2**63 for k in range(len(words) - RUN + 1)]
-
-
-def _classes(pages: DataFrame) -> DataFrame:
-    """(run, content): each class of suffixes, by host and first words, with each page content that it is in."""
-
-    def sort_batch(streams: list[tuple[str, int, list[str]]]) -> pa.RecordBatch:
-        hosts, pages_, words, numbers = [], [], [], {}
-        tokens: list[int] = []
-        starts: list[tuple[int, int]] = []
-        for k, (host, content, ws) in enumerate(streams):
-            for j in range(len(ws)):
-                if j + RUN <= len(ws):
-                    starts.append((len(tokens) + j, k))
-            tokens.extend(numbers.setdefault((host, w), len(numbers)) for w in ws)
-            tokens.append(-1 - k)  # ends a page: no other is equal
-            hosts.append(host)
-            pages_.append(content)
-            words.append(ws)
-        runs, contents = [], []
-        if starts:
-            rank = _suffix_ranks(np.array(tokens, dtype=np.int64), RUN)
-            at = np.array(starts, dtype=np.int64)
-            content_of = np.array(pages_, dtype=np.int64)[at[:, 1]]
-            order = np.lexsort((content_of, rank[at[:, 0]]))
-            r, c = rank[at[order, 0]], content_of[order]
-            first = np.concatenate(([True], (r[1:] != r[:-1]) | (c[1:] != c[:-1])))
-            base = np.cumsum([0] + [len(w) + 1 for w in words])
-            for i in order[first]:
-                p, k = starts[i]
-                j = p - base[k]
-                runs.append(xxhash.xxh3_64_intdigest("\x00".join([hosts[k], *words[k][j : j + RUN]])) - 2**63)
-                contents.append(pages_[k])
-        return pa.RecordBatch.from_arrays([pa.array(runs, pa.int64()), pa.array(contents, pa.int64())], names=["run", "content"])
+def enough(pages: Column) -> Column:
+    """On how many pages of a host, of so many different ones, a run is boilerplate.
+
+    A tenth, but three at least; on hosts of up to three pages two.
+    """
+    return F.greatest(F.lit(2), F.least(F.floor(pages / 2) + 1, F.greatest(F.lit(3), F.ceil(pages * SHARE)))).cast("int")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for b in batches:
-            for url, page in zip(b.column(0), b.column(1), strict=True):
-                blocks = parse(page.as_py())
-                words = _stream(blocks)
-                content = xxhash.xxh3_64_intdigest("\n".join(t for _, t in blocks).encode("utf-8", "surrogatepass")) - 2**63
-                held.append((_host(url.as_py()), content, words))
-                size += len(words)
-                if size >= BATCH_WORDS:
-                    yield sort_batch(held)
-                    held, size = [], 0
-        yield sort_batch(held)
 
-    return pages.select("url", "html").mapInArrow(run, "run long, content long")
+def _hash(*parts: str) -> int:
+    return xxhash.xxh3_64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass")) - 2**63
 
 
-def _extracted(pages: DataFrame) -> DataFrame:
-    """(page_id, url, h, text, open): the text of pages with a container; for others the words of their blocks."""
+def _parsed(pages: DataFrame) -> DataFrame:
+    """(page_id, url, host, content, page, text, kept): text has a block a line, kept a 1 for each kept block, else a 0; page is a hash of all these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text, blocks_out, runs_out = [], [], []
-            for url, page in zip(b.column(1), b.column(3), strict=True):
+            texts, kepts, numbers = [], [], []
+            for url, page in zip(b.column(1), b.column(2), strict=True):
                 blocks = parse(page.as_py())
                 top = max((r for r, _ in blocks), default=0)
-                if top > 0:
-                    text.append("\n".join(t for r, t in blocks if r == top))
-                    blocks_out.append(None)
-                    runs_out.append(None)
-                else:
-                    text.append(None)
-                    blocks_out.append([t if r == 0 else "\x00" + t for r, t in blocks])
-                    runs_out.append(_run_ids(_host(url.as_py()), _stream(blocks)))
+                text, kept = "\n".join(t for _, t in blocks), "".join("01"[r == max(top, 0)] for r, _ in blocks)
+                host = _host(url.as_py())
+                texts.append(text)
+                kepts.append(kept)
+                numbers.append((_hash(host), _hash(host, text), _hash(host, text, kept)))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array(text, pa.string()), pa.array(blocks_out, pa.list_(pa.string())), pa.array(runs_out, pa.list_(pa.int64()))],
-                names=["page_id", "url", "h", "text", "blocks", "runs"],
+                [b.column(0), b.column(1), *(pa.array([x[k] for x in numbers], pa.int64()) for k in range(3)), pa.array(texts, pa.string()), pa.array(kepts, pa.string())],
+                names=["page_id", "url", "host", "content", "page", "text", "kept"],
             )
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", F.xxhash64("url", "html").alias("h"), "html").mapInArrow(
-        run, f"page_id {kind}, url string, h long, text string, blocks array<string>, runs array<long>"
-    )
-
-
-def unique_words(blocks: list[str], covered: list[int]) -> str:
-    """Blocks less the words that runs at the covered places hold; blocks marked as boilerplate go."""
-    total = sum(len(b.lstrip("\x00").split()) for b in blocks)
-    gone = np.zeros(total + RUN, dtype=bool)
-    for p in covered:
-        gone[p : p + RUN] = True
-    out, at = [], 0
-    for b in blocks:
-        words = b.lstrip("\x00").split()
-        if not b.startswith("\x00"):
-            kept = [w for k, w in enumerate(words) if not gone[at + k]]
-            if kept:
-                out.append(" ".join(kept))
-        at += len(words)
-    return "\n".join(out)
+    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, host long, content long, page long, text string, kept string")
+
 
+def _windows(host: int, text: str, kept: str, powers: _Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, places of windows of RUN words, their hashes, least hashes of their grams); no window holds a break."""
+    ids = word_hashes(text, powers) + np.uint64(host & (2**64 - 1))
+    n = len(ids) - RUN + 1
+    if n < 1:
+        none = np.empty(0, dtype=np.uint64)
+        return ids, none.astype(np.int64), none, none
+    up, down = powers.upto(len(ids) + 1)
+    sums = np.zeros(len(ids) + 1, dtype=np.uint64)
+    np.cumsum(ids * up[:-1], dtype=np.uint64, out=sums[1:])
+    grams = _mix((sums[GRAM:] - sums[:-GRAM]) * down[: len(ids) - GRAM + 1])
+    least = np.lib.stride_tricks.sliding_window_view(grams, RUN - GRAM + 1).min(axis=1)
+    runs = _mix((sums[RUN:] - sums[:-RUN]) * down[:n])
+    marks = np.frombuffer(kept.encode(), dtype=np.uint8)
+    changes = np.concatenate(([0], np.cumsum(marks[1:] != marks[:-1])))
+    part = np.repeat(changes, _sizes(text))
+    at = np.flatnonzero(part[:n] == part[RUN - 1 :])
+    return ids, at, runs[at], least[at]
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text of every row of pages (page_id, url, html)."""
-    from .common import materialize
 
-    counted = _classes(pages).distinct().groupBy("run").agg(F.count("*").alias("pages"))
-    boiler = materialize(counted.where(F.col("pages") >= PAGES).select("run"), "boilerplate-runs")
-    found = _extracted(pages)
-    closed = found.where("blocks is null").select("page_id", "url", "text")
-    opened = materialize(found.where("blocks is not null").drop("text"), "pages-without-container")
-    places = opened.select("page_id", "h", F.posexplode("runs").alias("place", "run")).distinct()
-    covered = places.join(boiler, "run").groupBy(F.col("page_id").alias("_page"), F.col("h").alias("_h")).agg(F.sort_array(F.collect_list("place")).alias("covered"))
-    same = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("h") == F.col("_h"))
-    joined = opened.join(covered, same, "left").select("page_id", "url", "blocks", "covered")
+def _sizes(text: str) -> np.ndarray:
+    """Words of each block; blocks are lines, and single blanks part words."""
+    return np.array([t.count(" ") + 1 for t in text.split("\n")] if text else [], dtype=np.int64)
+
+
+_SHIFT = np.uint64(24)  # 40 bits of a gram are kept: equal ones only let more windows through
+
+
+def _common_grams(pages: DataFrame) -> DataFrame:
+    """(gram): least grams of windows that are on enough pages, copies of pages counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = _Powers()
         for b in batches:
-            text = [unique_words(x.as_py(), y.as_py() or []) for x, y in zip(b.column(2), b.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string())], names=["page_id", "url", "text"])
+            grams, host_pages = [np.empty(0, np.uint64)], [np.empty(0, np.int32)]
+            for host, text, kept, size in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                grams.append(np.unique(_windows(host, text, kept, powers)[3] >> _SHIFT))
+                host_pages.append(np.full(len(grams[-1]), size, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(host_pages))], names=["gram", "size"])
+
+    rows = pages.select("host", "text", "kept", "size").mapInArrow(run, "gram long, size int")
+    return rows.groupBy("gram").agg(F.count("*").alias("n"), F.min("size").alias("size")).where(F.col("n") >= enough(F.col("size"))).select("gram")
+
+
+def _classes(pages: DataFrame, grams: Broadcast | None) -> DataFrame:
+    """(run, content, size of the host): each class of suffixes, by a hash of host and RUN words, with each page content that it is in; grams: those of windows that may be common."""
+
+    def sort_batch(held: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        runs, contents, host_pages = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
+        if held:
+            words = np.unique(np.concatenate([x[2] for x in held]), return_inverse=True)[1].astype(np.int64)
+            sizes = np.array([len(x[2]) for x in held])
+            base = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
+            tokens = np.empty(len(words) + len(held), dtype=np.int64)
+            ends = base + sizes
+            inner = np.ones(len(tokens), dtype=bool)
+            inner[ends] = False
+            tokens[inner] = words
+            tokens[ends] = -1 - np.arange(len(held))  # ends a page: no other is equal
+            rank = _suffix_ranks(tokens, RUN)
+            starts = np.concatenate([x[3] + f for x, f in zip(held, base, strict=True)])
+            counts = [len(x[3]) for x in held]
+            content = np.repeat(np.array([x[0] for x in held], dtype=np.int64), counts)
+            order = np.lexsort((content, rank[starts]))
+            r, c = rank[starts[order]], content[order]
+            first = order[np.concatenate(([True], (r[1:] != r[:-1]) | (c[1:] != c[:-1])))]
+            runs, contents = np.concatenate([x[4] for x in held])[first], content[first]
+            host_pages = np.repeat(np.array([x[1] for x in held], dtype=np.int32), counts)[first]
+        return pa.RecordBatch.from_arrays([pa.array(runs.view(np.int64)), pa.array(contents), pa.array(host_pages)], names=["run", "content", "size"])
 
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return closed.unionByName(joined.mapInArrow(run, f"page_id {kind}, url string, text string"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, held, size = _Powers(), [], 0
+        for b in batches:
+            for host, content, text, kept, pages_ in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                words, at, runs, least = _windows(host, text, kept, powers)
+                if grams is not None:
+                    may = _places(least >> _SHIFT, grams.value) >= 0
+                    at, runs = at[may], runs[may]
+                if len(at):
+                    held.append((content, pages_, words, at, runs))
+                    size += len(words)
+                if size >= BATCH_WORDS:
+                    yield sort_batch(held)
+                    held, size = [], 0
+        yield sort_batch(held)
+
+    return pages.select("host", "content", "text", "kept", "size").mapInArrow(run, "run long, content long, size int")
+
+
+def _places(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Place of each value in a sorted table, -1 if it is not there."""
+    at = np.searchsorted(table, values)
+    at[at == len(table)] = 0
+    return np.where(table[at] == values, at, -1) if len(table) else np.full(len(values), -1)
+
+
+_FEW, _SOME, _MOST = 0, 1, 2  # runs on two pages, on more, on most pages of the host
+
+
+def _long(places: np.ndarray, runs: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, runs, whether on most pages), without runs on two pages that do not follow each other for LONG words."""
+    follows = np.diff(places, prepend=-9) == 1
+    size = np.bincount(stretch := np.cumsum(~follows)) + RUN - 1
+    keep = (kinds != _FEW) | (size[stretch] >= LONG)
+    return places[keep], runs[keep], kinds[keep] == _MOST
+
+
+def _words_on(text: str, places: np.ndarray) -> np.ndarray:
+    """Whether a run at these places holds the word, for each word."""
+    on = np.zeros(text.count(" ") + text.count("\n") + 1 if text else 0, dtype=bool)
+    for k in range(RUN):
+        on[places + k] = True
+    return on
+
+
+def unique_words(text: str, kept: str, places: np.ndarray) -> str:
+    """The kept blocks less the words that runs at these places hold."""
+    gone, out, at = _words_on(text, places), [], 0
+    for block, size, keep in zip(text.split("\n"), _sizes(text), kept, strict=False):
+        if keep == "1":
+            here = gone[at : at + size]
+            if not here.any():
+                out.append(block)
+            elif not here.all():
+                edge = np.flatnonzero(np.diff(here, prepend=False, append=False))
+                stay = np.ones(size, dtype=bool)
+                for a, b in zip(edge[::2], edge[1::2], strict=True):
+                    stay[a:b] = b - a < RUN
+                words = block.split(" ")
+                out.append(" ".join(words[k] for k in np.flatnonzero(stay)))
+        at += size
+    return "\n".join(out)
+
+
+def is_copy(text: str, kept: str, places: np.ndarray, most: np.ndarray) -> bool:
+    """Whether runs at these places hold more than the share COPY of the kept words, less those that runs on most pages hold."""
+    if most.all():
+        return False
+    own = np.repeat(np.frombuffer(kept.encode(), dtype=np.uint8) == ord("1"), _sizes(text)) & ~_words_on(text, places[most])
+    return bool((_words_on(text, places[~most]) & own).sum() > COPY * own.sum())
+
+
+def _mapped(pages: DataFrame, boiler: DataFrame, f: Callable, schema: str, sent: int) -> DataFrame:
+    """f(batch, hits) of the pages' batches (page, host, text, kept, others); hits: for each row the places of the runs of boiler, the runs, and whether most pages have them."""
+    if boiler.count() <= sent:
+        both = boiler.select("run", "kind").toArrow()
+        order = np.argsort(runs := both["run"].to_numpy().view(np.uint64))
+        known = pages.sparkSession.sparkContext.broadcast((runs[order], both["kind"].to_numpy()[order]))
+
+        def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            powers = _Powers()
+            for b in batches:
+                hits = []
+                for host, text, kept in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                    _, at, runs, _ = _windows(host, text, kept, powers)
+                    place = _places(runs, known.value[0])
+                    hit = place >= 0
+                    hits.append(_long(at[hit], runs[hit].view(np.int64), known.value[1][place[hit]]))
+                yield f(b, hits)
+
+        return pages.mapInArrow(look, schema)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = _Powers()
+        for b in batches:
+            for page, host, text, kept in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                _, at, runs, _ = _windows(host, text, kept, powers)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), page, dtype=np.int64)), pa.array(at), pa.array(runs.view(np.int64))], names=["page", "place", "run"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hits = []
+            for x in b.column(b.num_columns - 1).to_pylist():
+                at = np.array(sorted((y["place"], y["run"], y["kind"]) for y in x or []), dtype=np.int64).reshape(-1, 3)
+                hits.append(_long(*at.T))
+            yield f(b, hits)
+
+    places = pages.select("page", "host", "text", "kept").mapInArrow(spread, "page long, place long, run long").distinct()
+    covered = places.join(boiler, "run").groupBy("page").agg(F.collect_list(F.struct("place", "run", "kind")).alias("covered"))
+    return pages.join(covered, "page", "left").select(*pages.columns, "covered").mapInArrow(joined, schema)
+
+
+def _uncopied(streams: DataFrame, boiler: DataFrame, sent: int) -> DataFrame:
+    """The runs of boiler that are on most pages of a host, or on enough pages that are not copies."""
+
+    def run(b: pa.RecordBatch, hits: list) -> pa.RecordBatch:
+        runs, contents = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for text, kept, content, (at, found, most) in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), hits, strict=True):
+            if not is_copy(text, kept, at, most):
+                runs.append(np.unique(found[~most]))
+                contents.append(np.full(len(runs[-1]), content, dtype=np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(runs)), pa.array(np.concatenate(contents))], names=["run", "content"])
+
+    rows = _mapped(streams.select("page", "host", "text", "kept", "content"), boiler, run, "run long, content long", sent)
+    counted = rows.distinct().groupBy("run").agg(F.count("*").alias("others"))
+    return boiler.join(counted, "run", "left").where((F.col("kind") == _MOST) | (F.col("others") >= enough(F.col("size")))).select("run", "kind")
+
+
+def main_text(pages: DataFrame, sent: int = SENT) -> DataFrame:
+    """page_id, url, text of every row of pages (page_id, url, html).
+
+    Up to `sent` common grams and runs go to all executors. With more grams every window is
+    counted; more runs are joined to the pages' windows.
+    """
+    parsed = materialize(_parsed(pages), "parsed-pages")
+    hosts = parsed.select("host", "content").distinct().groupBy("host").agg(F.count("*").cast("int").alias("size"))
+    streams = parsed.join(materialize(hosts, "hosts"), "host")
+
+    found = materialize(_common_grams(streams), "common-grams")
+    grams = None
+    if found.count() <= sent:
+        grams = pages.sparkSession.sparkContext.broadcast(np.sort(found.toArrow()["gram"].to_numpy()).view(np.uint64))
+    counted = _classes(streams, grams).distinct().groupBy("run").agg(F.count("*").alias("pages"), F.min("size").alias("size"))
+    most = F.col("pages") >= F.greatest(F.lit(4), F.floor(F.col("size") / 2) + 1)
+    kind = F.when(F.col("pages") == 2, _FEW).when(most, _MOST).otherwise(_SOME)
+    common = materialize(counted.where(F.col("pages") >= enough(F.col("size"))).select("run", "size", kind.alias("kind")), "common-runs")
+    boiler = materialize(_uncopied(streams, common, sent), "boilerplate-runs")
+
+    def run(b: pa.RecordBatch, hits: list) -> pa.RecordBatch:
+        text = [unique_words(t, k, at) for t, k, (at, _, _) in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), hits, strict=True)]
+        return pa.RecordBatch.from_arrays([b.column(4), b.column(5), pa.array(text, pa.string())], names=["page_id", "url", "text"])
+
+    id_kind = pages.schema["page_id"].dataType.simpleString()
+    return _mapped(parsed.select("page", "host", "text", "kept", "page_id", "url"), boiler, run, f"page_id {id_kind}, url string, text string", sent)

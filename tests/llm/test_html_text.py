@@ -36,3 +36,15 @@ def test_articles_of_the_test_pages(spark):
         import html
 
         assert r.text == "\n".join(html.unescape(t) for t in plain if t)
+
+
+def test_repeated_runs_go_from_containers_too(spark):
+    note = "all rights to these lines stay with the owner of this small site"
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(40))
+    rows = [(i, f"http://h.example/{i}", f'<article><h1>The t{i}</h1><p>{own(i)}</p><div class="zone7"><p>{note}</p></div><p>end {i}</p></article><footer>x</footer>') for i in range(8)]
+    rows.append((9, "http://other.example/9", rows[0][2]))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for sent in (10**6, 0):  # tables sent to executors, and joins
+        by = {r.page_id: r.text for r in main_text(df, sent).collect()}
+        assert len(by) == 9 and all(by[i] == f"The t{i}\n{own(i)}\nend {i}" for i in range(8))
+        assert by[9] == f"The t0\n{own(0)}\n{note}\nend 0"
