@@ -48,3 +48,21 @@ def test_repeated_runs_go_from_containers_too(spark):
         by = {r.page_id: r.text for r in main_text(df, sent).collect()}
         assert len(by) == 9 and all(by[i] == f"The t{i}\n{own(i)}\nend {i}" for i in range(8))
         assert by[9] == f"The t0\n{own(0)}\n{note}\nend 0"
+
+
+def test_small_hosts_quotes_and_changed_articles(spark):
+    say = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    html = lambda *parts: "".join(f"<p>{x}</p>" for x in parts)
+    line, phrase, art = say("terms", 16), "as it was said so often before", say("art", 60).split()
+    changed = [" ".join(w if k % 20 != 7 else f"new{i}" for k, w in enumerate(art)) for i in range(3)]
+    rows = [(i, f"http://two.example/{i}", html(line, say(f"a{i}x", 20))) for i in range(2)]
+    rows += [(10 + i, f"http://big.example/{i}", html(f"{say(f'b{i}x', 15)} {phrase if i < 5 else i} {say(f'c{i}x', 5)}")) for i in range(40)]
+    rows += [(100 + i, f"http://copy.example/{i}", html(changed[i])) for i in range(3)]
+    rows += [(110 + i, f"http://mid.example/{i}", html(changed[i] if i < 3 else say(f"m{i}x", 30), line)) for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for sent in (10**6, 0):
+        by = {r.page_id: r.text for r in main_text(df, sent).collect()}
+        assert [by[i] for i in range(2)] == [say(f"a{i}x", 20) for i in range(2)]
+        assert all(by[10 + i] == f"{say(f'b{i}x', 15)} {phrase if i < 5 else i} {say(f'c{i}x', 5)}" for i in range(40))
+        assert [by[100 + i] for i in range(3)] == changed
+        assert all(by[110 + i] == (changed[i] if i < 3 else say(f"m{i}x", 30)) for i in range(9))
