@@ -1,7 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
-Texts are cut into short sentences: at the ends of sentences and clauses, at line ends, and
-after words that a hash picks, so that equal passages are cut alike wherever they stand.
+Texts are cut into short sentences: at the ends of sentences and clauses, at line ends, and,
+in each GAP words without such an end, after the word of least hash, so that equal passages
+are cut alike wherever they stand, but for GAP words at their ends, and no sentence is longer
+than GAP words. So each 50 words on one line, or with equal line ends, hold a span cut alike.
+Characters of scripts without blanks are words, two of which count as one for LEAST.
 Every run of SPAN sentences, and of as many more as make LEAST words, is hashed. One aggregation finds each
 hash's first occurrence, by doc_id, then text, then place; one join finds the others, and
 the sentences that these cover are removed.
@@ -21,40 +24,102 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .minhash import _SPACE, _mix, _Powers, word_hashes
+from .minhash import _BYTES, _SPACE, _mix, _Powers
 
 SPAN = 3
 LEAST = 10
-#: A word ends a sentence if the low bits of its hash are nought: one in so many.
-_PICK = np.uint64(31)
+#: In so many words in a row at least one ends a sentence.
+GAP = 8
 _ENDS = np.isin(np.arange(256), list(b".,;:!?"))
+#: Other marks that end sentences and clauses, by their last UTF-8 bytes.
+_MARKS = np.sort([int.from_bytes(c.encode(), "big") for c in "،؛؟۔։।॥።፣፤፥፧፨။၊។៕…‥、。，．：；！？｡､"])
+#: Scripts without blanks: Thai to Tibetan, Myanmar, Khmer, Kana and Han, full and half width.
+_ALONE = np.zeros((1 << 16) + (1 << 12), dtype=bool)
+for _a, _b in ((0x0E00, 0x1000), (0x1000, 0x10A0), (0x1780, 0x1800), (0x3000, 0xA000), (0xF900, 0xFB00), (0xFF00, 0xFFF0)):
+    _ALONE[_a:_b] = True
 
 
-def sentences(text: str | None, powers: _Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word of each sentence and the number of words, byte where each word begins, hashes of words)."""
-    ids = word_hashes(text, powers)
-    if not len(ids):
-        return np.zeros(1, dtype=np.int64), np.empty(0, dtype=np.int64), ids
-    data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+def _words(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of the text, where words begin and end, whether a word is one character of a script without blanks)."""
+    data = np.frombuffer(text.encode("utf-8", "surrogatepass") if text else b"", dtype=np.uint8)
     edge = np.diff(_SPACE[data].view(np.int8), prepend=np.int8(1), append=np.int8(1))
     starts, ends = np.flatnonzero(edge < 0), np.flatnonzero(edge > 0)
+    lead = np.flatnonzero(data[:-2] >= 0xE0) if len(data) > 2 and data.max() >= 0xE0 else np.empty(0, dtype=np.int64)
+    d = data.astype(np.int64) if len(lead) else data
+    size = np.where(data[lead] >= 0xF0, 4, 3)
+    code = (d[lead] & 15) << 12 | (d[lead + 1] & 63) << 6 | d[lead + 2] & 63 if len(lead) else lead
+    # of four bytes, planes 2 and 3 are Han
+    alone = np.where(size == 4, (data[lead] == 0xF0) & (data[np.minimum(lead + 1, len(data) - 1)] >= 0xA0), _ALONE[code]) if len(lead) else np.empty(0, dtype=bool)
+    lead, size = lead[alone], size[alone]
+    if not len(lead):
+        return data, starts, ends, np.zeros(len(starts), dtype=bool)
+    starts, ends = np.unique(np.concatenate((starts, lead, lead + size))), np.unique(np.concatenate((ends, lead, lead + size)))
+    starts = starts[starts < len(data)]
+    starts = starts[~_SPACE[data[starts]]]
+    ends = ends[ends > 0]
+    ends = ends[~_SPACE[data[ends - 1]]]
+    return data, starts, ends, np.isin(starts, lead)
+
+
+def _picked(ids: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether the word has the least hash of some GAP words in a row none of which is a last one."""
+    n = len(ids) - GAP + 1
+    if n < 1:
+        return np.zeros(len(ids), dtype=bool)
+    least = _runs(ids, np.minimum)
+    before = np.concatenate(([0], np.cumsum(last)))
+    least[before[GAP:] > before[:-GAP]] = 0
+    pad = np.zeros(GAP - 1, dtype=np.uint64)
+    return (_runs(np.concatenate((pad, least, pad)), np.maximum) == ids) & (ids > 0)
+
+
+def _runs(x: np.ndarray, f: np.ufunc) -> np.ndarray:
+    """f over each GAP values in a row."""
+    have = 1
+    while have < GAP:
+        step = min(have, GAP - have)
+        x, have = f(x[:-step], x[step:]), have + step
+    return x
+
+
+def _cut(text: str | None, powers: _Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What `sentences` gives, and the words before each sentence and in all, as LEAST counts them."""
+    data, starts, ends, alone = _words(text)
+    if not len(starts):
+        return np.zeros(1, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64), np.zeros(1)
+    up, down = powers.upto(len(data) + 1)
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_BYTES[data] * up[:-1], dtype=np.uint64, out=sums[1:])
+    ids = _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     lines = np.concatenate(([0], np.cumsum(data == 10)))
-    last = _ENDS[data[ends - 1]] | ((ids & _PICK) == 0)
+    last = _ENDS[data[ends - 1]]
+    wide = np.flatnonzero((data[ends - 1] >= 0x80) & (ends > 2))
+    if len(wide):
+        e = ends[wide]
+        two = data[e - 2].astype(np.int64) << 8 | data[e - 1]
+        last[wide] = np.isin(two, _MARKS) | np.isin(data[e - 3].astype(np.int64) << 16 | two, _MARKS)
     last[:-1] |= lines[starts[1:]] > lines[ends[:-1]]
     last[-1] = True
-    return np.concatenate(([0], np.flatnonzero(last) + 1)), starts, ids
+    last |= _picked(ids, last)
+    first = np.concatenate(([0], np.flatnonzero(last) + 1))
+    return first, starts, ids, np.concatenate(([0], np.cumsum(np.where(alone, 0.5, 1.0))))[first]
+
+
+def sentences(text: str | None, powers: _Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word of each sentence and the number of words, byte where each word begins, hashes of words)."""
+    return _cut(text, powers)[:3]
 
 
-def span_hashes(first: np.ndarray, ids: np.ndarray, powers: _Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def span_hashes(first: np.ndarray, ids: np.ndarray, reach: np.ndarray, powers: _Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place, sentences, hash) of every span: from each sentence on, SPAN sentences and as many more as make LEAST words.
 
     The shortest span that ends with the text is among them, so that none of a copy's sentences is left out.
     """
     n = len(first) - 1
     start = np.arange(n)
-    end = np.maximum(start + SPAN, np.searchsorted(first, first[:-1] + LEAST))
-    tail = min(n - SPAN, int(np.searchsorted(first, len(ids) - LEAST, side="right")) - 1)
-    if tail >= 0 and len(ids) >= LEAST:
+    end = np.maximum(start + SPAN, np.searchsorted(reach, reach[:-1] + LEAST))
+    tail = min(n - SPAN, int(np.searchsorted(reach, reach[-1] - LEAST, side="right")) - 1)
+    if tail >= 0 and reach[-1] >= LEAST:
         start, end = np.append(start, tail), np.append(end, n)
     fits = end <= n
     start, end = start[fits], end[fits]
@@ -76,8 +141,8 @@ def spans(docs: DataFrame) -> DataFrame:
             rows, places, sizes = ([np.empty(0, np.int64)] for _ in range(3))
             hashes = [np.empty(0, np.uint64)]
             for k, t in enumerate(b.column(2)):
-                first, _, ids = sentences(t.as_py(), powers)
-                at, size, h = span_hashes(first, ids, powers)
+                first, _, ids, reach = _cut(t.as_py(), powers)
+                at, size, h = span_hashes(first, ids, reach, powers)
                 rows.append(np.full(len(at), k, dtype=np.int64))
                 places.append(at)
                 sizes.append(size)

@@ -55,3 +55,28 @@ def test_repeated_rows_and_empty(spark):
     assert [g for g in got if g[0] == "2"] == [("2", "x y", 0)] and len(got) == 4
     assert sum(g[1] == t for g in got) in (1, 2)
     assert remove_repeated_spans(df.limit(0)).count() == 0
+
+
+def test_passages_without_marks_and_in_scripts_without_blanks(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefg", k=6))
+    han = lambda n: "".join(chr(r.randint(0x4E00, 0x9000)) for _ in range(n))
+    rows, passages = [], []
+    for i in range(40):
+        wide = i % 2
+        p = han(100) if wide else " ".join(word() for _ in range(51))
+        say, gap = (han, "") if wide else (lambda n: " ".join(word() for _ in range(n)), " ")
+        passages.append(p)
+        rows += [(2 * i, say(30) + gap + p + gap + say(30)), (2 * i + 1, say(25) + gap + p + gap + say(35))]
+    rows += [(100, han(40) + "。" + han(9) + "،")]
+    got = {g.doc_id: g for g in remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    by = dict(rows)
+    for i, p in enumerate(passages):
+        assert got[2 * i].text == by[2 * i] and got[2 * i].n_removed == 0
+        a, b = got[2 * i + 1].text, by[2 * i + 1]
+        assert got[2 * i + 1].n_removed >= SPAN and len(b) - len(a) >= LEAST
+        k = b.index(p)
+        assert a.startswith(b[:k]) and a.endswith(b[k + len(p) :])
+    assert got[100].text == by[100]
+    ends = sentences("ab؟ cd। 好。好 e", _Powers())
+    assert list(ends[0]) == [0, 1, 2, 4, 6] and len(ends[2]) == 6
