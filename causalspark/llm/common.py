@@ -22,6 +22,8 @@ def shared_root(spark: SparkSession) -> str:
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             base = tempfile.mkdtemp(prefix="causalspark-")
         _ROOTS[app] = f"{base.rstrip('/')}/tables-{uuid.uuid4().hex[:12]}"
         atexit.register(_remove, spark, _ROOTS[app])
@@ -47,6 +49,14 @@ def materialize(df: DataFrame, name: str, files: int | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like this one that df does not have in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

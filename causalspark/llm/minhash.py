@@ -1,26 +1,28 @@
 """MinHash near-duplicates by a signature-coordinate inverted join.
 
 1. Every document becomes a set of hashed word shingles and a signature of SCREEN minima.
-   Documents with equal sets are one class, whose smallest id goes on.
-2. Screen: coordinates are taken two by two; a class that shares fewer than SCREEN_MATCHES of
-   these pairs with others can match none and is skipped. The others get signatures of
-   COORDINATES minima.
+   Documents with equal sets are one class.
+2. Screen: coordinates are taken two by two; a class that shares too few of these pairs with
+   others can match none and is skipped. The others get signatures of COORDINATES minima.
 3. These are posted under each coordinate and value, without the postings that no other has,
-   and kept under their rarest only: two signatures that agree in MATCHES coordinates agree
+   and kept under their rarest only: two signatures that agree in `matches` coordinates agree
    in one of these.
 4. In each posting list, the class with the most collisions (the hub) is compared with the
-   others by counting equal coordinates. Pairs of MATCHES and more are verified on full sets.
-5. Pairs of a list that the links found so far leave in different components are compared
-   too, in blocks; pairs within one component cannot change it and are skipped. First each
-   class is verified against its best match in every other component of a block; those that
-   this does not link are then verified against all their matches, where they lie.
-
-A pair at Jaccard 0.8 fails either bound with a probability of some 1e-5, one above it with
+   others by counting equal coordinates. Pairs of `matches` and more are verified on full sets.
+5. Lists whose classes the links so far leave in different components go on. Their classes are
+   merged exactly: shingles that other components have too are ordered by rarity, and a class
+   is posted under its rarest ones, as far as a partner may have no rarer one in common. The
+   places of the shingles in both orders and both sizes bound what a pair can have in common;
+   long lists are skipped by nearly all, as their shingles come late in the order. Within a
+   list, rows of its commonest component meet the others only. What is left is verified.
+
+Steps 2 to 4 miss a pair at the threshold with a probability of some 1e-5, one above it with
 much less; that is the only way in which a link can be missed.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,16 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 from .components import connected_components
 
 SCREEN = 64
-SCREEN_MATCHES = 9
 COORDINATES = 256
-MATCHES = 176
-#: Rows of a posting list that are compared at once in step 5: of those to place, and of the others.
-BLOCK = 128
-OTHERS = 512
+#: Standard deviations below the expected matches at the threshold; the chance of fewer is some 5e-6.
+SLACK = 4.5
+SCREEN_SLACK = 4.2
 #: Up to so many ids (8 bytes each) are broadcast to pick the screened texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -109,29 +109,28 @@ def signature(hashes: np.ndarray, coordinates: int) -> np.ndarray:
 
 
 def _features(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, fp1, fp2, sig): set size, two fingerprints of the set, signature; from whole texts."""
+    """(doc_id, h, n, fp1, fp2, sig): set size, two fingerprints of the set, signature; from whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _Powers()
         for b in batches:
             n, f1, f2, sig = [], [], [], []
-            for t in b.column(1):
+            for t in b.column(2):
                 s = shingle_set(t.as_py(), width, powers)
                 n.append(len(s))
                 f1.append(int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 f2.append(int(_mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 sig.append(signature(s, SCREEN).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sig, pa.binary())],
-                names=["doc_id", "n", "fp1", "fp2", "sig"],
+                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sig, pa.binary())],
+                names=["doc_id", "h", "n", "fp1", "fp2", "sig"],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, fp1 long, fp2 long, sig binary")
+    return docs.mapInArrow(run, "doc_id long, h long, n long, fp1 long, fp2 long, sig binary")
 
 
 def _postings(classes: DataFrame, coordinates: int, together: int = 1) -> DataFrame:
-    """(key, doc_id): each class under each of its coordinates, or of so many together; key tells places and values."""
+    """(key, node): each class under each of its coordinates, or of so many together; key tells places and values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = coordinates // together
@@ -144,13 +143,22 @@ def _postings(classes: DataFrame, coordinates: int, together: int = 1) -> DataFr
                     keys = _mix(keys) + sig[:, :, k]
                 keys = keys.ravel().view(np.int64)
                 ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), groups)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], names=["key", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids)], names=["key", "node"])
+
+    return classes.select("node", "sig").mapInArrow(run, "key long, node long")
 
-    return classes.select("doc_id", "sig").mapInArrow(run, "key long, doc_id long")
 
+def bounds(percent: int) -> tuple[int, int]:
+    """(pairs of coordinates to share with others, coordinates to agree in) for a threshold of so many percent."""
+    if not 60 <= percent <= 100:
+        raise ValueError("percent must be from 60 to 100: signatures tell lower similarities too badly")
+    p = percent / 100
+    least = lambda n, q, slack: max(1, math.floor(n * q - slack * math.sqrt(n * q * (1 - q))))
+    return least(SCREEN // 2, p * p, SCREEN_SLACK), least(COORDINATES, p, SLACK)
 
-def _screened(classes: DataFrame) -> DataFrame:
-    """(doc_id) of the classes that share SCREEN_MATCHES pairs of coordinates with others.
+
+def _screened(classes: DataFrame, matches: int) -> DataFrame:
+    """(node) of the classes that share so many pairs of coordinates with others.
 
     Postings are sorted over all partitions; a posting is shared if a neighbour has its key. A
     partition's first and last postings may have theirs in the next one and count as shared.
@@ -168,13 +176,13 @@ def _screened(classes: DataFrame) -> DataFrame:
             left = np.concatenate(([first if key is None else before], same))
             keep = left[:-1] | same
             first, before, key, ids = False, left[-1], k[-1:], d[-1:]
-            yield pa.RecordBatch.from_arrays([pa.array(d[:-1][keep])], names=["doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(d[:-1][keep])], names=["node"])
         if key is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(ids)], names=["doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids)], names=["node"])
 
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = _postings(classes, SCREEN, 2).repartitionByRange(parts, "key", "doc_id").sortWithinPartitions("key", "doc_id")
-    return ordered.mapInArrow(shared, "doc_id long").groupBy("doc_id").agg(F.count("*").alias("m")).where(F.col("m") >= SCREEN_MATCHES).select("doc_id")
+    ordered = _postings(classes, SCREEN, 2).repartitionByRange(parts, "key", "node").sortWithinPartitions("key", "node")
+    return ordered.mapInArrow(shared, "node long").groupBy("node").agg(F.count("*").alias("m")).where(F.col("m") >= matches).select("node")
 
 
 def _bytes(column: pa.Array, width: int) -> np.ndarray:
@@ -182,7 +190,7 @@ def _bytes(column: pa.Array, width: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, shingles, sig, mini) of the chosen documents: full sets, signatures, and their lowest bytes."""
+    """(node, n, shingles, sig, mini) of the chosen (node, doc_id, h): full sets, signatures, and their lowest bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _Powers()
@@ -199,30 +207,30 @@ def _sets(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
                     pa.array([x.tobytes() for x in sig], pa.binary()),
                     pa.array([x.astype(np.uint8).tobytes() for x in sig], pa.binary()),
                 ],
-                names=["doc_id", "n", "shingles", "sig", "mini"],
+                names=["node", "n", "shingles", "sig", "mini"],
             )
 
     hint = F.broadcast if chosen.count() <= BROADCAST_IDS else (lambda df: df)
-    texts = docs.select("doc_id", "text").join(hint(chosen), "doc_id", "left_semi")
-    return texts.mapInArrow(run, "doc_id long, n long, shingles array<long>, sig binary, mini binary")
+    texts = docs.join(hint(chosen), ["doc_id", "h"]).select("node", "text")
+    return texts.mapInArrow(run, "node long, n long, shingles array<long>, sig binary, mini binary")
 
 
-def _colliding(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in MATCHES coordinates, as far as their lowest bytes tell."""
+def _colliding(pairs: DataFrame, full: DataFrame, matches: int) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in so many coordinates, as far as their lowest bytes tell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                same = (_bytes(b.column(2), COORDINATES) == _bytes(b.column(3), COORDINATES)).sum(axis=1) >= MATCHES
+                same = (_bytes(b.column(2), COORDINATES) == _bytes(b.column(3), COORDINATES)).sum(axis=1) >= matches
                 yield b.select([0, 1]).filter(pa.array(same))
 
-    x, y = (full.select(F.col("doc_id").alias(k), F.col("mini").alias(f"m{k}")) for k in "ab")
+    x, y = (full.select(F.col("node").alias(k), F.col("mini").alias(f"m{k}")) for k in "ab")
     return pairs.join(x, "a").join(y, "b").select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
-    x, y = (full.select(F.col("doc_id").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
+    x, y = (full.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
     common = F.size(F.array_intersect("sa", "sb"))
     return (
         pairs.join(x, "a")
@@ -233,173 +241,155 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _named(rows: DataFrame, labels: DataFrame, col: str, name: str) -> DataFrame:
-    """rows with the component of a column's document; a document without links is its own."""
-    of = labels.select(F.col("node").alias(col), F.col("component").alias(name))
-    return rows.join(of, col, "left").withColumn(name, F.coalesce(name, col))
-
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows (node, ...) with the component of the node as label; a node without links is its own."""
+    return rows.join(labels.select("node", F.col("component").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
-def _apart(posted: DataFrame, hubs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, doc_id, n, label, apart) of the lists, without hubs; apart: in another component than the hub."""
-    rows = posted.select("key", "doc_id", "n").join(hubs.where("size > 2").select("key", "hub"), "key").where("doc_id <> hub")
-    rows = _named(_named(rows, labels, "doc_id", "label"), labels, "hub", "hub_label")
-    return rows.select("key", "doc_id", "n", "label", (F.col("label") != F.col("hub_label")).alias("apart"))
 
+def _open(posted: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, label) of the rows of lists whose nodes are in different components."""
+    rows = _labelled(posted.select("key", "node"), labels)
+    keys = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    return rows.join(keys, "key").select("node", "label").distinct()
 
-def _suspects(posted: DataFrame, failed: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, doc_id, n, label, apart) of the lists with a document of failed (doc_id), which are the apart ones."""
-    rows = posted.select("key", "doc_id", "n").join(failed.withColumn("mark", F.lit(True)), "doc_id", "left")
-    keys = rows.where("mark").select("key").distinct()
-    rows = _named(rows.join(keys, "key"), labels, "doc_id", "label")
-    return rows.select("key", "doc_id", "n", "label", F.coalesce("mark", F.lit(False)).alias("apart"))
 
+def _crossing(full: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of the nodes (node, label) in different components that may have the wanted similarity.
 
-def _compared(rows: DataFrame, full: DataFrame, percent: int, verify: bool) -> DataFrame:
-    """(o, m): for each apart row its matches in other components of its list, in cells of bounded size.
-
-    Without verify: the best match in each other component of a cell. With verify: a link to
-    each other component of a cell that it has one to, found on the full sets.
+    A node's shingles are ordered by how many nodes have them, those that no other component
+    has first, as these cannot be in common. A pair's first common shingle is at place r of n
+    and q of m, so it has n - r and m - q in common at most.
     """
-    rows = materialize(rows, "minhash-lists")
-    sizes = materialize(
-        rows.groupBy("key").agg(F.sum(F.col("apart").cast("int")).alias("out"), F.sum((~F.col("apart")).cast("int")).alias("within")).where("out > 0 and out + within > 1"),
-        "minhash-open",
-    )
-    pair = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
-    none = F.array().cast("array<struct<i:int,j:int>>")
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    # apart rows in block i meet apart rows in block j, and others in block j - ob
-    mine = F.concat(
-        F.transform(upto(F.col("ob")), lambda j: pair(F.least(j, F.col("my")), F.greatest(j, F.col("my")))),
-        F.coalesce(F.transform(upto(F.col("ib")), lambda j: pair(F.col("my"), j + F.col("ob"))), none),
+    sets = full.select("node", "n", "shingles").join(nodes, "node")
+    each = sets.select("node", "n", "label", F.explode("shingles").alias("key"))
+    shared = each.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "size")
+    enough = lambda n, have: 100 * have >= percent * n
+    ranked = (
+        each.join(shared, "key")
+        .groupBy("node")
+        .agg(F.first("n").alias("n"), F.first("label").alias("label"), F.sort_array(F.collect_list(F.struct("size", "key"))).alias("keys"))
+        .where(enough(F.col("n"), F.size("keys")))
     )
-    theirs = F.transform(upto(F.col("ob")), lambda i: pair(i, F.col("my") + F.col("ob")))
-    cells = (
-        rows.join(sizes, "key")
-        .withColumn("ob", F.ceil(F.col("out") / BLOCK).cast("int"))
-        .withColumn("ib", F.ceil(F.col("within") / OTHERS).cast("int"))
-        .withColumn("my", F.pmod(F.xxhash64("doc_id"), F.when(F.col("apart"), F.col("ob")).otherwise(F.col("ib")).cast("long")).cast("int"))
-        .select("key", "doc_id", "n", "label", "apart", F.explode(F.when(F.col("apart"), mine).otherwise(theirs)).alias("c"))
-        .join(full.select("doc_id", "mini", (F.col("shingles") if verify else F.lit(None).cast("array<long>")).alias("shingles")), "doc_id")
-        .select("key", "c.i", "c.j", "doc_id", "n", "label", "apart", "mini", "shingles")
+    lone = F.col("n") - F.size("keys")
+    prefix = (F.floor((100 - percent) * F.col("n") / 100) + 1 - lone).cast("int")
+    posted = materialize(
+        ranked.select("node", "n", "label", lone.alias("lone"), F.posexplode(F.slice("keys.key", 1, prefix)).alias("at", "key")).select(
+            "key", "node", "n", "label", (F.col("n") - F.col("lone") - F.col("at")).alias("rest")
+        ),
+        "minhash-prefixes",
     )
-
-    def linked(s: np.ndarray, t: np.ndarray) -> bool:
-        both = len(np.intersect1d(s, t, assume_unique=True))
-        return 100 * both >= percent * (len(s) + len(t) - both)
-
-    def matches(ids, n, label, apart, mini, sets):
-        o, m = [], []
-        for k in np.flatnonzero(apart):
-            at = np.flatnonzero((label != label[k]) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k])))
-            same = (mini[at] == mini[k]).sum(axis=1)
-            good = np.flatnonzero(same >= MATCHES)
-            done = set()
-            for x in good[np.argsort(-same[good], kind="stable")]:
-                if label[at[x]] not in done and (not verify or linked(sets[k], sets[at[x]])):
-                    done.add(label[at[x]])
-                    o.append(ids[k])
-                    m.append(ids[at[x]])
-        return o, m
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kept = None, []
-
-        def flush():
-            o, m = matches(*(np.concatenate(c) if isinstance(c[0], np.ndarray) else sum(c, []) for c in zip(*kept, strict=True))) if kept else ([], [])
-            return pa.RecordBatch.from_arrays([pa.array(o, pa.int64()), pa.array(m, pa.int64())], names=["o", "m"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key, i, j, ids, n, label, apart = (b.column(k).to_numpy(zero_copy_only=False) for k in range(7))
-            mini = _bytes(b.column(7), COORDINATES)
-            cut = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            for s, e in zip([0, *cut], [*cut, len(key)], strict=True):
-                if (cell := (key[s], i[s], j[s])) != last:
-                    yield flush()
-                    last, kept = cell, []
-                sets = [x.values.to_numpy() for x in b.column(8).slice(s, e - s)] if verify else [None] * int(e - s)
-                kept.append((ids[s:e], n[s:e], label[s:e], apart[s:e], mini[s:e], sets))
-        yield flush()
-
-    spread = int(full.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cells.repartition(spread, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "o long, m long").distinct()
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (doc_id long, text).
-
-    Two documents are linked if the Jaccard similarity of their sets of `width`-word shingles
-    is at least percent / 100; component_id is the smallest doc_id that links reach. Null texts
-    and texts without words have an empty set and are their own component. Rows that repeat a
-    doc_id stay; rows with a null doc_id are not linked and have a null component. Other
-    columns are ignored.
+    by_label = posted.groupBy("key", "label").agg(F.count("*").alias("many"))
+    main = by_label.groupBy("key").agg(F.max(F.struct("many", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("key", F.col("top.label").alias("main"))
+    rows = materialize(posted.join(main, "key").withColumn("apart", F.col("label") != F.col("main")).drop("main"), "minhash-mixed")
+    x = rows.where("apart").select("key", *(F.col(c).alias(f"x_{c}") for c in ("node", "n", "label", "rest")))
+    y = rows.select("key", *(F.col(c).alias(f"y_{c}") for c in ("node", "n", "label", "rest", "apart")))
+    reach = (100 + percent) * F.least("x_rest", "y_rest") >= percent * (F.col("x_n") + F.col("y_n"))
+    once = ~F.col("y_apart") | (F.col("x_node") < F.col("y_node"))
+    met = x.join(y, "key").where((F.col("x_label") != F.col("y_label")) & reach & once)
+    return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+
+
+def _classified(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(features with a node for each distinct document, (node, component) of the linked nodes).
+
+    A node is a doc_id, or a hash of doc_id and set where rows repeat a doc_id; components are
+    nodes.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    screen_matches, matches = bounds(percent)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
     features = materialize(_features(docs, width), "minhash-features")
     linkable = features.where("n > 0 and doc_id is not null")
+    repeats = materialize(linkable.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "minhash-repeats")
+    repeated = bool(repeats.take(1))
+    node = F.col("doc_id")
+    if repeated:
+        features = features.join(repeats.withColumn("again", F.lit(True)), "doc_id", "left")
+        node = F.when(F.col("again"), F.xxhash64("doc_id", "n", "fp1", "fp2")).otherwise(F.col("doc_id"))
+    features = features.withColumn("node", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), node)).drop("again")
+    linkable = features.where("node is not null")
     copies = materialize(
-        linkable.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "minhash-copies"
+        linkable.groupBy("n", "fp1", "fp2").agg(F.min("node").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies"), "minhash-copies"
     )
     members = materialize(
-        linkable.select("doc_id", "n", "fp1", "fp2").join(copies, ["n", "fp1", "fp2"]).where("rep <> doc_id").select("doc_id", "rep").distinct(), "minhash-members"
+        linkable.select("node", "n", "fp1", "fp2").join(copies, ["n", "fp1", "fp2"]).where("rep <> node").select("node", "rep").distinct(), "minhash-members"
     )
-    classes = linkable.join(members, "doc_id", "left_anti")
-    full = materialize(_sets(docs, materialize(_screened(classes), "minhash-screened"), width), "minhash-sets")
+    classes = linkable.join(members, "node", "left_anti")
+    screened = classes.join(_screened(classes, screen_matches), "node", "left_semi").select("node", "doc_id", "h")
+    if repeated:  # the same set under other texts, or the same row again
+        screened = screened.groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("of")).select("node", "of.doc_id", "of.h")
+        docs = docs.dropDuplicates(["doc_id", "h"])
+    full = materialize(_sets(docs, materialize(screened, "minhash-screened"), width), "minhash-sets")
 
     postings = _postings(full, COORDINATES)
     shared = postings.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     rare = (
         postings.join(shared, "key")
-        .groupBy("doc_id")
+        .groupBy("node")
         .agg(F.sort_array(F.collect_list(F.struct("size", "key"))).alias("keys"), F.sum("size").alias("weight"))
-        .where(F.size("keys") >= MATCHES)
-        .select("doc_id", "weight", F.slice("keys", 1, F.size("keys") - (MATCHES - 1)).alias("keys"))
+        .where(F.size("keys") >= matches)
+        .select("node", "weight", F.slice("keys", 1, F.size("keys") - (matches - 1)).alias("keys"))
     )
-    posted = materialize(rare.join(full.select("doc_id", "n"), "doc_id").select("doc_id", "n", "weight", F.explode("keys.key").alias("key")), "minhash-posted")
-    hubs = materialize(
+    posted = materialize(rare.join(full.select("node", "n"), "node").select("node", "n", "weight", F.explode("keys.key").alias("key")), "minhash-posted")
+    hubs = (
         posted.groupBy("key")
-        .agg(F.max(F.struct("weight", F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"))).alias("h"), F.count("*").alias("size"))
+        .agg(F.max(F.struct("weight", F.col("node").alias("hub"), F.col("n").alias("hub_n"))).alias("h"), F.count("*").alias("size"))
         .where("size > 1")
-        .select("key", "size", "h.hub", "h.hub_n"),
-        "minhash-hubs",
+        .select("key", "h.hub", "h.hub_n")
     )
     near_size = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
-    star = (
-        posted.join(hubs, "key")
-        .where(near_size & (F.col("doc_id") != F.col("hub")))
-        .select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
-        .distinct()
-    )
-    links = materialize(_verified(materialize(_colliding(star, full), "minhash-star"), full, percent), "minhash-links")
+    star = posted.join(hubs, "key").where(near_size & (F.col("node") != F.col("hub"))).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    links = materialize(_verified(materialize(_colliding(star, full, matches), "minhash-star"), full, percent), "minhash-links")
     labels = materialize(connected_components(links), "minhash-labels")
-    best = materialize(_compared(_apart(posted, hubs, labels), full, percent, False), "minhash-best")
-    pairs = lambda df: df.select(F.least("o", "m").alias("a"), F.greatest("o", "m").alias("b")).distinct()
-    if best.take(1):
-        links = links.union(materialize(_verified(materialize(pairs(best), "minhash-rest"), full, percent), "minhash-links"))
-        labels = materialize(connected_components(links), "minhash-labels")
-        left = _named(_named(best, labels, "o", "lo"), labels, "m", "lm").where("lo <> lm")
-        failed = materialize(left.select(F.col("o").alias("doc_id")).distinct(), "minhash-failed")
-        if failed.take(1):
-            more = materialize(pairs(_compared(_suspects(posted, failed, labels), full, percent, True)), "minhash-links")
-            if more.take(1):
-                links = links.union(more)
-                labels = materialize(connected_components(links), "minhash-labels")
-    renamed = labels.select(F.col("node").alias("rep"), "component")
-    moved = members.join(renamed, "rep", "left").select(F.col("doc_id").alias("member"), F.coalesce("component", "rep").alias("component"))
-    component = materialize(moved.union(renamed.select(F.col("rep").alias("member"), "component")), "minhash-components")
-    return features.join(component, F.col("doc_id") == F.col("member"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
-    )
+    crossing = materialize(_crossing(full, materialize(_open(posted, labels), "minhash-open"), percent), "minhash-crossing")
+    more = materialize(_verified(crossing, full, percent), "minhash-links")
+    if more.take(1):
+        labels = materialize(connected_components(links.union(more)), "minhash-labels")
+    renamed = labels.withColumnRenamed("node", "rep")
+    moved = members.join(renamed, "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
+    heads = members.select(F.col("rep").alias("node"), F.col("rep").alias("component")).join(labels, "node", "left_anti").distinct()
+    linked = materialize(moved.unionByName(labels.select("node", "component")).unionByName(heads), "minhash-components")
+    if repeated:  # nodes are no doc_ids there: the smallest doc_id names the component
+        ids = features.select("node", "doc_id").join(linked, "node")
+        names = ids.groupBy("component").agg(F.min("doc_id").alias("smallest"))
+        linked = materialize(linked.join(names, "component").select("node", "component", "smallest"), "minhash-components")
+    else:
+        linked = linked.withColumn("smallest", F.col("component"))
+    return features, linked
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs (doc_id long, text).
+
+    Two documents are linked if the Jaccard similarity of their sets of `width`-word shingles
+    is at least percent / 100 (60 to 100); component_id is the smallest doc_id that links reach.
+    Null texts and texts without words have an empty set and are their own component. Rows
+    stay as they are, repeated ones too; rows that share a doc_id but not the set of shingles
+    are documents of their own, in a component each unless links join them. Rows with a null
+    doc_id are not linked and have a null component. Other columns are ignored. An empty
+    table gives none.
+    """
+    features, linked = _classified(docs, width, percent)
+    return features.join(linked.select("node", "smallest"), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row of each group of near-duplicates: that with the group's smallest doc_id.
 
-    Rows with a null doc_id stay. Of rows with one doc_id, one stays.
+    Of rows of a group that share this doc_id, that with the least hash of its text stays; of
+    rows that share doc_id and text, one, with or without words. Rows with a null doc_id stay.
+    All columns are kept, whatever their names.
     """
-    parts = near_duplicates(docs, width, percent)
-    gone = parts.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    features, linked = _classified(docs, width, percent)
+    rows = features.select("node", "doc_id", "h").join(linked.select("node", "component"), "node")
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "h")).alias("first"))
+    i, h = fresh(docs, "id"), fresh(docs, "hash")
+    gone = rows.join(first, "component").where(F.struct("doc_id", "h") != F.col("first")).select(F.col("doc_id").alias(i), F.col("h").alias(h)).distinct()
+    same_id = F.col("doc_id").cast("long") == F.col(i)
+    kept = docs.join(materialize(gone, "minhash-gone"), same_id & (F.xxhash64("text") == F.col(h)), "left_anti")
+    again = materialize(
+        features.where("doc_id is not null").groupBy("doc_id", "h").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias(i)).distinct(), "minhash-again"
+    )
+    if not again.take(1):
+        return kept
+    twice = kept.join(again, same_id, "left_semi").withColumn(h, F.xxhash64("text")).dropDuplicates(["doc_id", h]).drop(h)
+    return kept.join(again, same_id, "left_anti").unionByName(twice)

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from causalspark.llm.minhash import drop_near_duplicates, near_duplicates
 
 
@@ -72,3 +74,41 @@ def test_nulls_repeats_and_empty(spark):
     assert got == sorted(map(str, [(1, 2, 1), (1, 2, 1), (None, 2, None), (2, 0, 2)]))
     assert near_duplicates(df.limit(0), 2).count() == 0
     assert drop_near_duplicates(df).count() == 3
+    assert drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_rows_that_share_an_id_but_not_the_text(spark):
+    a, b = "red green blue grey", "one two three four"
+    rows = [(1, a, "x", 7), (5, a, "y", 7), (5, b, "z", 7), (9, b, "x", 7), (9, b, "x", 7), (5, None, "n", 7), (5, None, "n", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, hash string, node long")
+    got = sorted(map(str, (tuple(r) for r in near_duplicates(df, 2).collect())))
+    assert got == sorted(map(str, [(1, 3, 1), (5, 3, 1), (5, 3, 5), (9, 3, 5), (9, 3, 5), (5, 0, 5), (5, 0, 5)]))
+    kept = drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted(map(str, (tuple(r) for r in kept.collect()))) == sorted(map(str, [(1, a, "x", 7), (5, b, "z", 7), (5, None, "n", 7)]))
+
+
+@pytest.mark.parametrize("percent", [60, 90])
+def test_other_thresholds(spark, percent):
+    rows = corpus()[-180:]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in near_duplicates(df, 2, percent).collect()} == brute(rows, 2, percent)
+
+
+def test_thresholds_out_of_range(spark):
+    with pytest.raises(ValueError):
+        near_duplicates(spark.createDataFrame([(1, "a")], "doc_id long, text string"), 2, 50)
+
+
+def test_recall_of_pairs_at_the_threshold(spark):
+    """Pairs just at 0.8: 160 common words of 200, as sets of one-word shingles; all are found."""
+    r = random.Random(5)
+    rows = []
+    for k in range(400):
+        common = [f"p{k}c{j}" for j in range(160)]
+        for side in range(2):
+            words = common + [f"p{k}s{side}x{j}" for j in range(20)]
+            r.shuffle(words)
+            rows.append((2 * k + side, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near_duplicates(df, 1, 80).where("component_id = doc_id").count() == 400
