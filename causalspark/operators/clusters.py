@@ -16,21 +16,24 @@ def _pure(stats: SuffStats, quad, alpha: float) -> bool:
 
 
 def one_factor_clusters(stats: SuffStats, alpha: float = 0.01) -> list[list[str]]:
-    """Sets of four and more variables of which every four's differences vanish.
+    """Sets of four and more variables of which every three are pure.
 
     A triple is pure if with every other correlated variable its differences vanish; pure triples
-    seed clusters that grow by what keeps all quartets pure, and the largest come first.
+    seed clusters that grow by what keeps all triples pure, and the largest come first.
     """
     names = stats.names
     r, bound = np.abs(stats.corr), 2.58 / np.sqrt(max(stats.n, 1))
     linked = lambda vs: all(r[stats.index[a], stats.index[b]] > bound for a, b in combinations(vs, 2))
+    whole = {
+        frozenset(t)
+        for t in combinations(names, 3)
+        if linked(t) and all(_pure(stats, (*t, v), alpha) for v in names if v not in t and linked([*t, v]))
+    }
     found: list[list[str]] = []
-    for triple in combinations(names, 3):
-        if not linked(triple):
-            continue
-        cluster = list(triple)
+    for triple in sorted(whole, key=lambda t: sorted(map(names.index, t))):
+        cluster = sorted(triple, key=names.index)
         for v in names:
-            if v not in cluster and linked([*cluster, v]) and all(_pure(stats, (*t, v), alpha) for t in combinations(cluster, 3)):
+            if v not in cluster and all(frozenset((a, b, v)) in whole for a, b in combinations(cluster, 2)):
                 cluster.append(v)
         if len(cluster) >= 4:
             found.append(cluster)

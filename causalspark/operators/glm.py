@@ -86,9 +86,8 @@ class MixedRegression(Test):
                                 h[i * p : (i + 1) * p, j * p : (j + 1) * p] += (x * part[:, None]).T @ x
                 yield pa.RecordBatch.from_arrays([pa.array([h.tobytes()]), pa.array([g.tobytes()]), pa.array([v])], names=["h", "g", "v"])
 
-            h, g, like = np.zeros(((k - 1) * p,) * 2), np.zeros((k - 1) * p), 0.0
-            for r in rows.mapInArrow(run, "h binary, g binary, v double").toLocalIterator():
-                h, g, like = h + np.frombuffer(r["h"]).reshape(h.shape), g + np.frombuffer(r["g"]), like + r["v"]
+            r = merged_sums(rows.mapInArrow(run, "h binary, g binary, v double"))[0]
+            h, g, like = np.frombuffer(r["h"]).reshape((k - 1) * p, (k - 1) * p), np.frombuffer(r["g"]), r["v"]
             if like - last < 1e-8 * abs(like):
                 break
             last = like

@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tables import written
+
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(ancestor, node): all pairs with a directed path, by a recursive query."""
-    spark = edges.sparkSession
-    edges.select("src", "dst").createOrReplaceTempView("_closure_edges")
-    return spark.sql(
-        "WITH RECURSIVE walk(ancestor, node, depth) AS (SELECT src, dst, 1 FROM _closure_edges UNION ALL "
-        "SELECT w.ancestor, e.dst, w.depth + 1 FROM walk w JOIN _closure_edges e ON w.node = e.src WHERE w.depth < 64) SELECT DISTINCT ancestor, node FROM walk"
-    )
+    """(ancestor, node): all pairs with a directed path.
+
+    A round joins the pairs found last with all pairs, so that paths double in length, and
+    keeps what is new; it ends when nothing is. Nodes on a cycle are their own ancestors.
+    """
+    pairs = new = written(edges.select(F.col("src").alias("ancestor"), F.col("dst").alias("node")).where("ancestor is not null and node is not null").distinct())
+    while new.take(1):
+        x = new.select("ancestor", F.col("node").alias("via"))
+        y = pairs.select(F.col("ancestor").alias("via"), "node")
+        back = pairs.select("ancestor", F.col("node").alias("via")).join(new.select(F.col("ancestor").alias("via"), "node"), "via")
+        new = written(x.join(y, "via").select("ancestor", "node").union(back.select("ancestor", "node")).distinct().join(pairs, ["ancestor", "node"], "left_anti"))
+        pairs = written(pairs.union(new))
+    return pairs
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -22,19 +30,30 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("c").alias("children"), F.sum("p").alias("parents"))
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, component): the smallest node of each connected part, by rounds of least neighbours and shortcuts."""
-    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).cache()
-    labels = both.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
-    for _ in range(rounds):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("least"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", "component", F.least("component", "least").alias("next"))
-        step = step.sparkSession.createDataFrame(step.toArrow(), step.schema) if step.count() <= 100_000 else step.checkpoint()
-        if not step.where("next <> component").take(1):
-            break
-        labels = step.select("node", F.col("next").alias("component"))
-    both.unpersist()
-    return labels
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node of each connected part.
+
+    Each round links a node's larger neighbours to its smallest neighbour, then a node and its
+    smaller neighbours to the smallest of these; it ends when links stay as they are, which
+    takes a number of rounds like the logarithm of the longest path. Grouped minima and joins
+    only: no neighbourhood is gathered.
+    """
+    named = edges.where("src is not null and dst is not null")
+    links = written(named.select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).distinct())
+    nodes = links.select(F.col("hi").alias("node")).union(links.select("lo")).distinct()
+    links = links.where("hi <> lo")
+    before = None
+    while (now := tuple(links.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())) != before:
+        before = now
+        both = links.union(links.select("lo", "hi"))
+        least = both.groupBy(F.col("hi").alias("u")).agg(F.least(F.min("lo"), F.first("hi")).alias("m"))
+        wide = both.where("lo > hi").join(least, F.col("hi") == F.col("u")).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        wide = written(wide.where("hi <> lo").distinct())
+        least = wide.groupBy(F.col("hi").alias("u")).agg(F.min("lo").alias("m"))
+        near = wide.join(least, F.col("hi") == F.col("u")).select(F.explode(F.array("hi", "lo")).alias("hi"), F.col("m").alias("lo"))
+        links = written(near.where("hi <> lo").distinct())
+    named = links.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("component"))
+    return nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def colliders(edges: DataFrame) -> DataFrame:

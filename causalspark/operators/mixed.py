@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.suffstats import SuffStats, _merge
+from ..plans.suffstats import SuffStats, _merge, merged_moments, merged_sums
 from .graph import Graph
 from .independence import FisherZ
 from .search import skeleton
@@ -80,10 +80,8 @@ def mgm(df: DataFrame, continuous: list[str], discrete: list[str], lam: tuple[fl
             [pa.array([list(k) for k in keys], pa.list_(pa.string())), pa.array([held[k][0] for k in keys], pa.int64()), *(pa.array([held[k][j].tobytes() for k in keys], pa.binary()) for j in (1, 2))], names=["k", "n", "s", "m"]
         )
 
-    cells: dict = {}
-    for r in z.mapInArrow(run, "k array<string>, n long, s binary, m binary").toLocalIterator():
-        n, s, m = cells.get(tuple(r["k"]), (0, np.zeros(p), np.zeros((p, p))))
-        cells[tuple(r["k"])] = (n + r["n"], s + np.frombuffer(r["s"]), m + np.frombuffer(r["m"]).reshape(p, p))
+    sums = merged_sums(z.mapInArrow(run, "k array<string>, n long, s binary, m binary"), "k")
+    cells = {tuple(r["k"]): (r["n"], np.frombuffer(r["s"]), np.frombuffer(r["m"]).reshape(p, p)) for r in sums}
     keys = sorted(cells)
     total = sum(cells[k][0] for k in keys)
     names = [sorted({k[j] for k in keys}) for j in range(q)]
@@ -146,7 +144,8 @@ def mgm(df: DataFrame, continuous: list[str], discrete: list[str], lam: tuple[fl
                         yield pa.RecordBatch.from_arrays([pa.array([v]), *(pa.array([m.tobytes()], pa.binary()) for m in g)], names=["v", "a", "r", "f"])
 
             shapes = ((width,), (p, width), (width, width))
-            parts = [(r["v"], *(np.frombuffer(r[k]).reshape(shape) for k, shape in zip("arf", shapes, strict=True))) for r in coded.mapInArrow(run, "v double, a binary, r binary, f binary").toLocalIterator()]
+            rows_ = merged_sums(coded.mapInArrow(run, "v double, a binary, r binary, f binary"))
+            parts = [(r["v"], *(np.frombuffer(r[k]).reshape(shape) for k, shape in zip("arf", shapes, strict=True))) for r in rows_]
         return tuple(sum(x[k] for x in parts) / total for k in range(4))
 
     sizes = {"beta": (p, p), "betad": (p,), "rho": (p, width), "phi": (width, width), "alpha1": (p,), "alpha2": (width,)}
@@ -265,11 +264,9 @@ def bootstrap_stats(df: DataFrame, cols: list[str], replicates: int, seed: int,
         for r, (n, mean, m2) in enumerate(held):
             yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([n], pa.int64()), pa.array([mean.tobytes()]), pa.array([m2.tobytes()])], names=["r", "n", "mean", "m2"])
 
-    out: dict = {}
-    rows = df.select(F.col(row_id).cast("long"), *[F.col(c).cast("double") for c in cols]).dropna()
-    for r in rows.mapInArrow(run, "r int, n long, mean binary, m2 binary").toLocalIterator():
-        out[r["r"]] = _merge(out.get(r["r"], (0, np.zeros(p), np.zeros((p, p)))), (r["n"], np.frombuffer(r["mean"]), np.frombuffer(r["m2"]).reshape(p, p)))
-    return {k: SuffStats(list(cols), n, m2 / max(n - 1, 1), mean) for k, (n, mean, m2) in sorted(out.items())}
+    rows = df.select(F.col(row_id).cast("long").alias(row_id), *[F.col(c).cast("double").alias(c) for c in cols]).dropna()
+    parts = merged_moments(rows.mapInArrow(run, "r int, n long, mean binary, m2 binary"), p, "r")
+    return {r["r"]: SuffStats(list(cols), r["n"], np.frombuffer(r["m2"]).reshape(p, p) / max(r["n"] - 1, 1), np.frombuffer(r["mean"])) for r in sorted(parts, key=lambda r: r["r"])}
 
 
 def edge_frequencies(stats: dict[int, SuffStats], alpha: float, depth: int = -1) -> dict[tuple[str, str], float]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.special import chi2_sf, normal_cdf, t_cdf
-from ..plans.suffstats import SuffStats, sufficient_stats
+from ..plans.suffstats import SuffStats, merged_sums, sufficient_stats
 from .graph import Graph
 
 
@@ -71,9 +71,8 @@ def logistic(df: DataFrame, target: str, predictors: list[str], rounds: int = 30
                     n += b.num_rows
             yield pa.RecordBatch.from_arrays([pa.array([h.tobytes()]), pa.array([g.tobytes()]), pa.array([like]), pa.array([n], pa.int64())], names=["h", "g", "l", "n"])
 
-        h, g, n = np.zeros((p, p)), np.zeros(p), 0
-        for r in rows.mapInArrow(run, "h binary, g binary, l double, n long").toLocalIterator():
-            h, g, n = h + np.frombuffer(r["h"]).reshape(p, p), g + np.frombuffer(r["g"]), n + r["n"]
+        r = merged_sums(rows.mapInArrow(run, "h binary, g binary, l double, n long"))[0]
+        h, g, n = np.frombuffer(r["h"]).reshape(p, p), np.frombuffer(r["g"]), r["n"]
         step = np.linalg.solve(h + 1e-10 * np.eye(p), g)
         w = w + step
         if np.abs(step).max() < 1e-10:

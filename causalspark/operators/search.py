@@ -544,20 +544,42 @@ def fast_ica(x: np.ndarray, seed: int = 0, steps: int = 500) -> np.ndarray:
     return w @ white.T
 
 
+def assignment(cost: np.ndarray) -> list[int]:
+    """The row of each column in a pairing of least total cost, by shortest augmenting paths."""
+    p = len(cost)
+    row_of = [-1] * p
+    row_price, col_price = np.zeros(p), np.zeros(p)
+    for start in range(p):
+        far, came, done = np.full(p, np.inf), [-1] * p, np.zeros(p, dtype=bool)
+        row, reach, col = start, 0.0, -1
+        while True:  # Dijkstra over columns until a free one
+            step = reach + cost[row] - row_price[row] - col_price
+            for j in np.flatnonzero(~done & (step < far - 1e-15)):
+                far[j], came[j] = step[j], row
+            col = int(np.argmin(np.where(done, np.inf, far)))
+            reach = far[col]
+            if row_of[col] < 0:
+                break
+            done[col], row = True, row_of[col]
+        for j in np.flatnonzero(done):
+            row_price[row_of[j]] += reach - far[j]
+            col_price[j] -= reach - far[j]
+        row_price[start] += reach
+        while col >= 0:  # shift the path
+            row = came[col]
+            before = row_of.index(row) if row in row_of else -1
+            row_of[col], col = row, before
+            if row == start:
+                break
+    return row_of
+
+
 def lingam(x: np.ndarray, names: list[str], threshold: float = 0.05, seed: int = 0) -> tuple[Graph, np.ndarray]:
     """(DAG, coefficients b[i, j] of j in i) of a linear non-Gaussian acyclic model of rows x."""
     p = len(names)
     w = fast_ica(x - x.mean(axis=0), seed)
-    # rows to places: the assignment with the largest diagonal, greedily improved by swaps
-    cost = 1 / np.maximum(np.abs(w), 1e-12)
-    place = list(range(p))
-    better = True
-    while better:
-        better = False
-        for i, j in combinations(range(p), 2):
-            if cost[place[i], i] + cost[place[j], j] > cost[place[j], i] + cost[place[i], j] + 1e-12:
-                place[i], place[j] = place[j], place[i]
-                better = True
+    # rows to places, so that no diagonal entry is small
+    place = assignment(1 / np.maximum(np.abs(w), 1e-12))
     w = w[place]
     b = np.eye(p) - w / np.diag(w)[:, None]
     left, order = list(range(p)), []

@@ -28,14 +28,21 @@ def summary(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def moments(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Skewness (third sum over n - 1, second over n), excess kurtosis (fourth over n, variance with n - 1), average deviation."""
-    rows = long(df, cols)
-    means = rows.groupBy("var").agg(F.avg("value").alias("m"))
-    d = F.col("value") - F.col("m")
-    s = rows.join(F.broadcast(means), "var").groupBy("var").agg(  # one row for each column
-        F.count("*").alias("n"), *[F.sum(F.pow(d, F.lit(float(k)))).alias(f"s{k}") for k in (2, 3, 4)], F.avg(F.abs(d)).alias("average_deviation")
-    )
-    return s.select(
+    """Skewness (third sum over n - 1, second over n), excess kurtosis (fourth over n, variance with n - 1), average deviation.
+
+    Two passes, of means and of powers of the differences from these; nulls do not count.
+    """
+    rows = df.select(*[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(cols)])
+    means = rows.agg(*[F.avg(f"x{k}") for k in range(len(cols))])
+    named = means.toDF(*[f"m{k}" for k in range(len(cols))])
+    aggs = []
+    for k in range(len(cols)):
+        d = F.col(f"x{k}") - F.col(f"m{k}")
+        aggs.append(F.struct(F.count(f"x{k}").alias("n"), *[F.sum(reduce(lambda a, b: a * b, [d] * j)).alias(f"s{j}") for j in (2, 3, 4)], F.avg(F.abs(d)).alias("average_deviation")).alias(f"a{k}"))
+    one = rows.join(F.broadcast(named)).agg(*aggs)  # one row of means
+    fields = ("n", "s2", "s3", "s4", "average_deviation")
+    s = one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("var"), *[F.col(f"a{k}.{f}").alias(f) for f in fields]) for k, c in enumerate(cols)])))
+    return s.where("n > 0").select(
         "var",
         (F.col("s3") / (F.col("n") - 1) / F.pow(F.col("s2") / F.col("n"), F.lit(1.5))).alias("skewness"),
         (F.col("s4") / F.col("n") / F.pow(F.col("s2") / (F.col("n") - 1), F.lit(2.0)) - 3).alias("kurtosis"),

@@ -7,16 +7,22 @@ that a transform needs come from one aggregation whose single row is joined to a
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..plans.tables import fresh, written
 
-def _with_stats(df: DataFrame, aggs: list[Column]) -> DataFrame:
-    """df with a one-row table of aggregates beside each row."""
-    return df.join(F.broadcast(df.agg(*aggs)))  # one row, whatever the size of df
+
+def _with_stats(df: DataFrame, aggs: dict[str, Column]) -> tuple[DataFrame, Callable[[str], Column]]:
+    """(df with one column more, which holds the aggregates of df; the aggregate of a name)."""
+    name = fresh(df, "stats")
+    one = df.agg(*[a.alias(f"a{k}") for k, a in enumerate(aggs.values())]).select(F.struct("*").alias(name))
+    at = {n: f"a{k}" for k, n in enumerate(aggs)}
+    return df.join(F.broadcast(one)), lambda n: F.col(name).getField(at[n])  # one row, whatever the size of df
 
 
 def normalise_missing(df: DataFrame, cols: list[str] | None = None, code: int = -99) -> DataFrame:
@@ -31,26 +37,28 @@ def normalise_missing(df: DataFrame, cols: list[str] | None = None, code: int =
 
 
 def center(df: DataFrame, cols: list[str]) -> DataFrame:
-    s = _with_stats(df, [F.avg(c).alias(f"_m_{c}") for c in cols])
-    return s.select(*[(F.col(c) - F.col(f"_m_{c}")).alias(c) if c in cols else F.col(c) for c in df.columns])
+    """x - mean; nulls stay null and do not count."""
+    s, mean = _with_stats(df, {c: F.avg(c) for c in cols})
+    return s.select(*[(F.col(c) - mean(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def standardize(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(x - mean) / sd with divisor n - 1; a constant column becomes null."""
-    s = _with_stats(df, [f(c).alias(f"_{k}_{c}") for c in cols for k, f in (("m", F.avg), ("s", F.stddev_samp))])
-    one = lambda c: F.when(F.col(f"_s_{c}") > 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}"))
+    """(x - mean) / sd with divisor n - 1; a constant column becomes null; nulls stay null and do not count."""
+    s, of = _with_stats(df, {(k, c): f(c) for c in cols for k, f in (("m", F.avg), ("s", F.stddev_samp))})
+    one = lambda c: F.when(of(("s", c)) > 0, (F.col(c) - of(("m", c))) / of(("s", c)))
     return s.select(*[one(c).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def impute_mean(df: DataFrame, cols: list[str]) -> DataFrame:
-    s = _with_stats(df, [F.avg(c).alias(f"_m_{c}") for c in cols])
-    return s.select(*[F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")).alias(c) if c in cols else F.col(c) for c in df.columns])
+    """The mean of the values that are there; a column without any stays null."""
+    s, mean = _with_stats(df, {c: F.avg(c) for c in cols})
+    return s.select(*[F.coalesce(F.col(c).cast("double"), mean(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def impute_mode(df: DataFrame, cols: list[str]) -> DataFrame:
     """The most frequent value, the smallest of several."""
-    s = _with_stats(df, [F.mode(F.col(c), True).alias(f"_m_{c}") for c in cols])
-    return s.select(*[F.coalesce(F.col(c), F.col(f"_m_{c}")).alias(c) if c in cols else F.col(c) for c in df.columns])
+    s, mode = _with_stats(df, {c: F.mode(F.col(c), True) for c in cols})
+    return s.select(*[F.coalesce(F.col(c), mode(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def impute_extra_category(df: DataFrame, cols: list[str], label: str = "*") -> DataFrame:
@@ -98,33 +106,39 @@ def is_binary(df: DataFrame, col: str) -> bool:
 
 def equal_intervals(df: DataFrame, col: str, k: int, out: str | None = None) -> DataFrame:
     """Bins of equal width from minimum to maximum; a value on a bound belongs to the bin above."""
-    s = _with_stats(df, [F.min(col).cast("double").alias("_lo"), F.max(col).cast("double").alias("_hi")])
-    cuts = [(F.col(col) >= F.col("_lo") + (g + 1) * (F.col("_hi") - F.col("_lo")) / k).cast("int") for g in range(k - 1)]
-    return s.withColumn(out or f"{col}_bin", reduce(lambda a, b: a + b, cuts, F.lit(0))).drop("_lo", "_hi")
+    s, of = _with_stats(df, {"lo": F.min(col).cast("double"), "hi": F.max(col).cast("double")})
+    cuts = [(F.col(col) >= of("lo") + (g + 1) * (of("hi") - of("lo")) / k).cast("int") for g in range(k - 1)]
+    return s.select(*df.columns, reduce(lambda a, b: a + b, cuts, F.lit(0)).alias(out or f"{col}_bin"))
 
 
-def quantile_points(df: DataFrame, col: str, k: int) -> list[float]:
-    """The sorted values at n / k * (i + 1) with whole-number division: exact order statistics.
+def _counted(df: DataFrame, col: str, kind: str | None = None) -> tuple[DataFrame, int]:
+    """((v, n, below) for each distinct value, the number of rows): n rows hold v, `below` a smaller value.
 
-    Distinct values and their counts are range-partitioned; the driver sees the row number at
-    which each partition begins, and the k - 1 values.
+    Distinct values are range-partitioned and written once, as ranges differ between runs; the
+    driver sees the number of rows of each partition only.
     """
-    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    ranged = counts.repartitionByRange("v").sortWithinPartitions("v").select("v", "n", F.spark_partition_id().alias("p"))
+    value = F.col(col).cast(kind) if kind else F.col(col)
+    counts = df.where(F.col(col).isNotNull()).groupBy(value.alias("v")).agg(F.count("*").alias("n"))
+    ranged = written(counts.repartitionByRange("v").select("v", "n", F.spark_partition_id().alias("p")))
     sizes = dict(sorted(tuple(r) for r in ranged.groupBy("p").agg(F.sum("n")).collect()))
-    total = sum(sizes.values())
-    if not total:
-        return []
-    offset, at = {}, 0
+    offset, at = {-1: 0}, 0
     for p, n in sizes.items():
         offset[p] = at
         at += n
-    wanted = [total // k * (i + 1) for i in range(k - 1)]
     first = F.element_at(F.create_map(*[F.lit(x) for pair in offset.items() for x in pair]), F.col("p"))
-    upto = F.sum("n").over(W.partitionBy("p").orderBy("v")) + first
-    hits = ranged.withColumn("e", upto).select("v", (F.col("e") - F.col("n")).alias("s"), "e").select("v", F.explode(F.filter(F.array(*map(F.lit, wanted)), lambda w: (w >= F.col("s")) & (w < F.col("e")))).alias("w"))
-    found = {r["w"]: r["v"] for r in hits.distinct().collect()}
-    return [found[w] for w in wanted]
+    below = F.sum("n").over(W.partitionBy("p").orderBy("v")) - F.col("n") + first
+    return ranged.select("v", "n", below.cast("long").alias("below")), at
+
+
+def quantile_points(df: DataFrame, col: str, k: int) -> list[float]:
+    """The sorted values at n / k * (i + 1) with whole-number division: exact order statistics."""
+    counts, total = _counted(df, col, "double")
+    if not total:
+        return []
+    wanted = [total // k * (i + 1) for i in range(k - 1)]
+    inside = F.filter(F.array(*map(F.lit, wanted)), lambda w: (w >= F.col("below")) & (w < F.col("below") + F.col("n")))
+    found = {r["w"]: r["v"] for r in counts.select("v", F.explode(inside).alias("w")).collect()}
+    return [found[w] for w in wanted if w in found]
 
 
 def cut(df: DataFrame, col: str, bounds: list[float], out: str | None = None) -> DataFrame:
@@ -141,34 +155,44 @@ def histogram(df: DataFrame, col: str, bins: int, where: Column | None = None) -
     """(bin, frequency) with all bins, of the rows that meet a condition; bins span those rows."""
     rows = df.where(where) if where is not None else df
     rows = rows.where(F.col(col).isNotNull())
-    s = _with_stats(rows, [F.min(col).cast("double").alias("_lo"), F.max(col).cast("double").alias("_hi")])
-    at = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(col) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)).otherwise(0)
+    s, of = _with_stats(rows, {"lo": F.min(col).cast("double"), "hi": F.max(col).cast("double")})
+    at = F.when(of("hi") > of("lo"), F.floor((F.col(col) - of("lo")) / (of("hi") - of("lo")) * bins)).otherwise(0)
     counted = s.select(F.least(at, F.lit(bins - 1)).cast("int").alias("bin")).groupBy("bin").agg(F.count("*").alias("frequency"))
     return df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).join(counted, "bin", "left").na.fill(0, ["frequency"])
 
 
 def average_ranks(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Ranks from 1, tied values sharing their mean; by one count for each value and a running sum."""
-    counts = df.groupBy(col).agg(F.count("*").alias("_n"))
-    below = W.orderBy(col).rowsBetween(W.unboundedPreceding, -1)  # over distinct values
-    ranked = counts.where(F.col(col).isNotNull()).select(F.col(col).alias("_v"), (F.coalesce(F.sum("_n").over(below), F.lit(0)) + (F.col("_n") + 1) / 2).alias(out))
-    return df.join(ranked, F.col(col) == F.col("_v"), "left").drop("_v")
+    """Ranks from 1, tied values sharing their mean; nulls have none. By one count for each value and running sums of ranges."""
+    counts, _ = _counted(df, col)
+    v = fresh(df, "value")
+    ranked = counts.select(F.col("v").alias(v), (F.col("below") + (F.col("n") + 1) / 2).alias(out))
+    return df.join(ranked, F.col(col) == F.col(v), "left").drop(v)
 
 
 def nonparanormal(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Truncated normal scores of the ranks, brought to the column's own mean and deviation."""
+    """Truncated normal scores of the ranks, brought to the column's own mean and deviation.
+
+    Scores are computed once for each distinct value; nulls stay null.
+    """
     from ..functions.special import normal_quantile
 
-    n = df.where(F.col(col).isNotNull()).count()
-    delta = 1 / (4 * n**0.25 * math.sqrt(math.pi * math.log(n)))
+    counts, n = _counted(df, col)
+    if not n:
+        return df.withColumn(out, F.lit(None).cast("double"))
+    delta = 1 / (4 * n**0.25 * math.sqrt(math.pi * math.log(n))) if n > 1 else 0.5
 
     @F.pandas_udf("double")
     def score(p):
         return p.map(normal_quantile)
 
-    ranked = average_ranks(df, col, "_r").withColumn("_z", score(F.greatest(F.lit(delta), F.least(F.lit(1 - delta), F.col("_r") / n))))
-    s = _with_stats(ranked, [F.stddev_samp("_z").alias("_zs"), F.avg(col).alias("_m"), F.stddev_samp(col).alias("_s")])
-    return s.withColumn(out, F.col("_z") / F.col("_zs") * F.col("_s") + F.col("_m")).drop("_r", "_z", "_zs", "_m", "_s")
+    share = (F.col("below") + (F.col("n") + 1) / 2) / n
+    z = written(counts.select("v", "n", score(F.greatest(F.lit(delta), F.least(F.lit(1 - delta), share))).alias("z")))
+    x, w = F.col("v").cast("double"), F.col("n")
+    m = z.agg((F.sum(w * x) / n).alias("m"), (F.sum(w * F.col("z")) / n).alias("zm")).first()
+    dev = z.agg(F.sum(w * (x - m["m"]) ** 2).alias("s"), F.sum(w * (F.col("z") - m["zm"]) ** 2).alias("zs")).first()
+    v = fresh(df, "value")
+    scaled = F.col("z") * F.lit(math.sqrt(dev["s"] / dev["zs"]) if dev["zs"] else 0.0) + F.lit(float(m["m"]))
+    return df.join(z.select(F.col("v").alias(v), scaled.alias(out)), F.col(col) == F.col(v), "left").drop(v)
 
 
 def case_expand(df: DataFrame, multiplicity: str) -> DataFrame:

@@ -1,19 +1,43 @@
 """Sufficient statistics: one pass over the rows to a p x p matrix.
 
-Each task sums centred products of its rows with NumPy and returns p * p numbers; the driver
-merges these pairwise, so nothing of the size of the data leaves the executors and precision
-does not suffer from large means. The closed form in SQL serves few columns.
+Each task sums centred products of its rows with NumPy and returns p * p numbers. These are
+merged pairwise in the executors, in SLOTS groups and then in one, so that one row reaches the
+driver and precision does not suffer from large means. The closed form in SQL serves few
+columns.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+
+#: Groups in which partial results of tasks are merged first; each holds a share of the tasks.
+SLOTS = 64
+
+
+def merged(parts: DataFrame, merge: Callable[[dict, dict], dict], key: str | None = None) -> list[Row]:
+    """The rows of `parts`, partial results of tasks, merged into one row, or one for each key.
+
+    merge takes and returns rows as dicts. Merging is done by tasks, in two steps.
+    """
+    schema = parts.schema
+    arrow = to_arrow_schema(schema)
+
+    def all_of(t: pa.Table) -> pa.Table:
+        return pa.Table.from_pylist([reduce(merge, t.to_pylist())], schema=arrow)
+
+    keys = [key] if key else []
+    slotted = parts.select("*", F.pmod(F.spark_partition_id(), F.lit(SLOTS)).alias("_slot"))
+    some = slotted.groupBy(*keys, "_slot").applyInArrow(lambda t: all_of(t.drop_columns("_slot")), schema)
+    return some.groupBy(*keys).applyInArrow(all_of, schema).collect()
 
 
 @dataclass
@@ -87,6 +111,23 @@ def _merge(a, b):
     return n, ma + d * (nb / n), sa + sb + np.outer(d, d) * (na * nb / n)
 
 
+def merged_moments(parts: DataFrame, p: int, key: str | None = None) -> list[Row]:
+    """(key, n, mean, m2) rows of tasks, merged."""
+
+    def merge(a: dict, b: dict) -> dict:
+        x, y = ((r["n"], np.frombuffer(r["mean"]), np.frombuffer(r["m2"]).reshape(p, p)) for r in (a, b))
+        n, mean, m2 = _merge(x, y)
+        return a | {"n": n, "mean": mean.tobytes(), "m2": m2.tobytes()}
+
+    return merged(parts, merge, key)
+
+
+def merged_sums(parts: DataFrame, key: str | None = None) -> list[Row]:
+    """Rows of tasks added up: numbers, and binary columns of doubles."""
+    add = lambda x, y: (np.frombuffer(x) + np.frombuffer(y)).tobytes() if isinstance(x, bytes) else x + y
+    return merged(parts, lambda a, b: {k: v if k == key else add(v, b[k]) for k, v in a.items()}, key)
+
+
 def sufficient_stats(df: DataFrame, cols: list[str] | None = None) -> SuffStats:
     """Statistics over the rows in which all columns are present and finite."""
     cols = cols or df.columns
@@ -97,11 +138,10 @@ def sufficient_stats(df: DataFrame, cols: list[str] | None = None) -> SuffStats:
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([mean.tobytes()]), pa.array([m2.tobytes()])], names=["n", "mean", "m2"])
 
     parts = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).mapInArrow(run, "n long, mean binary, m2 binary")
-    total = (0, np.zeros(p), np.zeros((p, p)))
-    for r in parts.toLocalIterator():  # a partition's p * p numbers at a time
-        total = _merge(total, (r["n"], np.frombuffer(r["mean"]), np.frombuffer(r["m2"]).reshape(p, p)))
-    n, mean, m2 = total
-    return SuffStats(list(cols), n, m2 / max(n - 1, 1), mean)
+    r = next(iter(merged_moments(parts, p)), None)
+    if r is None:  # a table without partitions
+        return SuffStats(list(cols), 0, np.zeros((p, p)), np.zeros(p))
+    return SuffStats(list(cols), r["n"], np.frombuffer(r["m2"]).reshape(p, p) / max(r["n"] - 1, 1), np.frombuffer(r["mean"]))
 
 
 def grouped_stats(df: DataFrame, by: str, cols: list[str]) -> dict:
@@ -111,13 +151,11 @@ def grouped_stats(df: DataFrame, by: str, cols: list[str]) -> dict:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         for b in batches:
-            keys = b.column(0).to_pylist()
+            coded = b.column(0).dictionary_encode("encode")
+            code = coded.indices.to_numpy(zero_copy_only=False)
             x = np.stack([np.asarray(c.to_numpy(zero_copy_only=False), dtype=np.float64) for c in b.columns[1:]], axis=1)
-            at: dict = {}
-            for k, v in enumerate(keys):
-                at.setdefault(v, []).append(k)
-            for v, rows in at.items():
-                y = x[rows]
+            for k, v in enumerate(coded.dictionary.to_pylist()):
+                y = x[code == k]
                 y = y[np.isfinite(y).all(axis=1)]
                 if len(y):
                     mu = y.mean(axis=0)
@@ -128,11 +166,9 @@ def grouped_stats(df: DataFrame, by: str, cols: list[str]) -> dict:
             names=["k", "n", "mean", "m2"],
         )
 
-    out: dict = {}
-    rows = df.select(F.col(by).cast("string"), *[F.col(c).cast("double") for c in cols])
-    for r in rows.mapInArrow(run, "k string, n long, mean binary, m2 binary").toLocalIterator():
-        out[r["k"]] = _merge(out.get(r["k"], (0, np.zeros(p), np.zeros((p, p)))), (r["n"], np.frombuffer(r["mean"]), np.frombuffer(r["m2"]).reshape(p, p)))
-    return {k: SuffStats(list(cols), n, m2 / max(n - 1, 1), mean) for k, (n, mean, m2) in sorted(out.items(), key=lambda x: str(x[0]))}
+    rows = df.select(F.col(by).cast("string").alias(by), *[F.col(c).cast("double").alias(c) for c in cols])
+    parts = merged_moments(rows.mapInArrow(run, "k string, n long, mean binary, m2 binary"), p, "k")
+    return {r["k"]: SuffStats(list(cols), r["n"], np.frombuffer(r["m2"]).reshape(p, p) / max(r["n"] - 1, 1), np.frombuffer(r["mean"])) for r in sorted(parts, key=lambda r: str(r["k"]))}
 
 
 def covariance_long(df: DataFrame, cols: list[str], correlation: bool = False) -> DataFrame:

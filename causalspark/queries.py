@@ -89,13 +89,19 @@ def fisher_z_pairs(spark, sf):
     return rounded(st.fisher_z(lineitem(spark, sf), CONT, Z05).where("var_i <> var_j"))
 
 
+SUMS = ["l_quantity", "l_price", "l_tax", "net", "charge"]
+SUMS_SQL = "SELECT l_quantity, l_extendedprice / 1000 AS l_price, l_tax, l_extendedprice / 1000 * (1 - l_discount) AS net, l_extendedprice / 1000 * (1 - l_discount) * (1 + l_tax) AS charge FROM lineitem"
+
+
 @query(
-    f"WITH n AS (SELECT count(*) AS n FROM lineitem), c AS ({_union(f'''SELECT '{a}' AS src, '{b}' AS dst, corr({a}, {b}) AS r FROM ({LI})''' for a, b in _pairs(CONT))}) "
+    f"WITH n AS (SELECT count(*) AS n FROM lineitem), c AS ({_union(f'''SELECT '{a}' AS src, '{b}' AS dst, corr({a}, {b}) AS r FROM ({SUMS_SQL})''' for a, b in _pairs(SUMS))}) "
     f"SELECT src, dst, '-' AS ep_src, '-' AS ep_dst FROM c, n WHERE abs(0.5 * sqrt(n - 3) * ln((1 + r) / (1 - r))) >= {Z05!r}"
 )
 def fisher_z_skeleton(spark, sf):
-    """Edges of the skeleton of depth 0."""
-    z = st.fisher_z(lineitem(spark, sf), CONT, Z05).where("not independent")
+    """Edges of the skeleton of depth 0, of columns some of which follow from others."""
+    net = F.col("l_price") * (1 - F.col("l_discount"))
+    rows = lineitem(spark, sf).select("l_quantity", "l_price", "l_tax", net.alias("net"), (net * (1 + F.col("l_tax"))).alias("charge"))
+    z = st.fisher_z(rows, SUMS, Z05).where("not independent and var_i <> var_j")
     return z.select(F.col("var_i").alias("src"), F.col("var_j").alias("dst"), F.lit("-").alias("ep_src"), F.lit("-").alias("ep_dst"))
 
 
@@ -603,48 +609,12 @@ def fdr(spark, sf):
     return spark.createDataFrame([(cutoff, index)], "cutoff double, index int")
 
 
-# searches over the tables: no SQL form; tests compare them with oracles and simulations
-
-
-@query()
-def pc_lineitem(spark, sf):
-    from .operators.independence import FisherZ
-    from .operators.search import pc
-
-    return pc(FisherZ(sufficient_stats(lineitem(spark, sf), CONT), 0.01)).to_df(spark)
-
-
-@query()
-def fges_lineitem(spark, sf):
-    from .operators.scores import SemBic
-    from .operators.search import fges
-
-    return fges(SemBic(sufficient_stats(lineitem(spark, sf), CONT))).to_df(spark)
-
+# searches over the tables are in planted.py
 
-@query()
-def fci_discrete(spark, sf):
-    from .operators.independence import ChiSquare
-    from .operators.search import fci
 
-    return fci(ChiSquare(t(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"], 0.01)).to_df(spark)
-
-
-@query()
-def mgm_lineitem(spark, sf):
-    from .operators.mixed import mgm
-
-    return mgm(lineitem(spark, sf), CONT, DISC, (0.1, 0.1, 0.1)).graph().to_df(spark)
-
-
-@query()
-def bootstrap_edges(spark, sf):
-    from .operators.mixed import bootstrap_frequencies
-
-    return bootstrap_frequencies(lineitem(spark, sf).withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber")), CONT, 20, 7, "id", 0.01)
-
-
-@query()
+@query(
+    "SELECT date_trunc('hour', ts) AS start, count(*) AS n, round(avg(value), 4) + 0.0 AS mean_x, round(avg(user_id), 4) + 0.0 AS mean_y, round(covar_samp(value, user_id) + 0.00001, 2) + 0.0 AS cov_xy FROM events GROUP BY 1"
+)
 def windowed_stream_moments(spark, sf):
     """Moments of each hour of events, through a stream that ends with the files."""
     import uuid
@@ -656,4 +626,4 @@ def windowed_stream_moments(spark, sf):
     name = f"moments_{uuid.uuid4().hex[:8]}"
     q = windowed_moments(stream, "ts", "value", "k", "1 hour").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name).select(F.col("window.start").alias("start"), "n", "mean_x", "mean_y", "cov_xy")
+    return rounded(spark.table(name).select(F.col("window.start").alias("start"), "n", "mean_x", "mean_y", F.round(F.col("cov_xy") + 0.00001, 2).alias("cov_xy")))

@@ -22,14 +22,17 @@ def read_table(
 
     A column with a value that is no number is discrete (string); one with a fraction is
     continuous (double); one of whole numbers is discrete with at most max_discrete different
-    values, else continuous. Lines that start with the comment mark and empty lines go.
+    values, else continuous. Lines that start with the comment mark and empty lines go. The
+    header is the first line left of a file; of several files, each may begin with the same one.
     """
-    lines = spark.read.text(path).where(~F.col("value").startswith(comment) & (F.trim("value") != ""))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    lines = lines.where(~F.col("value").startswith(comment) & (F.trim("value") != ""))
     first = next((r["value"] for r in lines.take(1)), "")
     sep = DELIMITERS.get(delimiter, delimiter)
     split = lambda s: [x.strip().strip(quote) for x in re.split(sep, s.strip() if delimiter == "whitespace" else s)]
     names = split(first) if header else [f"X{k + 1}" for k in range(len(split(first)))]
-    body = lines.where(F.col("value") != first) if header else lines
+    tops = lines.groupBy("file").agg(F.min_by("value", "at").alias("value"), F.min("at").alias("at")).where(F.col("value") == first)
+    body = lines.join(tops, ["file", "at"], "left_anti") if header else lines
     clean = F.trim("value") if delimiter == "whitespace" else F.col("value")
     parts = body.select(F.split(clean, sep).alias("p"))
     cell = [F.trim(F.regexp_replace(F.trim(F.get("p", F.lit(k))), rf"^{quote}|{quote}$", "")) for k in range(len(names))]
@@ -38,14 +41,17 @@ def read_table(
 
 
 def infer_types(raw: DataFrame, max_discrete: int = 0, declared: dict[str, str] | None = None) -> DataFrame:
-    """Typed columns of a table of strings, from one aggregation."""
+    """Typed columns of a table of strings, from one aggregation; exact counts of values where these decide."""
     q = lambda n: F.col(f"`{n}`")
     checks = []
     for k, n in enumerate(raw.columns):
         number = F.coalesce(q(n).rlike(_NUMBER), F.lit(True))
         whole = F.coalesce(q(n).rlike(r"^\s*[+-]?\d+\s*$"), F.lit(True))
         checks += [F.bool_and(number).alias(f"n{k}"), F.bool_and(whole).alias(f"w{k}"), F.approx_count_distinct(q(n)).alias(f"d{k}")]
-    one = raw.agg(*checks).first()
+    one = raw.agg(*checks).first().asDict()
+    close = [k for k in range(len(raw.columns)) if one[f"w{k}"] and max_discrete and one[f"d{k}"] <= 1.5 * max_discrete + 10]
+    if close:
+        one |= raw.agg(*[F.count_distinct(q(raw.columns[k])).alias(f"d{k}") for k in close]).first().asDict()
     out = []
     for k, n in enumerate(raw.columns):
         kind = (declared or {}).get(n) or ("discrete" if not one[f"n{k}"] or one[f"w{k}"] and one[f"d{k}"] <= max_discrete else "continuous")
