@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .transforms import unit_hash
+
 _TOKEN = re.compile(r"\s*(?:(\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+)|([A-Za-z_][A-Za-z0-9_.:]*|`[^`]+`)|(<=|>=|[-+*/^(),<>=]))")
 
 
@@ -120,40 +122,96 @@ _MANY: dict[str, Callable] = {
 }
 
 
-def _normal(seed: int, mean: Column, sd: Column) -> Column:
-    return mean + sd * F.randn(seed)
+#: A uniform number of each row for a seed: by a hash of the row's id, or by Spark's generator.
+Source = Callable[[int], Column]
+
+
+def _standard(seed: int, source: Source) -> Column:
+    """A standard normal number from two uniform ones."""
+    u = F.greatest(source(seed), F.lit(2.0**-53))
+    return F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * source(seed + 3))
+
+
+def _normal(seed: int, mean: Column, sd: Column, source: Source) -> Column:
+    return mean + sd * _standard(seed, source)
+
+
+def _streams(u: np.ndarray, k: int) -> np.ndarray:
+    """The k-th number in (0, 1) of the streams that begin at uniform numbers (SplitMix64)."""
+    x = (u * 2.0**53).astype(np.uint64) + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(12)).astype(np.float64) / 2.0**52 + 2.0**-54
+
+
+def gamma_draws(u: np.ndarray, shape: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Marsaglia and Tsang's method for whole batches: rows that reject go on with the next numbers of their streams."""
+    k = np.where(shape < 1, np.maximum(shape, 0) + 1, shape)
+    d = k - 1 / 3
+    c = 1 / np.sqrt(9 * d)
+    out, left = np.full(len(u), np.nan), np.flatnonzero(np.isfinite(u) & (shape > 0))
+    step = 1
+    while len(left):
+        a, b, w = (_streams(u[left], 3 * step + j) for j in range(3))
+        x = np.sqrt(-2 * np.log(a)) * np.cos(2 * np.pi * b)
+        v = (1 + c[left] * x) ** 3
+        good = (v > 0) & (np.log(w) < x * x / 2 + d[left] * (1 - v + np.log(np.where(v > 0, v, 1.0))))
+        out[left[good]] = (d[left] * v)[good]
+        left, step = left[~good], step + 1
+    return out * scale * np.where(shape < 1, _streams(u, 1) ** (1 / np.where(shape < 1, shape, 1.0)), 1.0)
+
+
+def poisson_draws(u: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """The least count whose distribution function reaches u; the search begins where nothing is left below."""
+    k = np.floor(np.maximum(mean - 10 * np.sqrt(np.maximum(mean, 0)) - 10, 0))
+    safe = np.where(mean > 0, mean, 1.0)
+    log_p = -mean + k * np.log(safe) - np.array([math.lgamma(x + 1) if x == x else 0.0 for x in k])
+    total, out = np.exp(log_p), k.copy()
+    left = np.flatnonzero((total < u) & (mean > 0) & (u < 1))
+    while len(left):
+        out[left] += 1
+        log_p[left] += np.log(safe[left]) - np.log(out[left])
+        total[left] += np.exp(log_p[left])
+        left = left[(total[left] < u[left]) & (out[left] < mean[left] + 40 * np.sqrt(mean[left]) + 100)]
+    return np.where(np.isfinite(u) & np.isfinite(mean), out, np.nan)
 
 
-def _gamma(shape: Column, scale: Column, seed: int) -> Column:
-    """Marsaglia and Tsang's method in a Pandas function: the seed and a row's own draw make it repeatable."""
+def _gamma(shape: Column, scale: Column, seed: int, source: Source) -> Column:
     @F.pandas_udf("double")
     def draw(u: pd.Series, k: pd.Series, s: pd.Series) -> pd.Series:
-        bits = (u.to_numpy() * 2**53).astype(np.uint64)
-        return pd.Series([float(np.random.default_rng([seed, int(b)]).gamma(a, c)) for b, a, c in zip(bits, k, s, strict=True)])
+        return pd.Series(gamma_draws(u.to_numpy(), k.to_numpy(), s.to_numpy()))
 
-    return draw(F.rand(seed), shape, scale)
+    return draw(source(seed), shape, scale)
 
 
-def _random(name: str, a: list[Column], seed: int) -> Column | None:
-    """A draw; formulas that need the uniform number more than once get it bound, as each call would draw anew."""
-    known = _draw(name, a, seed, F.rand(seed))
+def _poisson(mean: Column, seed: int, source: Source) -> Column:
+    @F.pandas_udf("double")
+    def draw(u: pd.Series, m: pd.Series) -> pd.Series:
+        return pd.Series(poisson_draws(u.to_numpy(), m.to_numpy()))
+
+    return draw(source(seed), mean)
+
+
+def _random(name: str, a: list[Column], seed: int, source: Source) -> Column | None:
+    """A draw; formulas that need the uniform number more than once get it bound, as each call could draw anew."""
+    known = _draw(name, a, seed, source(seed), source)
     if known is None or name not in ("Laplace", "Triangular", "Discrete", "DiscError", "Mixture", "Split"):
         return known
-    return F.element_at(F.transform(F.array(F.rand(seed)), lambda u: _draw(name, a, seed, u)), 1)
+    return F.element_at(F.transform(F.array(source(seed)), lambda u: _draw(name, a, seed, u, source)), 1)
 
 
-def _draw(name: str, a: list[Column], seed: int, u: Column) -> Column | None:
+def _draw(name: str, a: list[Column], seed: int, u: Column, source: Source) -> Column | None:
     match name, len(a):
         case "random", 0:
             return u
         case ("Uniform" | "U"), 2:
             return a[0] + (a[1] - a[0]) * u
         case ("Normal" | "N"), 2:
-            return _normal(seed, *a)
+            return _normal(seed, *a, source)
         case "LogNormal", 1 | 2:
-            return F.exp(_normal(seed, *(a if len(a) == 2 else [F.lit(0.0), a[0]])))
+            return F.exp(_normal(seed, *(a if len(a) == 2 else [F.lit(0.0), a[0]]), source))
         case "TruncNormal", 4:
-            return F.greatest(a[2], F.least(a[3], _normal(seed, a[0], a[1])))
+            return F.greatest(a[2], F.least(a[3], _normal(seed, a[0], a[1], source)))
         case "Indicator", 1:
             return _truth(u < a[0])
         case "ExponentialDist", 1:
@@ -165,7 +223,7 @@ def _draw(name: str, a: list[Column], seed: int, u: Column) -> Column | None:
         case "Laplace", 2:
             return a[0] - a[1] * F.signum(u - 0.5) * F.log(1 - 2 * F.abs(u - 0.5))
         case "Levy", 1:
-            return a[0] / F.pow(F.randn(seed), F.lit(2.0))
+            return a[0] / F.pow(_standard(seed, source), F.lit(2.0))
         case "Pareto", 2:
             return a[0] / F.pow(1 - u, 1 / a[1])
         case "Weibull", 2:
@@ -174,20 +232,20 @@ def _draw(name: str, a: list[Column], seed: int, u: Column) -> Column | None:
             share = (a[1] - a[0]) / (a[2] - a[0])
             return F.when(u < share, a[0] + F.sqrt(u * (a[2] - a[0]) * (a[1] - a[0]))).otherwise(a[2] - F.sqrt((1 - u) * (a[2] - a[0]) * (a[2] - a[1])))
         case "Gamma", 2:
-            return _gamma(a[0], a[1], seed)
+            return _gamma(a[0], a[1], seed, source)
         case "ChiSquare", 1:
-            return _gamma(a[0] / 2, F.lit(2.0), seed)
+            return _gamma(a[0] / 2, F.lit(2.0), seed, source)
         case "Beta", 2:
-            x, y = _gamma(a[0], F.lit(1.0), seed), _gamma(a[1], F.lit(1.0), seed + 1)
+            x, y = _gamma(a[0], F.lit(1.0), seed, source), _gamma(a[1], F.lit(1.0), seed + 1, source)
             return x / (x + y)
         case "FDist", 2:
-            return (_gamma(a[0] / 2, F.lit(2.0), seed) / a[0]) / (_gamma(a[1] / 2, F.lit(2.0), seed + 1) / a[1])
+            return (_gamma(a[0] / 2, F.lit(2.0), seed, source) / a[0]) / (_gamma(a[1] / 2, F.lit(2.0), seed + 1, source) / a[1])
         case "StudentT", 1:
-            return F.randn(seed + 1) / F.sqrt(_gamma(a[0] / 2, F.lit(2.0), seed) / a[0])
+            return _standard(seed + 1, source) / F.sqrt(_gamma(a[0] / 2, F.lit(2.0), seed + 2, source) / a[0])
         case "Nakagami", 2:
-            return F.sqrt(_gamma(a[0], a[1] / a[0], seed))
+            return F.sqrt(_gamma(a[0], a[1] / a[0], seed, source))
         case "Poisson", 1:
-            return _poisson(a[0], seed)
+            return _poisson(a[0], seed, source)
         case ("Discrete" | "DiscError"), _:
             total = reduce(lambda x, y: x + y, a)
             bounds = [reduce(lambda x, y: x + y, a[: k + 1]) / total for k in range(len(a) - 1)]
@@ -214,15 +272,6 @@ def _draw(name: str, a: list[Column], seed: int, u: Column) -> Column | None:
     return None
 
 
-def _poisson(mean: Column, seed: int) -> Column:
-    @F.pandas_udf("double")
-    def draw(u: pd.Series, m: pd.Series) -> pd.Series:
-        bits = (u.to_numpy() * 2**53).astype(np.uint64)
-        return pd.Series([float(np.random.default_rng([seed, int(b)]).poisson(x)) for b, x in zip(bits, m, strict=True)])
-
-    return draw(F.rand(seed), mean)
-
-
 def expand_templates(text: str, variables: list[str]) -> str:
     """TSUM(e) and TPROD(e) become the sum and product of e over variables in place of `$`; NEW(x) a name of its own."""
     names = iter(range(1, 10**6))
@@ -235,9 +284,14 @@ def expand_templates(text: str, variables: list[str]) -> str:
     return re.sub(r"\b(TSUM|tsum|TPROD|tprod)\(((?:[^()]|\([^()]*\))*)\)", many, text)
 
 
-def compile_expression(text: str, seed: int = 0) -> Column:
-    """The Column of a formula; random calls differ by their place in it."""
-    calls = iter(range(0, 10**9, 7))
+def compile_expression(text: str, seed: int = 0, row_id: str | None = None) -> Column:
+    """The Column of a formula; random calls differ by their place in it.
+
+    With the column of a row id, draws follow from its hash and stay as they are when a table
+    is computed again or dealt out anew; without one they are Spark's own.
+    """
+    source: Source = (lambda k: unit_hash(row_id, k)) if row_id else F.rand
+    calls = iter(range(0, 10**9, 10))
 
     def build(t: tuple) -> Column:
         if t[0] == "num":
@@ -254,7 +308,7 @@ def compile_expression(text: str, seed: int = 0) -> Column:
             return _MANY[name](*args)
         if name == "Switch" and len(args) > 1:
             return reduce(lambda acc, k: acc.when(args[0] == k, args[k + 1]), range(len(args) - 1), F.when(F.lit(False), 0.0))
-        out = _random(name, args, seed + next(calls))
+        out = _random(name, args, seed + next(calls), source)
         if out is None:
             raise ValueError(f"unknown function {name} with {len(args)} arguments")
         return out
@@ -262,9 +316,9 @@ def compile_expression(text: str, seed: int = 0) -> Column:
     return build(parse(text))
 
 
-def transform(df: DataFrame, *equations: str, seed: int = 0) -> DataFrame:
+def transform(df: DataFrame, *equations: str, seed: int = 0, row_id: str | None = None) -> DataFrame:
     """Equations "X = formula" applied in order; each may use the columns before it."""
     for k, e in enumerate(equations):
         name, formula = e.split("=", 1)
-        df = df.withColumn(name.strip().strip("`"), compile_expression(formula, seed + 1000 * k))
+        df = df.withColumn(name.strip().strip("`"), compile_expression(formula, seed + 1000 * k, row_id))
     return df
