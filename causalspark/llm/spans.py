@@ -3,15 +3,21 @@
 Texts are cut into short sentences: at the ends of sentences and clauses, at line ends, and,
 in each GAP words without such an end, after the word of least hash, so that equal passages
 are cut alike wherever they stand, but for GAP words at their ends, and no sentence is longer
-than GAP words. So each 50 words on one line, or with equal line ends, hold a span cut alike.
-Characters of scripts without blanks are words, two of which count as one for LEAST.
-Every run of SPAN sentences, and of as many more as make LEAST words, is hashed. One aggregation finds each
-hash's first occurrence, by doc_id, then text, then place; one join finds the others, and
-the sentences that these cover are removed.
-
-Defined results: null texts stay null; texts with too few sentences stay as they are. Rows
-that share doc_id and text are one occurrence, and stay or lose the same sentences. A text
-may become empty. An empty table gives none. Other columns are ignored.
+than GAP words. Every run of SPAN sentences, and of as many more as make LEAST words, is
+hashed: of each 50 words, wherever they begin and end, GAP - 1 at most are before the first
+cut, and a span of LEAST + GAP - 1 at most follows. Shorter repeats, such as a licence line or
+a common phrase, are no copied passage and stay. Characters of scripts without blanks are
+words, two of which count as one for LEAST.
+
+All spans are written once. One count finds those that repeat, one aggregation each one's
+first occurrence, by doc_id, then text, then place; the sentences that the others cover are
+removed. Spans that hold more than 1 / HOT of all occurrences, HOT at most, are joined by
+broadcast, so that no task gets the occurrences of a common passage.
+
+Defined results: null texts stay null; texts with too few sentences or words stay as they are.
+Rows that share doc_id and text are one occurrence, and stay or lose the same sentences; rows
+that share a doc_id only are apart. A null doc_id comes first. A text may become empty. An
+empty table gives none. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,9 +33,12 @@ from .common import materialize
 from .minhash import _BYTES, _SPACE, _mix, _Powers
 
 SPAN = 3
-LEAST = 10
+#: Words that a span has at least: with GAP - 1 before it and in its last sentence, 50 words hold one.
+LEAST = 32
 #: In so many words in a row at least one ends a sentence.
 GAP = 8
+#: A span in more than one of so many occurrences is joined by broadcast; there are no more than these.
+HOT = 10_000
 _ENDS = np.isin(np.arange(256), list(b".,;:!?"))
 #: Other marks that end sentences and clauses, by their last UTF-8 bytes.
 _MARKS = np.sort([int.from_bytes(c.encode(), "big") for c in "،؛؟۔։।॥።፣፤፥፧፨။၊។៕…‥、。，．：；！？｡､"])
@@ -172,15 +181,21 @@ def without(text: str, covered: list[tuple[int, int]], powers: _Powers) -> tuple
     return kept.decode("utf-8", "surrogatepass").strip(), int(gone.sum())
 
 
+def _of_spans(rows: DataFrame, table: DataFrame, limit: float) -> DataFrame:
+    """Inner join on span; table (span, times, ...) has each span once, and those with more than `limit` occurrences are broadcast."""
+    hot, cold = table.where(F.col("times") > limit).drop("times"), table.where(F.col("times") <= limit).drop("times")
+    return rows.join(F.broadcast(hot), "span").unionByName(rows.join(F.broadcast(hot.select("span")), "span", "left_anti").join(cold, "span"))
+
+
 def remove_repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text, n_removed (sentences) of every row of docs."""
-    every = spans(docs)
-    firsts = materialize(
-        every.groupBy("span").agg(F.min(F.struct("doc_id", "h", "place")).alias("first"), F.count("*").alias("times")).where("times > 1").select("span", "first"),
-        "repeated-spans",
-    )
+    every = materialize(spans(docs), "spans")
+    limit = every.count() / HOT
+    repeated = materialize(every.groupBy("span").agg(F.count("*").alias("times")).where("times > 1"), "repeated-spans")
+    hits = materialize(_of_spans(every, repeated, limit), "span-hits")
+    firsts = hits.groupBy("span").agg(F.min(F.struct("doc_id", "h", "place")).alias("first"), F.count("*").alias("times"))
     later = (
-        every.join(firsts, "span")
+        _of_spans(hits, materialize(firsts, "first-spans"), limit)
         .where(~F.struct("doc_id", "h", "place").eqNullSafe(F.col("first")))
         .groupBy(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"))
         .agg(F.collect_set(F.struct("place", "size")).alias("places"))

@@ -49,14 +49,31 @@ def test_matches_brute_force(spark):
 
 
 def test_repeated_rows_and_empty(spark):
-    t = "a b c d e. f g h i j. k l m n o."
-    df = spark.createDataFrame([(1, t), (1, t), (None, t), (2, "x y")], "doc_id long, text string")
+    t = " ".join(f"w{k} x{k} y{k} z{k}." for k in range(12))
+    rows = [(1, t, 0, 0), (1, t, 0, 0), (1, "short text", 0, 0), (None, t, 0, 0), (2, "x y", 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, span int, _doc int")
     got = sorted((str(r.doc_id), r.text, r.n_removed) for r in remove_repeated_spans(df).collect())
-    assert [g for g in got if g[0] == "2"] == [("2", "x y", 0)] and len(got) == 4
-    assert sum(g[1] == t for g in got) in (1, 2)
+    assert got == [("1", "", 12), ("1", "", 12), ("1", "short text", 0), ("2", "x y", 0), ("None", t, 0)]
+    alone = remove_repeated_spans(df.where("doc_id = 1")).collect()
+    assert sorted(r.n_removed for r in alone) == [0, 0, 0]
     assert remove_repeated_spans(df.limit(0)).count() == 0
 
 
+def test_frequent_spans_are_broadcast(spark, monkeypatch):
+    import causalspark.llm.spans as module
+
+    r = random.Random(4)
+    say = lambda n: " ".join("".join(r.choices("abcdefg", k=5)) for _ in range(n))
+    common, rows = say(60), []
+    rows = [(i, f"{say(20)} {common} {say(20)}") for i in range(50)]
+    rows += [(60, rows[3][1] + " more"), (61, say(50))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, remove_repeated_spans(df).collect()))
+    monkeypatch.setattr(module, "HOT", 500)
+    assert sorted(map(tuple, remove_repeated_spans(df).collect())) == want
+    assert sum(n > 0 for _, _, n in want) == 50
+
+
 def test_passages_without_marks_and_in_scripts_without_blanks(spark):
     r = random.Random(8)
     word = lambda: "".join(r.choices("abcdefg", k=6))
