@@ -1,18 +1,24 @@
 """Exact top-k inner products by pivot-table elimination.
 
-Vectors become integers, floor(256 * x). With one more component that brings all vectors to
-the same norm, the largest inner products are the smallest distances, and distances obey the
-triangle inequality. A table of every candidate's distances to PIVOTS pivots bounds its
-distance to a query from below by the largest difference; candidates are evaluated in the
-order of their bounds until none can reach the k-th best score, ties included.
-
-Queries and candidates are packed in blocks; each pair of blocks is one row of work, and a
-query's best of all blocks meet in the end. Of equal vectors the k + 1 smallest ids go on,
-which is all that a query can return of them.
+Vectors become integers, floor(256 * x). PIVOTS vectors, each as far as possible from the span
+of those before it, are the pivots. The table holds every vector's distances to all pivots, in
+the equivalent form of its place in their span and its distance from it. From these follows
+the largest lower bound on a distance, and upper bound on a product, that the distances to all
+pivots allow together: product of the places plus product of the distances from the span. It
+is never worse than the triangle inequality at any single pivot.
+
+A query's best products with a sample of candidates give it a first threshold. Queries and
+candidates are then packed in blocks; each pair of blocks is one row of work. In it a query
+evaluates its STEP candidates of highest bounds, which may raise the threshold, and then, in
+the order of their bounds, the others until no bound reaches it, ties included. A query's
+best of all blocks meet in the end. Of equal vectors the k + 1 smallest ids go on, which is
+all that a query can return of them.
 
 Defined results: rows with a null id or vector, or a null or non-finite component, take no
-part. Rows that repeat an id and vector are one. Shorter vectors count as if filled up with
-zeros. A component or score beyond a long is the nearest long. Other columns are ignored.
+part. Rows that repeat an id and vector are one; an id with two vectors has both. Ties go to
+the smaller id. Shorter vectors, empty ones too, count as if filled up with zeros. A component
+or score beyond a long is the nearest long. Empty tables give no rows. Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,9 +35,15 @@ from pyspark.sql import Window as W
 from .common import materialize
 
 PIVOTS = 48
-BLOCK = 2048
-#: Candidates that are scored at once, in the order of their bounds.
-STEP = 128
+#: Vectors, by hash, among which pivots are chosen and first thresholds found; results do not depend on it.
+SAMPLE = 4096
+#: Candidates and queries of a block.
+BLOCK = 4096
+ASKED = 16384
+#: Queries of a block whose bounds are held at once.
+CHUNK = 256
+#: Candidates by highest bound that are evaluated first.
+STEP = 64
 
 
 def integer_vectors(rows: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -63,38 +75,69 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(a.astype(object) @ b.T.astype(object), -(2**63), 2**63 - 1).astype(np.int64)
 
 
-def search_block(q_ids, q, c_ids, c, pivots: np.ndarray, square: float, k: int):
-    """[(query, id, score)]: each query's k best of a block. c_ids: the ids of each candidate vector; square: the largest squared norm."""
-    norms = lambda m: (m.astype(np.float64) ** 2).sum(axis=1)
-    lift = lambda m: np.sqrt(np.maximum(square - norms(m), 0))
-    cross = lambda a, b: a.astype(np.float64) @ b.T.astype(np.float64)
-    if len(pivots):
-        table = np.sqrt(np.maximum(2 * square - 2 * (cross(c, pivots) + np.outer(lift(c), lift(pivots))), 0))
-        asked = np.sqrt(np.maximum(norms(q)[:, None] + square - 2 * cross(q, pivots), 0))
-    out = []
-    for i, own in enumerate(q_ids):
-        size = float(norms(q[i : i + 1])[0])
-        if len(pivots):
-            low = np.abs(table - asked[i]).max(axis=1)
-            bound = (size + square - low * low) / 2
-        else:
-            bound = np.full(len(c), np.inf)
-        bound = bound + 1e-6 * (size + square) + 1  # rounding
-        order = np.argsort(-bound, kind="stable")
-        best: list[tuple[int, int]] = []
-        for at in range(0, len(order), STEP):
-            if len(best) >= k and bound[order[at]] < -best[k - 1][0]:
-                break
-            part = order[at : at + STEP]
-            score = _products(c[part], q[i : i + 1])[:, 0]
-            if len(best) >= k:
-                near = score >= -best[k - 1][0]
-                part, score = part[near], score[near]
-            best += [(-int(s), x) for s, j in zip(score, part, strict=True) for x in c_ids[j] if x != own]
-            best.sort()
-            del best[k:]
-        out += [(own, x, -s) for s, x in best]
-    return out
+def choose_pivots(vectors: np.ndarray, most: int) -> np.ndarray:
+    """An orthonormal basis (columns) of the span of up to so many of the vectors, each the farthest from the span of those before."""
+    rest = vectors.astype(np.float64)
+    first = np.sqrt((rest**2).sum(axis=1)).max(initial=0)
+    basis = np.empty((vectors.shape[1], 0))
+    while basis.shape[1] < min(most, vectors.shape[1]) and len(rest):
+        size = np.sqrt((rest**2).sum(axis=1))
+        far = int(size.argmax())
+        if size[far] <= 1e-9 * first:
+            break
+        one = rest[far] / size[far]
+        one -= basis @ (basis.T @ one)  # what rounding left
+        one /= np.sqrt(one @ one)
+        basis = np.concatenate((basis, one[:, None]), axis=1)
+        rest -= np.outer(rest @ one, one)
+    return basis
+
+
+def pivot_rows(vectors: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Rows of the table: place in the pivots' span and, last, distance from it."""
+    x = vectors.astype(np.float64)
+    place = x @ basis
+    off = np.sqrt(np.maximum((x**2).sum(axis=1) - (place**2).sum(axis=1), 0))
+    return np.concatenate((place, off[:, None]), axis=1).astype(np.float32)
+
+
+def _kth(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k-th highest of each row, the least long where there are fewer."""
+    if scores.shape[1] < k:
+        return np.full(len(scores), -(2**63), dtype=np.int64)
+    return np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+
+
+def search_block(q_ids, q, q_table, least, c_ids, c, c_table, k: int) -> tuple[list[tuple[int, int, int]], int]:
+    """([(query, id, score)], evaluations): each query's k best of a block that reach its threshold `least`.
+
+    c_ids: the ids of each candidate vector.
+    """
+    out, evaluated = [], 0
+    top = np.sqrt((c_table.astype(np.float64) ** 2).sum(axis=1)).max(initial=0)
+    for at in range(0, len(q_ids), CHUNK):
+        part = slice(at, at + CHUNK)
+        mine = q_table[part].astype(np.float64)
+        slack = 1e-5 * np.sqrt((mine**2).sum(axis=1)) * top + 1  # rounding
+        bound = mine @ c_table.T.astype(np.float64) + slack[:, None]
+        for i, own in enumerate(q_ids[part]):
+            high, floor = bound[i], int(least[at + i])
+            may = np.flatnonzero(high >= floor)
+            if len(may) > STEP:
+                may = may[np.argpartition(-high[may], STEP)]
+            best: list[tuple[int, int]] = []
+            for group in (may[:STEP], may[STEP:]):
+                group = group[high[group] >= floor]
+                if len(group):
+                    score = _products(c[group], q[at + i : at + i + 1])[:, 0]
+                    evaluated += len(group)
+                    near = score >= floor
+                    best += [(-int(s), x) for s, j in zip(score[near], group[near], strict=True) for x in c_ids[j] if x != own]
+                    best.sort()
+                    del best[k:]
+                    floor = max(floor, -best[k - 1][0]) if len(best) >= k else floor
+            out += [(own, x, -s) for s, x in best]
+    return out, evaluated
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -103,29 +146,51 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     # the row-number filter is applied before the shuffle too, so that a frequent vector is not gathered
     few = vectors.withColumn("n", F.row_number().over(of)).where(F.col("n") <= k + 1)
     classes = materialize(few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "topk-classes")
-    asked = materialize(queries.select("vec_id", "v"), "topk-queries")
-    square = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-    n, top, width = classes.agg(F.count("*"), F.max(square), F.max(F.size("v"))).first()
-    m = asked.count()
-    schema = "query_id long, vec_id long, score long"
+    n, width = classes.agg(F.count("*"), F.max(F.size("v"))).first()
+    m = queries.count()
     if not n or not m:
         return vectors.sparkSession.createDataFrame([], T._parse_datatype_string("query_id long, rank int, vec_id long, score long"))
-    pivots = _matrix([r["v"] for r in classes.orderBy(F.xxhash64("v"), "v").limit(PIVOTS).collect()], width)
-    c_blocks, q_blocks = -(-n // BLOCK), -(-m // BLOCK)
+    sample = _matrix([r["v"] for r in classes.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()], width)
+    basis = choose_pivots(sample, PIVOTS)
+
+    def tabled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = pivot_rows(_matrix(b.column(1).to_pylist(), width), basis)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in rows], pa.binary())], names=["ids", "v", "row"])
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            q = _matrix(b.column(1).to_pylist(), width)
+            # one of the sample may be the query itself, so one more than k
+            least = np.concatenate([_kth(_products(q[at : at + CHUNK], sample), k + 1) for at in range(0, len(q), CHUNK)])
+            rows = pivot_rows(q, basis)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(least)], names=["vec_id", "v", "row", "least"]
+            )
+
+    table = materialize(classes.select("ids", "v").mapInArrow(tabled, "ids array<long>, v array<long>, row binary"), "topk-table")
+    questions = materialize(queries.select("vec_id", "v").mapInArrow(asked, "vec_id long, v array<long>, row binary, least long"), "topk-queries")
+    c_blocks, q_blocks = -(-n // BLOCK), -(-m // ASKED)
     block = lambda by, many: F.pmod(F.xxhash64(by), F.lit(many)).cast("int")
-    left = classes.groupBy(block("v", c_blocks).alias("cb")).agg(F.collect_list(F.struct("ids", "v")).alias("c"))
-    right = asked.groupBy(block("vec_id", q_blocks).alias("qb")).agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))
+    left = table.groupBy(block("v", c_blocks).alias("cb")).agg(F.collect_list(F.struct("ids", "v", "row")).alias("c"))
+    right = questions.groupBy(block("vec_id", q_blocks).alias("qb")).agg(F.collect_list(F.struct("vec_id", "v", "row", "least")).alias("q"))
     pairs = left.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))).join(
         right.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)))), ["qb", "cb"]
     )
+    rows_of = lambda x: np.frombuffer(b"".join(r["row"] for r in x), dtype=np.float32).reshape(len(x), basis.shape[1] + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c, q in zip(b.column(0), b.column(1), strict=True):
                 c, q = c.as_py(), q.as_py()
-                found = search_block([x["vec_id"] for x in q], _matrix([x["v"] for x in q], width), [x["ids"] for x in c], _matrix([x["v"] for x in c], width), pivots, top, k)
+                found, _ = search_block(
+                    [x["vec_id"] for x in q], _matrix([x["v"] for x in q], width), rows_of(q), [x["least"] for x in q],
+                    [x["ids"] for x in c], _matrix([x["v"] for x in c], width), rows_of(c), k,
+                )
                 yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
 
-    found = pairs.select("c", "q").mapInArrow(run, schema)
+    found = pairs.select("c", "q").mapInArrow(run, "query_id long, vec_id long, score long")
     ranked = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(ranked).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,7 +1,9 @@
 import math
 import random
 
-from causalspark.llm.topk import integer_vectors, top_k
+import numpy as np
+
+from causalspark.llm.topk import PIVOTS, choose_pivots, integer_vectors, pivot_rows, search_block, top_k
 
 
 def test_matches_brute_force(spark):
@@ -26,3 +28,39 @@ def test_few_and_none(spark):
     v = integer_vectors(df, "vec_id", "embedding")
     assert list(map(tuple, top_k(v, v.where("vec_id = 0")).collect())) == [(0, 1, 1, 256 * 512)]
     assert top_k(v.limit(0), v.limit(0)).count() == 0
+
+
+def test_pivots_eliminate_and_bounds_hold():
+    r = np.random.default_rng(1)
+    c = np.floor(256 * r.normal(0, 1 / 8, (4000, 64))).astype(np.int64)
+    basis = choose_pivots(c, PIVOTS)
+    assert basis.shape == (64, PIVOTS) and np.allclose(basis.T @ basis, np.eye(PIVOTS), atol=1e-9)
+    table = pivot_rows(c, basis)
+    score = c[:100] @ c.T
+    assert (table[:100].astype(float) @ table.T.astype(float) + 2 >= score).all()
+    least = np.sort(score[:, :2000], axis=1)[:, -6]
+    ids = [[i] for i in range(4000)]
+    found, evaluated = search_block(list(range(100)), c[:100], table[:100], least, ids, c, table, 5)
+    assert evaluated < 0.2 * 100 * 4000
+    for q in range(100):
+        best = sorted((-int(s), i) for i, s in enumerate(score[q]) if i != q)[:5]
+        assert [(i, -s) for s, i in best] == [(i, s) for o, i, s in found if o == q]
+
+
+def test_many_blocks_and_flat_spans(spark, monkeypatch):
+    """Vectors of one line, repeated ids, and blocks of a few rows."""
+    import causalspark.llm.topk as module
+
+    monkeypatch.setattr(module, "BLOCK", 16)
+    monkeypatch.setattr(module, "ASKED", 3)
+    monkeypatch.setattr(module, "SAMPLE", 7)
+    rows = [(i, [float(i % 9 - 4), 2.0 * (i % 9 - 4)]) for i in range(120)] + [(50, [3.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v = integer_vectors(df, "vec_id", "embedding")
+    got = sorted(map(tuple, top_k(v, v.where("vec_id % 10 = 0"), 3).collect()))
+    ints = [(i, [math.floor(256 * x) for x in e]) for i, e in rows]
+    want = []
+    for q in sorted({i for i, _ in rows if i % 10 == 0}):
+        best = sorted({(-max(sum(a * b for a, b in zip(mine, e)) for o, mine in ints if o == q), c) for c, e in ints if c != q})
+        want.append((q, best[0][1], -best[0][0]))
+    assert {(q, c, s) for q, k, c, s in got if k == 1} == set(want)
