@@ -19,10 +19,11 @@ from .operators import clusters, glm, kernel, lofs, mixed, models, scores, searc
 from .operators import graph as gr
 from .operators import graph_more as gm
 from .operators import independence as ind
+from .operators import more_search as ms
 from .operators import transforms as tr
 from .operators.graph import Graph
 from .operators.knowledge import Knowledge
-from .plans.suffstats import grouped_stats, sufficient_stats
+from .plans.suffstats import SuffStats, grouped_stats, sufficient_stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -570,3 +571,87 @@ def graph_round_trips(spark, sf):
 @known("node", [(v,) for v in DAG.topological_order()])
 def graph_order(spark, sf):
     return spark.createDataFrame([(v,) for v in _found(spark, sf).topological_order()], "node string")
+
+
+# blankets by subsets, hybrid and penalised searches, graphs with bidirected edges
+
+
+@known("method target member", [(m, v, u) for m in ("inter_iamb", "max_min", "interleaved") for v in ("X2", "X3") for u in sorted(DAG.markov_blanket(v))])
+def blankets_planted(spark, sf):
+    test = ind.FisherZ(stats(spark, sf), ALPHA)
+    found = {"inter_iamb": ms.inter_iamb, "max_min": ms.blanket_by_subsets, "interleaved": lambda t, v: ms.blanket_by_subsets(t, v, greedy=False)}
+    return spark.createDataFrame([(m, v, u) for m, f in found.items() for v in ("X2", "X3") for u in f(test, v)], "method string, target string, member string")
+
+
+@known("target member", sorted((v, u) for v in DAG.nodes for u in DAG.adj(v)))
+def parents_and_children_planted(spark, sf):
+    test = ind.FisherZ(stats(spark, sf), ALPHA)
+    return spark.createDataFrame(sorted((v, u) for v in DAG.nodes for u in ms.parents_and_children(test, v)), "target string, member string")
+
+
+@known("src dst", [e[:2] for e in _skeleton(PATTERN)])
+def max_min_hill_climb_planted(spark, sf):
+    """Adjacencies; directions of a hill climb may be those of a local optimum."""
+    s = stats(spark, sf)
+    g = ms.max_min_hill_climb(ind.FisherZ(s, ALPHA), scores.SemBic(s, 2.0))
+    return spark.createDataFrame([e[:2] for e in _skeleton(g)], "src string, dst string")
+
+
+@known("not_worse acyclic", [(True, True)])
+def hill_climb_planted(spark, sf):
+    """A hill climb among all pairs ends no lower than where it could end, with the empty graph as its start."""
+    s = stats(spark, sf)
+    score = scores.SemBic(s, 2.0)
+    g = ms.hill_climb(score, {frozenset((a, b)) for i, a in enumerate(DAG.nodes) for b in DAG.nodes[i + 1 :]})
+    gain = score.graph(g) - score.graph(Graph(DAG.nodes))
+    return spark.createDataFrame([(bool(gain > 0.9 * (score.graph(DAG) - score.graph(Graph(DAG.nodes)))), not g.has_directed_cycle())], "not_worse boolean, acyclic boolean")
+
+
+@known("src dst", [e[:2] for e in _skeleton(DAG.moral())])
+def graphical_lasso_planted(spark, sf):
+    """The entries of a lightly penalised precision matrix are those of the moral graph."""
+    inverse, g = ms.graphical_lasso(stats(spark, sf), 0.002)
+    at = {v: k for k, v in enumerate(DAG.nodes)}
+    return spark.createDataFrame([(a, b) for a, b, _, _ in _skeleton(g) if abs(inverse[at[a], at[b]]) > 0.1], "src string, dst string")
+
+
+def _bidirected() -> Graph:
+    g = Graph(["Y1", "Y2", "Y3", "Y4"])
+    g.add_edge("Y3", "Y1")
+    g.add_edge("Y4", "Y2")
+    g.add_edge("Y1", "Y2", ">", ">")
+    return g
+
+
+@known("src dst kind value", [("Y3", "Y1", "coefficient", 0.9), ("Y4", "Y2", "coefficient", 0.9), ("Y1", "Y2", "error", 1.0)])
+def bidirected_fit_planted(spark, sf):
+    """A graph with a bidirected edge for the hidden cause."""
+    edges, errors, _ = ms.fit_mixed_graph(sufficient_stats(with_latent(spark, sf), ["Y1", "Y2", "Y3", "Y4"]), _bidirected())
+    rows = [(a, b, "coefficient", round(c, 1)) for (a, b), c in edges.items()] + [(a, b, "error", round(c, 1)) for (a, b), c in errors.items() if a != b]
+    return spark.createDataFrame(rows, "src string, dst string, kind string, value double")
+
+
+@known("method coefficient", [("instrument", 0.5), ("least_squares", 0.8)])
+def instruments_planted(spark, sf):
+    """A cause that shares an error with its effect: the instrument gives 0.5, least squares is misled."""
+    df = rows_of(spark, sf).withColumns({"u": gauss("id", 91), "z": 1.5 * gauss("id", 92)})
+    df = df.withColumn("x", F.col("z") + F.col("u") + 0.5 * gauss("id", 93)).withColumn("y", 0.5 * F.col("x") + 1.05 * F.col("u") + 0.5 * gauss("id", 94))
+    s = sufficient_stats(df, ["y", "x", "z"])
+    rows = [("instrument", round(ms.two_stage_least_squares(s, "y", ["x"], ["z"])["x"], 1)), ("least_squares", round(float(s.regress("y", ["x"])[0][0]), 1))]
+    return spark.createDataFrame(rows, "method string, coefficient double")
+
+
+@known("var mean variance", [("X1", 0.0, 1.0), ("X2", 0.0, 1.0), ("X4", 1.6, 1.0), ("X5", 1.1, 2.1)])
+def updated_means(spark, sf):
+    """Distributions of a Gaussian model after X3 is set to 2, its causes cut off (rounded to tenths)."""
+    s = stats(spark, sf)
+    fit = models.fit_sem(s, DAG)
+    b, at = np.zeros((5, 5)), {v: k for k, v in enumerate(DAG.nodes)}
+    for (a, c), w in fit.edges.items():
+        if c != "X3":  # an intervention
+            b[at[c], at[a]] = w
+    err = np.array([fit.variances[v] if v != "X3" else 1.0 for v in DAG.nodes])
+    paths = np.linalg.inv(np.eye(5) - b)
+    cut = SuffStats(list(DAG.nodes), s.n, paths @ np.diag(err) @ paths.T, np.zeros(5))
+    rows = [(v, abs(round(m, 1)), round(x, 1)) for v, (m, x) in sorted(ms.expected_given(cut, {"X3": 2.0}).items())]
+    return spark.createDataFrame(rows, "var string, mean double, variance double")
