@@ -83,6 +83,8 @@ def _records(docs: list, texts: list, enc) -> np.ndarray:
     blocks = [np.empty(0, dtype=_RECORD)]
     for doc, t in zip(docs, texts, strict=True):
         ids = np.frombuffer(enc.encode(t), dtype="<u4")
+        if int(ids.max(initial=0)) > 0xFFFF:
+            raise ValueError(f"records hold 16-bit ids, the tokenizer gives {int(ids.max())}")
         r = np.zeros(-(-len(ids) // LENGTH), dtype=_RECORD)
         r["doc_id"], r["start"] = doc, np.arange(len(r)) * LENGTH
         r["length"] = np.minimum(len(ids) - np.arange(len(r)) * LENGTH, LENGTH)

@@ -66,3 +66,56 @@ def test_language_held_out_and_und(spark):
     kept = keep_identified(df).collect()
     assert len(kept) == len(rows) - 3 and {r.lang for r in kept if r.doc_id == 1003} == {"de"}
     assert language_id(df.limit(0)).count() == 0
+
+
+def test_profiles_match_plain_loops(spark):
+    """Predictions and scores of a small table against letter by letter sums."""
+    import numpy as np
+
+    from causalspark.llm.language_id import CLASSES, DIM, held_out, language_id
+
+    texts = ["the cat sat on the mat", "el gato come pan y vino", "Der Hund läuft über die Straße", "le chat boit du lait", "THE dog and the cat!", "el perro y el gato", "die Katze und der Hund", "123", None, "", "x", "日本 the"]
+    rows = [(i, texts[i % len(texts)] if texts[i % len(texts)] is None else texts[i % len(texts)] + " " * (i % 3), ["en", "es", "de", "fr", "en", "es", "de", None, "en", "en", None, "en"][i % len(texts)]) for i in range(96)]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, lang string, score int")
+    held = {r.doc_id: r.h for r in docs.select("doc_id", held_out("doc_id").alias("h")).collect()}
+    base = np.random.default_rng(7).choice(np.array([-1, 1], dtype=np.int8), size=(CLASSES, DIM)).astype(float)
+
+    def code(c: str) -> int:
+        if "a" <= c <= "z":
+            return ord(c) - 96
+        return 27 + (ord(c) * 2654435761 >> 7) % (CLASSES - 27) if c.isalpha() else 0
+
+    def vector(t):
+        codes = [0]
+        for c in (t or "").lower():
+            if code(c) or codes[-1]:
+                codes.append(code(c))
+        if not any(codes):
+            return None
+        codes += [0] if codes[-1] else []
+        out = np.zeros(DIM)
+        for a, b, c in zip(codes, codes[1:], codes[2:]):
+            out += np.roll(base[a], 2) * np.roll(base[b], 1) * base[c]
+        return out / np.linalg.norm(out)
+
+    sums = {}
+    for i, t, lang in rows:
+        v = vector(t)
+        if not held[i] and lang and v is not None:
+            s = sums.setdefault(lang, [np.zeros(DIM), 0])
+            s[0] += v
+            s[1] += 1
+    means = {k: a / n for k, (a, n) in sums.items()}
+    centre = np.mean(list(means.values()), axis=0)
+    profiles = {k: (m - centre) / np.linalg.norm(m - centre) for k, m in sorted(means.items())}
+    got = {r.doc_id: r for r in language_id(docs).collect()}
+    assert len(got) == len(rows)
+    for i, t, _ in rows:
+        v, r = vector(t), got[i]
+        cos = {k: float(p @ v) for k, p in profiles.items()} if v is not None else {}
+        assert r.held_out == held[i]
+        if not cos:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        else:
+            assert abs(r.score - min(1.0, max(0.0, (1 + max(cos.values())) / 2))) < 1e-5
+            assert cos[r.lang_pred] > max(cos.values()) - 1e-5

@@ -1,4 +1,8 @@
+import glob
+import struct
+
 import numpy as np
+import pytest
 
 from causalspark.llm import training_order as T
 from causalspark.llm.tokens import default_tokenizer, encoder
@@ -29,3 +33,55 @@ def test_round_trip(spark, monkeypatch, tmp_path):
     assert sorted(resumed.slot) == list(range(150, 333))
     empty = T.write_shards(df.limit(0), str(tmp_path / "none"))
     assert empty.sequences == 0 and T.read_shards(spark, empty).count() == 0
+
+
+def plain_slot(i: int, n: int, key: int) -> int:
+    """The keyed Feistel network with cycle-walking, number by number."""
+    full = 2**64 - 1
+    half = max((max(n - 1, 1).bit_length() + 1) // 2, 1)
+    mask = (1 << half) - 1
+    keys = [int(k) for k in np.random.default_rng(key).integers(0, 2**63, 6, dtype=np.uint64)]
+    while True:
+        left, right = i >> half, i & mask
+        for k in keys:
+            m = (right + k) * 0x9E3779B97F4A7C15 & full
+            m = (m ^ (m >> 29)) * 0xBF58476D1CE4E5B9 & full
+            left, right = right, left ^ ((m ^ (m >> 32)) & mask)
+        i = left << half | right
+        if i < n:
+            return i
+
+
+def test_permutation_matches_plain_integers():
+    for n, key in ((1, 1), (5, 3), (1000, 1), (70_001, 9)):
+        some = np.arange(0, n, max(n // 200, 1))
+        assert T.permute(some, n, key).tolist() == [plain_slot(int(i), n, key) for i in some]
+
+
+def test_files_hold_the_sequences_in_their_slots(spark, monkeypatch, tmp_path):
+    """Files read byte by byte, without the library's reader, against the permutation of plain integers."""
+    monkeypatch.setattr(T, "SHARD_BYTES", 40 * T.STRIDE)
+    rows = [(i, f"sequence {i} " * (30 * (i % 9))) for i in range(60)]
+    m = T.write_shards(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), str(tmp_path / "out"), key=5)
+    enc, want = encoder(default_tokenizer()), []
+    for i, t in rows:  # one partition: sequences are numbered in the order of its rows
+        ids = np.frombuffer(enc.encode(t), "<u4").tolist()
+        want += [(i, k, ids[k : k + T.LENGTH]) for k in range(0, len(ids), T.LENGTH)]
+    data = [open(f, "rb").read() for f in sorted(glob.glob(f"{tmp_path}/out/part-*"))]
+    assert m.sequences == len(want) and len(data) == m.shards > 1
+    for number, (doc, start, ids) in enumerate(want):
+        slot = plain_slot(number, m.sequences, 5)
+        at = slot % m.per_shard * m.stride
+        record = data[slot // m.per_shard][at : at + m.stride]
+        got_doc, got_start, n = struct.unpack_from("<qIH", record)
+        assert (got_doc, got_start, list(struct.unpack_from(f"<{n}H", record, 14))) == (doc, start, ids)
+        assert record[-1:] == b"\n"
+
+
+def test_ids_beyond_16_bits_are_refused():
+    class Wide:
+        def encode(self, t):
+            return np.array([70_000, 2], dtype="<u4").tobytes()
+
+    with pytest.raises(ValueError):
+        T._records([1], ["x"], Wide())
