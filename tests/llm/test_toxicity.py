@@ -1,6 +1,11 @@
+import math
 import random
+import re
 
-from causalspark.llm.toxicity import toxicity
+import numpy as np
+
+from causalspark.llm.minhash import _Powers, word_hashes
+from causalspark.llm.toxicity import PENALTY, _logistic, score_toxicity, toxicity, train_chain
 
 
 def test_held_out_accuracy_and_edges(spark):
@@ -27,3 +32,45 @@ def test_held_out_accuracy_and_edges(spark):
     assert not by[2000].toxic and not by[2002].toxic and by[2003].toxic and 0 <= by[2000].p_toxic <= 1
     assert toxicity(df.limit(0), lb).count() == 0
     assert not any(g.toxic for g in toxicity(df, lb.limit(0)).collect())
+
+
+def test_scores_match_plain_loops(spark):
+    """Every probability from words and format, weight by weight, one category feeding the next."""
+    r = random.Random(9)
+    say = lambda n: " ".join(r.choice(["Calm", "kind", "plain", "Rude,", "vile!", "x1y", "naïve"]) for _ in range(n))
+    docs = [(i, say(r.randint(1, 60)), 0) for i in range(240)] + [(900, None, 0), (901, "", 0), (902, "vile " * 3000, 0)]
+    labels = [(i, int("kind" in t), int("vile" in t)) for i, t, _ in docs[:200]]
+    df, lb = spark.createDataFrame(docs, "doc_id long, text string, x int"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    chain = train_chain(df, lb, ["quality", "toxic"])
+    known, powers = {int(w): k for k, w in enumerate(chain.words)}, _Powers()
+    got = {g.doc_id: g for g in score_toxicity(df, chain).collect()}
+    assert len(chain.words) >= 5
+    for i, t, _ in docs:
+        t = t or ""
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+        words = set(re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", low))
+        hit = {known[int(h)] for w in words for h in word_hashes(w, powers) if int(h) in known}
+        data, parts = t.encode(), t.split()
+        n = max(len(data), 1)
+        form = [
+            sum(65 <= b <= 90 for b in data) / n,
+            sum(32 < b < 128 and not chr(b).isalnum() for b in data) / n,
+            1 - len(set(parts)) / max(len(parts), 1),
+            min(n / max(len(parts), 1), 30) / 30,
+        ]
+        before = []
+        for c, w in zip(("quality", "toxic"), chain.models, strict=True):
+            m = len(chain.words)
+            z = sum(float(w[k]) for k in hit) + sum(float(a) * b for a, b in zip(w[m : m + 4], form)) + float(w[m + 4]) + sum(float(a) * b for a, b in zip(w[m + 5 :], before))
+            before.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+            assert abs(got[i][f"p_{c}"] - before[-1]) < 1e-4, (i, c)
+        assert got[i].toxic == (got[i].p_toxic >= chain.bounds[-1])
+
+
+def test_logistic_models_are_at_their_optimum():
+    r = np.random.default_rng(3)
+    x = np.concatenate((r.normal(size=(400, 3)), np.ones((400, 1))), axis=1).astype(np.float32)
+    y = (r.random(400) < 1 / (1 + np.exp(-(x @ np.array([1.0, -2.0, 0.0, 0.5]))))).astype(float)
+    w = _logistic(x, y).astype(float)
+    slope = x.T.astype(float) @ (1 / (1 + np.exp(-(x @ w))) - y) / 400 + PENALTY * np.append(w[:3], 0)
+    assert np.abs(slope).max() < 1e-4
