@@ -6,12 +6,15 @@ import math
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..plans.suffstats import covariance_long
-from .transforms import average_ranks
+from ..plans.tables import written
+from .transforms import average_ranks, counted
 
 
 def long(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -59,17 +62,63 @@ def spearman(df: DataFrame, cols: list[str]) -> DataFrame:
     return covariance_long(named, cols, True).where("var_i < var_j")
 
 
+def concordance(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
+    """Sum over pairs of cells of n_i n_j sign(x_i - x_j) sign(y_i - y_j), by bisecting the ranks of y."""
+    xr, yr = (np.unique(v, return_inverse=True)[1].astype(np.int64) for v in (x, y))
+    total = 0.0
+    for bit in range(int(yr.max(initial=0)).bit_length()):
+        key = (yr >> (bit + 1)) * (int(xr.max()) + 1) + xr  # by block of y, then x
+        order = np.argsort(key, kind="stable")
+        key, group, upper, w = key[order], (yr >> (bit + 1))[order], (yr >> bit & 1)[order] == 1, n[order]
+        low = np.concatenate(([0.0], np.cumsum(np.where(upper, 0.0, w))))  # weight of the lower half so far
+        less = low[np.searchsorted(key, key[upper], "left")]
+        upto = low[np.searchsorted(key, key[upper], "right")]
+        first, last = low[np.searchsorted(group, group[upper], "left")], low[np.searchsorted(group, group[upper], "right")]
+        total += float((w[upper] * ((less - first) - (last - upto))).sum())
+    return total
+
+
+#: Cells of a bucket of Kendall's tau, about, and the least and largest number of buckets.
+KENDALL_CELLS = 200_000
+KENDALL_BUCKETS = (16, 1024)
+
+
 def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Tau-b of two columns of few different values, from the counts of their cells."""
-    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count("*").cast("double").alias("n"))
-    a, b = cells.alias("a"), cells.alias("b")
-    s = F.signum(F.col("a.x") - F.col("b.x")) * F.signum(F.col("a.y") - F.col("b.y"))
-    both = a.join(b, F.col("a.x") != F.col("b.x"))  # cells of distinct values, not rows
-    part = both.agg((F.sum(F.col("a.n") * F.col("b.n") * s) / 2).alias("s"))
-    ties = lambda c: cells.groupBy(c).agg(F.sum("n").alias("t")).agg(F.sum("t").alias("n"), F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(f"t{c}"))
-    one = part.join(ties("x")).join(ties("y").drop("n"))
-    pairs = F.col("n") * (F.col("n") - 1) / 2
-    return one.select((F.col("s") / F.sqrt((pairs - F.col("tx")) * (pairs - F.col("ty")))).alias("tau"))
+    """(tau): tau-b of two columns, from the counts of their cells; null where a column is constant.
+
+    Values are put in buckets by rank. Pairs of cells in different buckets of both columns are
+    counted from the table of buckets, those in one bucket of x, and those in one bucket of y
+    but not of x, within that bucket; no pairs are listed.
+    """
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    cells = written(both.groupBy("x", "y").agg(F.count("*").cast("double").alias("n")))
+    buckets = int(min(max(KENDALL_BUCKETS[0], cells.count() / KENDALL_CELLS), KENDALL_BUCKETS[1]))
+    out, ties = cells, {}
+    for c in ("x", "y"):
+        counts, total = counted(both, c)
+        size = max(total // buckets, 1)
+        out = out.join(counts.select(F.col("v").alias(c), F.floor(F.col("below") / size).cast("int").alias(f"b{c}")), c)
+        ties[c] = counts.agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2)).first()[0] or 0.0
+    out = written(out)
+
+    def inside(a: str, b: str):
+        def run(t: pa.Table) -> pa.Table:
+            u, v, n = (t[k].to_numpy().astype(np.float64) for k in (a, b, "n"))
+            return pa.table({"s": [concordance(u, v, n)]})
+
+        return run
+
+    s = sum(r["s"] for by, a, b in (("bx", "x", "y"), ("by", "bx", "y")) for r in out.groupBy(by).applyInArrow(inside(a, b), "s double").collect())
+    table = np.array([tuple(r) for r in out.groupBy("bx", "by").agg(F.sum("n")).collect()]).reshape(-1, 3)  # buckets by buckets
+    if len(table):
+        m = np.zeros((int(table[:, 0].max()) + 1, int(table[:, 1].max()) + 1))
+        m[table[:, 0].astype(int), table[:, 1].astype(int)] = table[:, 2]
+        below = np.cumsum(m, axis=0) - m  # rows of smaller buckets of x
+        upto = np.cumsum(below, axis=1)
+        s += float((m * ((upto - below) - (upto[:, -1:] - upto))).sum())
+    pairs = total * (total - 1) / 2
+    scale = math.sqrt((pairs - ties["x"]) * (pairs - ties["y"]))
+    return df.sparkSession.createDataFrame([(s / scale if scale else None,)], "tau double")
 
 
 def fisher_z(df: DataFrame, cols: list[str], z: float) -> DataFrame:

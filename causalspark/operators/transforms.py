@@ -111,7 +111,7 @@ def equal_intervals(df: DataFrame, col: str, k: int, out: str | None = None) ->
     return s.select(*df.columns, reduce(lambda a, b: a + b, cuts, F.lit(0)).alias(out or f"{col}_bin"))
 
 
-def _counted(df: DataFrame, col: str, kind: str | None = None) -> tuple[DataFrame, int]:
+def counted(df: DataFrame, col: str, kind: str | None = None) -> tuple[DataFrame, int]:
     """((v, n, below) for each distinct value, the number of rows): n rows hold v, `below` a smaller value.
 
     Distinct values are range-partitioned and written once, as ranges differ between runs; the
@@ -132,7 +132,7 @@ def _counted(df: DataFrame, col: str, kind: str | None = None) -> tuple[DataFram
 
 def quantile_points(df: DataFrame, col: str, k: int) -> list[float]:
     """The sorted values at n / k * (i + 1) with whole-number division: exact order statistics."""
-    counts, total = _counted(df, col, "double")
+    counts, total = counted(df, col, "double")
     if not total:
         return []
     wanted = [total // k * (i + 1) for i in range(k - 1)]
@@ -163,7 +163,7 @@ def histogram(df: DataFrame, col: str, bins: int, where: Column | None = None) -
 
 def average_ranks(df: DataFrame, col: str, out: str) -> DataFrame:
     """Ranks from 1, tied values sharing their mean; nulls have none. By one count for each value and running sums of ranges."""
-    counts, _ = _counted(df, col)
+    counts, _ = counted(df, col)
     v = fresh(df, "value")
     ranked = counts.select(F.col("v").alias(v), (F.col("below") + (F.col("n") + 1) / 2).alias(out))
     return df.join(ranked, F.col(col) == F.col(v), "left").drop(v)
@@ -176,7 +176,7 @@ def nonparanormal(df: DataFrame, col: str, out: str) -> DataFrame:
     """
     from ..functions.special import normal_quantile
 
-    counts, n = _counted(df, col)
+    counts, n = counted(df, col)
     if not n:
         return df.withColumn(out, F.lit(None).cast("double"))
     delta = 1 / (4 * n**0.25 * math.sqrt(math.pi * math.log(n))) if n > 1 else 0.5

@@ -17,7 +17,7 @@ from .operators import graph_tables as gt
 from .operators import models as md
 from .operators import statistics as st
 from .operators import transforms as tr
-from .plans.suffstats import covariance_long, sufficient_stats
+from .plans.suffstats import covariance_long, grouped_stats, sufficient_stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -554,11 +554,11 @@ def kmeans_assign(spark, sf):
     "SELECT l_linenumber, 'l_discount', 'l_tax', corr(l_discount, l_tax) FROM lineitem GROUP BY 1 UNION ALL SELECT l_linenumber, 'l_price', 'l_tax', corr(l_extendedprice / 1000, l_tax) FROM lineitem GROUP BY 1)"
 )
 def grouped_correlations(spark, sf):
-    """Correlations within each data set in one aggregation."""
+    """Correlations within each data set from one pass."""
     cols = ["l_discount", "l_price", "l_tax"]
-    one = lineitem(spark, sf).groupBy(F.col("l_linenumber").alias("dataset")).agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in _pairs(cols)])
-    rows = F.array(*[F.struct(F.lit(a).alias("var_i"), F.lit(b).alias("var_j"), F.col(f"{a}|{b}").alias("r")) for a, b in _pairs(cols)])
-    return rounded(one.select("dataset", F.inline(rows)))
+    parts = grouped_stats(lineitem(spark, sf), "l_linenumber", cols)
+    rows = [(int(k), a, b, float(s.corr[s.index[a], s.index[b]])) for k, s in parts.items() for a, b in _pairs(cols)]
+    return rounded(spark.createDataFrame(rows, "dataset int, var_i string, var_j string, r double"))
 
 
 @query(
@@ -601,12 +601,18 @@ def prefdiv_topk(spark, sf):
     return rounded(spark.createDataFrame([(c, relevance[c]) for c in chosen], "var string, relevance double"), 5)
 
 
-@query("WITH p AS (SELECT unnest([0.0001, 0.0005, 0.002, 0.008, 0.02, 0.04, 0.3, 0.6]) AS p), k AS (SELECT p, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM p) SELECT max(p) AS cutoff, (max(k) - 1)::INTEGER AS index FROM k WHERE p < 0.05 * k / (m + 1)")
+@query(
+    "WITH u AS (SELECT (p_partkey * 7919 % 10007 + 0.5) / 10007.0 AS u FROM part), p AS (SELECT u * u * u AS p FROM u), k AS (SELECT p, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM p) "
+    "SELECT round(max(p), 7) + 0.0 AS cutoff, (max(k) - 1)::INTEGER AS index FROM k WHERE p < 0.05 * k / (m + 1)"
+)
 def fdr(spark, sf):
+    """The false-discovery cutoff of a p-value for each part."""
     from .functions.special import fdr_cutoff
 
-    cutoff, index = fdr_cutoff(0.05, [0.0001, 0.0005, 0.002, 0.008, 0.02, 0.04, 0.3, 0.6], False)
-    return spark.createDataFrame([(cutoff, index)], "cutoff double, index int")
+    u = (F.col("p_partkey") * 7919 % 10007 + 0.5) / 10007.0
+    values = sorted(r["p"] for r in t(spark, sf, "part").select((u * u * u).alias("p")).collect())
+    cutoff, index = fdr_cutoff(0.05, values, False)
+    return rounded(spark.createDataFrame([(cutoff, index)], "cutoff double, index int"), 7)
 
 
 # searches over the tables are in planted.py

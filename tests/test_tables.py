@@ -4,6 +4,7 @@ import numpy as np
 
 from causalspark.operators import graph_tables as gt
 from causalspark.operators import transforms as tr
+from causalspark.operators import statistics as st
 from causalspark.operators.statistics import moments
 from causalspark.plans.suffstats import grouped_stats, sufficient_stats
 from causalspark.sources.tabular import infer_types, read_table
@@ -73,3 +74,18 @@ def test_partial_results_meet_in_executors(spark):
     groups = grouped_stats(df.repartition(40), "g", ["x", "y"])
     assert sorted(groups) == ["a", "b"] and groups["a"].n == 150
     assert sufficient_stats(df.limit(0), ["x", "y"]).n == 0
+
+
+def test_kendall_matches_all_pairs(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    for k, (x, y) in enumerate([(r.integers(0, 9, 300), r.integers(0, 5, 300)), (r.normal(size=250), r.normal(size=250)), (np.arange(40), np.arange(40)[::-1]), (np.ones(5), np.arange(5))]):
+        x, y = x.astype(float), y.astype(float)
+        s = float((np.sign(x[:, None] - x) * np.sign(y[:, None] - y)).sum() / 2)
+        assert st.concordance(x, y, np.ones(len(x))) == s
+        tied = lambda v: sum(c * (c - 1) / 2 for c in np.unique(v, return_counts=True)[1])
+        n = len(x) * (len(x) - 1) / 2
+        scale = ((n - tied(x)) * (n - tied(y))) ** 0.5
+        df = spark.createDataFrame([*zip(x.tolist(), y.tolist()), (None, 1.0)], "x double, y double")
+        tau = st.kendall(df, "x", "y").first()["tau"]
+        assert tau is None if not scale else abs(tau - s / scale) < 1e-12, k
+    assert st.kendall(df.limit(0), "x", "y").first()["tau"] is None
