@@ -152,7 +152,7 @@ class _Discrete(Test):
                     key = tuple(cell[i] for i in at)
                     out[key] = out.get(key, 0) + n
             else:
-                for r in self._df.groupBy(*names).count().toLocalIterator():
+                for r in self._df.groupBy(*names).count().collect():  # one row for each attested cell
                     out[tuple(r)[:-1]] = r["count"]
             self._seen[names] = {k: n for k, n in out.items() if None not in k}
         return self._seen[names]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,22 +68,23 @@ class Kci(Test):
         return 1 - gamma_cdf(stat, mean * mean / var, var / mean) if var > 0 and prod.any() else 1.0
 
 
-def anderson_darling_normal(df: DataFrame, col: str, max_rows: int = 1_000_000) -> tuple[float, float]:
-    """(A2 adjusted for estimated mean and deviation, p-value), from the counts of distinct values in order."""
-    import math
+def anderson_darling_normal(df: DataFrame, col: str) -> tuple[float, float]:
+    """(A2 adjusted for estimated mean and deviation, p-value), from the counts of distinct values; nulls do not count."""
+    from .transforms import counted
 
     n, mean, sd = df.agg(F.count(col), F.avg(col), F.stddev_samp(col)).first()
-    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count("*").alias("n")).orderBy("v")
-    total, k, seen = 0.0, 0, 0
-    for r in counts.toLocalIterator():
-        seen += 1
-        if seen > max_rows:
-            raise ValueError("more distinct values than max_rows")
-        u = min(max(normal_cdf(r["v"], mean, sd), 1e-15), 1 - 1e-15)
-        c = r["n"]
-        # ranks k+1 .. k+c share the value: sums of (2 i - 1) over them, and of the reverse ranks
-        total += (c * c + 2 * k * c) * math.log(u) + (2 * n * c - (c * c + 2 * k * c)) * math.log(1 - u)
-        k += c
+    if not n or not sd:
+        return float("nan"), float("nan")
+
+    @F.pandas_udf("double")
+    def below(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: min(max(normal_cdf(x, mean, sd), 1e-15), 1 - 1e-15))
+
+    counts, _ = counted(df, col, "double")
+    # c rows from rank k + 1 on share a value: sums of 2 i - 1 over their ranks, and over the reverse ones
+    c, k, u = F.col("n").cast("double"), F.col("below").cast("double"), F.col("u")
+    ranks = c * c + 2 * k * c
+    total = counts.withColumn("u", below("v")).agg(F.sum(ranks * F.log(u) + (2 * n * c - ranks) * F.log(1 - u))).first()[0]
     a2 = (-n - total / n) * (1 + 0.75 / n + 2.25 / n / n)
     cut = [(0.2, lambda a: 1 - math.exp(-13.436 + 101.14 * a - 223.73 * a * a)), (0.34, lambda a: 1 - math.exp(-8.318 + 42.796 * a - 59.938 * a * a)), (0.6, lambda a: math.exp(0.9177 - 4.279 * a - 1.38 * a * a))]
     return a2, next((f(a2) for b, f in cut if a2 < b), math.exp(1.2937 - 5.709 * a2 + 0.0186 * a2 * a2) if a2 < 153 else 0.0)

@@ -163,7 +163,7 @@ class ConditionalGaussian(Score):
         centred = [F.col(v).cast("double") - float(self.stats.means[self.stats.index[v]]) for v in cont]
         aggs = [F.count("*").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(centred)], *[F.sum(centred[i] * centred[j]).alias(f"q{i}_{j}") for i, j in pairs]]
         out = []
-        for r in self._df.groupBy(*disc).agg(*aggs).toLocalIterator():
+        for r in self._df.groupBy(*disc).agg(*aggs).collect():  # one row for each attested cell
             n, s, q = r["n"], np.array([r[f"s{i}"] for i in range(c)]), np.zeros((c, c))
             for i, j in pairs:
                 q[i, j] = q[j, i] = r[f"q{i}_{j}"]

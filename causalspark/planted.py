@@ -655,3 +655,46 @@ def updated_means(spark, sf):
     cut = SuffStats(list(DAG.nodes), s.n, paths @ np.diag(err) @ paths.T, np.zeros(5))
     rows = [(v, abs(round(m, 1)), round(x, 1)) for v, (m, x) in sorted(ms.expected_given(cut, {"X3": 2.0}).items())]
     return spark.createDataFrame(rows, "var string, mean double, variance double")
+
+
+@known("var normal", [("bell", True), ("flat", False), ("skewed", False)])
+def normality_planted(spark, sf):
+    """The Anderson-Darling test of three columns."""
+    u, v = F.greatest(tr.unit_hash("id", 9501), F.lit(2.0**-53)), tr.unit_hash("id", 9502)
+    df = rows_of(spark, sf).withColumns({"bell": F.sqrt(-2 * F.log(u)) * F.cos(2 * np.pi * v), "flat": flat("id", 96), "skewed": F.exp(0.5 * gauss("id", 97))})
+    return spark.createDataFrame([(c, bool(kernel.anderson_darling_normal(df, c)[1] > 1e-4)) for c in ("bell", "flat", "skewed")], "var string, normal boolean")
+
+
+@known("src dst weight", [("X1", "X3", 1.0), ("X2", "X3", 1.0), ("X2", "X5", 1.0), ("X3", "X4", 1.0), ("X4", "X5", 1.0)])
+def subsample_frequencies(spark, sf):
+    """How often edges are in skeletons of half samples, drawn by hashes of row ids."""
+    parts = mixed.bootstrap_stats(linear(spark, sf), DAG.nodes, 10, 5, "id", 0.5)
+    f = mixed.edge_frequencies(parts, ALPHA)
+    return spark.createDataFrame([(min(a, b), max(a, b), round(v, 6)) for (a, b), v in sorted(f.items())], "src string, dst string, weight double")
+
+
+@known("pair halves together", [(0, 2, True), (1, 2, True), (2, 2, True)])
+def complementary_halves_planted(spark, sf):
+    """Each pair of halves holds every row once, in halves of nearly one size."""
+    n = rows_of(spark, sf).count()
+    halves = tr.complementary_halves(rows_of(spark, sf), 3, 4, "id").groupBy("pair", "half").agg(F.count("*").alias("n"))
+    return halves.groupBy("pair").agg(F.count("*").cast("int").alias("halves"), ((F.sum("n") == n) & (F.max("n") < 0.55 * n)).alias("together"))
+
+
+@known("var", [("X1",), ("X2",)])
+def diverse_variables(spark, sf):
+    """The two most relevant variables for X3 that do not repeat each other; a noisy copy of X2 is put off."""
+    df = linear(spark, sf).withColumn("C", F.col("X2") + 0.3 * gauss("id", 98)).select("X1", "X2", "X3", "C")
+    s = sufficient_stats(df, ["X1", "X2", "X3", "C"])
+    relevance = {c: abs(float(s.corr[s.index["X3"], s.index[c]])) for c in ("X1", "X2", "C")}
+    found = mixed.preferential_diversity(relevance, s.select(["X1", "X2", "C"]), 2, 0.7, 0.5)
+    return spark.createDataFrame([(v,) for v in sorted(found)], "var string")
+
+
+@known("x y lag1", [("x", 0, 0.0), ("y", 1, 0.8)])
+def lagged_dependence(spark, sf):
+    """Covariance with x one step before, within each series."""
+    wide = tr.lagged(series(spark, sf), ["x"], "t", 1, ["s"])
+    s = sufficient_stats(wide, ["x", "y", "x_lag1"])
+    rows = [(v, k, abs(round(float(s.cov[s.index[v], s.index["x_lag1"]]), 1))) for k, v in enumerate(("x", "y"))]
+    return spark.createDataFrame(rows, "x string, y int, lag1 double")
