@@ -14,6 +14,7 @@ stay. Other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -36,7 +37,7 @@ GENERATORS = [
     ("card", r"(?<![0-9])[0-9]{4}[\x20.-]?[0-9]{4}[\x20.-]?[0-9]{4}[\x20.-]?[0-9]{1,7}(?![0-9])", ""),
     ("phone", r"(?<![0-9])\+?[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])", ""),
     ("account", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,4})?(?![A-Za-z0-9])", ""),
-    ("secret", r"(?<![A-Za-z0-9])(?:[A-Z]{4}[A-Z0-9]{16}|[0-9a-f]{16,64}|[A-Za-z0-9_-]{32,64})(?![A-Za-z0-9])", ""),
+    ("secret", r"(?<![A-Za-z0-9])(?:[A-Z]{4}[A-Z0-9]{16}|[0-9a-f]{16,}+|[A-Za-z0-9_-]{32,}+)(?![A-Za-z0-9])", ""),
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)++", "at"),
 ]
 #: Words shortly before a span that speak for its kind.
@@ -49,22 +50,47 @@ ROUNDS = 30
 RATE = 0.3
 
 
+#: Elements of an array that are scanned one by one; running values of longer arrays are made of these chunks.
+CHUNK = 128
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where value is computed once however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _before(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array of ints the result of op over those before it, from nought on.
+
+    Arrays grow by copying, so an array is only ever grown to a chunk, or to the number of chunks.
+    """
+    none = F.array().cast("array<int>")
+
+    def grown(part: Column, first: Column) -> Column:
+        step = lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(part, F.struct(first.alias("at"), none.alias("out")), step)["out"]
+
+    def of(v: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(v) / CHUNK).cast("int") - 1), lambda c: F.slice(v, c * CHUNK + 1, F.lit(CHUNK)))
+        return _let(chunks, lambda parts: F.flatten(F.zip_with(parts, grown(F.transform(parts, lambda p: F.aggregate(p, F.lit(0), op)), F.lit(0)), grown)))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, of(v)).otherwise(none))
+
+
 def matches(text: Column, pattern: str, needs: str) -> Column:
     """array<struct<start, end, s>>: leftmost non-overlapping matches with their code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sized = F.zip_with(F.split(text, pattern, -1), found, lambda gap, s: F.struct(F.coalesce(F.length(gap), F.lit(0)).alias("gap"), s.alias("s")))
-    none = F.array().cast("array<struct<start:int,end:int,s:string>>")
-    placed = F.aggregate(
-        F.filter(sized, lambda x: x["s"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["s"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["s"])).alias("end"), x["s"].alias("s")))).alias("out"),
-        ),
-    )["out"]
+    sized = F.zip_with(
+        F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, s: F.struct(F.coalesce(F.length(gap), F.lit(0)).alias("gap"), s.alias("s"))
+    )
+
+    def placed(found: Column) -> Column:
+        ends = _before(F.transform(found, lambda x: x["gap"] + F.length(x["s"])), lambda at, x: at + x)
+        return F.zip_with(found, ends, lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + F.length(x["s"])).alias("end"), x["s"].alias("s")))
+
     # the split is only made for the few texts with a match
     has = text.contains(needs) & text.rlike(pattern) if needs else text.rlike(pattern)
-    return F.when(has, placed).otherwise(none)
+    none = F.array().cast("array<struct<start:int,end:int,s:string>>")
+    return F.when(has, _let(F.filter(sized, lambda x: x["s"].isNotNull()), placed)).otherwise(none)
 
 
 def _digits(s: Column) -> Column:
@@ -206,8 +232,8 @@ class Boosted:
             right, every = np.cumsum(good[own]), np.cumsum(total[own])
             last = np.append(s[own][1:] != s[own][:-1], True) if len(own) else np.empty(0, bool)
             fit = np.flatnonzero(last & (right >= PRECISION * every))
-            if len(fit):
-                self.bounds[g] = float(s[own][fit[-1]])
+            if len(fit):  # no bound where it holds for all
+                self.bounds[g] = float(s[own][fit[-1]]) if fit[-1] < len(own) - 1 else -1e300
         return self
 
     def column(self, c: Column) -> Column:
@@ -254,10 +280,11 @@ def with_spans(docs: DataFrame, model: Boosted, text: str = "text") -> DataFrame
         lambda c: F.struct(c["start"].alias("start"), reduce(lambda acc, g: acc.when(c["generator"] == g[0], _KINDS.index(g[1][0])), enumerate(GENERATORS), F.when(F.lit(False), 0)).alias("k"), c["end"].alias("end")),
     )
     full = F.coalesce(F.col(text), F.lit(""))
+    distinct = lambda a: F.filter(a, lambda x, i: (i == 0) | (F.get(a, i - 1) != x))  # noqa: E731  a is sorted
     return (
         docs.withColumn("base", base_spans(full))
         .withColumn("_cands", F.when(full.rlike("[0-9]|at[])]"), candidates(full)))
-        .withColumn("spans", F.array_sort(F.array_distinct(F.concat("base", F.coalesce(taken, F.array().cast("array<struct<start:int,k:int,end:int>>"))))))
+        .withColumn("spans", _let(F.array_sort(F.concat("base", F.coalesce(taken, F.array().cast("array<struct<start:int,k:int,end:int>>")))), distinct))
         .drop("_cands")
     )
 
@@ -277,37 +304,31 @@ def rendered(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with each span of the text replaced by its kind in angle brackets; spans that overlap are one.
+    """docs with each span of the text replaced by its kind in angle brackets; spans that overlap are one, of the first one's kind.
 
-    The columns are those of docs. Null texts stay null.
+    The columns are those of docs, whatever their names. Null texts stay null, repeated rows
+    stay repeated, an empty table stays empty.
     """
-    clash = set(docs.columns) & {"base", "spans", "_cands", "_cuts"}
-    if clash:
-        raise ValueError(f"docs has columns named {sorted(clash)}")
     names = F.array(*[F.lit(k) for k in _KINDS])
-    cut = "array<struct<start:int,k:int,end:int>>"
-    merged = F.aggregate(
-        "spans",
-        F.array().cast(cut),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (s["start"] < F.element_at(acc, -1)["end"]),
-            F.concat(
-                F.slice(acc, 1, F.size(acc) - 1),
-                F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.element_at(acc, -1)["k"].alias("k"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(s))),
-    )
-    pieces = F.transform(
-        "_cuts",
-        lambda s, i: F.concat(
-            F.substring(F.col(text), F.when(i > 0, F.element_at("_cuts", F.greatest(i, F.lit(1)))["end"]).otherwise(0) + 1, s["start"] - F.when(i > 0, F.element_at("_cuts", F.greatest(i, F.lit(1)))["end"]).otherwise(0)),
-            F.concat(F.lit("<"), F.element_at(names, s["k"] + 1), F.lit(">")),
-        ),
-    )
-    out = F.concat(F.array_join(pieces, ""), F.substring(F.col(text), F.element_at("_cuts", -1)["end"] + 1, F.length(text)))
-    return (
-        with_spans(docs, train(docs, text), text)
-        .withColumn("_cuts", merged)
-        .withColumn(text, F.when(F.size("_cuts") > 0, out).otherwise(F.col(text)))
-        .select(docs.columns)
-    )
+
+    def merged(spans: Column) -> Column:
+        """Spans that overlap those before them joined; a joined one ends where the furthest of its spans does."""
+        far = _before(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))  # the furthest end before each
+        marked = F.zip_with(spans, far, lambda s, at: F.struct(s.alias("s"), at.alias("far"), (s["start"] >= at).alias("new")))
+
+        def joined(m: Column) -> Column:
+            firsts = F.filter(m, lambda x: x["new"])
+            last = lambda x, i: (i == F.size(m) - 1) | F.coalesce(F.get(m, i + 1)["new"], F.lit(True))
+            ends = F.transform(F.filter(m, last), lambda x: F.greatest(x["far"], x["s"]["end"]))
+            return F.zip_with(firsts, ends, lambda f, e: F.struct(f["s"]["start"].alias("start"), f["s"]["k"].alias("k"), e.alias("end")))
+
+        return _let(marked, joined)
+
+    def cut_out(cuts: Column) -> Column:
+        since = lambda i: F.when(i > 0, F.get(cuts, i - 1)["end"]).otherwise(0)
+        pieces = F.transform(cuts, lambda c, i: F.concat(F.substring(F.col("text"), since(i) + 1, c["start"] - since(i)), F.lit("<"), F.element_at(names, c["k"] + 1), F.lit(">")))
+        return F.concat(F.array_join(pieces, ""), F.substring(F.col("text"), F.element_at(cuts, -1)["end"] + 1, F.length("text")))
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    out = with_spans(rows, train(rows)).withColumn("text", F.when(F.size("spans") > 0, _let(merged(F.col("spans")), cut_out)).otherwise(F.col("text")))
+    return out.select(*[F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])
