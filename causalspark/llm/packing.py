@@ -28,8 +28,10 @@ from .tokens import default_tokenizer, encoder
 
 CAPACITY = 4096
 UNIT = 32
-#: Each length's ranks are counted in so many parts, so that no length is one task's work.
+#: Each length's ranks are counted in parts, so that no length is one task's work: so many at
+#: least, and as many as keep a part under this number of pieces.
 PARTS = 64
+PART_ROWS = 500_000
 ITERATIONS = 5000
 
 
@@ -171,7 +173,8 @@ def _plan(histogram: dict[int, int]) -> dict[int, np.ndarray]:
 def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) of every piece."""
     cut = materialize(pieces(docs, tokenizer or default_tokenizer(), with_ids), "pieces")
-    salted = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(PARTS)).cast("int"))
+    parts = max(PARTS, -(-cut.count() // PART_ROWS))
+    salted = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(parts)).cast("int"))
     counts = sorted(tuple(r) for r in salted.groupBy("length", "part").agg(F.count("*")).collect())
     histogram: dict[int, int] = {}
     first: dict[tuple[int, int], int] = {}
