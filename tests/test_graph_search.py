@@ -11,6 +11,7 @@ from causalspark.operators.knowledge import Knowledge
 from causalspark.operators.scores import DSeparationScore
 
 
+# fixed values: small graphs and the patterns and partial ancestral graphs that are known for them
 @pytest.mark.parametrize(
     ("dag", "pattern"),
     [
