@@ -3,7 +3,8 @@
 A page is parsed into blocks. Scripts, styles, menus, headers, footers, sidebars, notices,
 adverts, forms and comments are marked by their elements and class names; an article (else
 a main, else a content container) holds the main text if the page has one, else all blocks
-that are not marked. These are the page's kept blocks. The words of all blocks, kept or not,
+that are not marked. A main area's title beside its article belongs to it. These are the
+page's kept blocks. The words of all blocks, kept or not,
 are its token stream, with breaks where kept blocks meet others.
 
 A run of RUN words or more that is on enough different pages of its host is boilerplate, and
@@ -96,9 +97,13 @@ def _role(name: str, attrs: str, inside: int) -> tuple[bool, int]:
     return drop, rank
 
 
-def parse(page: str | None) -> list[tuple[int, str]]:
+#: Rank of a title in the main area: kept beside an article there, and where the main area is.
+TITLE = 2.5
+
+
+def parse(page: str | None) -> list[tuple[float, str]]:
     """[(rank, text)] of a page's blocks in order: -1 for boilerplate, else the rank of the container (0: none)."""
-    out: list[tuple[int, str]] = []
+    out: list[tuple[float, str]] = []
     stack: list[tuple[str, bool, int]] = []  # element, boilerplate in force, rank in force
     parts: list[str] = []
     page, at = page or "", 0
@@ -109,7 +114,8 @@ def parse(page: str | None) -> list[tuple[int, str]]:
             parts.clear()
             if text:
                 drop, rank = stack[-1][1:] if stack else (False, 0)
-                out.append((-1 if drop else rank, text))
+                title = rank == 2 and any(x[0] == "h1" for x in stack)
+                out.append((-1 if drop else TITLE if title else rank, text))
 
     for m in iter(lambda: _TAG.search(page, at), None):
         if m.start() > at:
@@ -202,8 +208,8 @@ def _parsed(pages: DataFrame) -> DataFrame:
             texts, kepts, numbers = [], [], []
             for url, page in zip(b.column(1), b.column(2), strict=True):
                 blocks = parse(page.as_py())
-                top = max((r for r, _ in blocks), default=0)
-                text, kept = "\n".join(t for _, t in blocks), "".join("01"[r == max(top, 0)] for r, _ in blocks)
+                top = max((int(r) for r, _ in blocks if r >= 0), default=0)
+                text, kept = "\n".join(t for _, t in blocks), "".join("01"[r == TITLE or r == top] for r, _ in blocks)
                 host = _host(url.as_py())
                 texts.append(text)
                 kepts.append(kept)

@@ -11,6 +11,7 @@ PAGE = (
 
 def test_rules(spark):
     assert [t for r, t in parse(PAGE) if r == 3] == ["Big & small", "One two three", "unclosed é!", "end"]
+    assert [t for r, t in parse("<main><h1>A title</h1><p>teaser</p><article><p>Text</p></article></main>") if r in (2.5, 3)] == ["A title", "Text"]
     assert parse(None) == [] and parse("<") == [(0, "<")] and parse("a < b") == [(0, "a < b")]
 
 
@@ -66,3 +67,9 @@ def test_small_hosts_quotes_and_changed_articles(spark):
         assert all(by[10 + i] == f"{say(f'b{i}x', 15)} {phrase if i < 5 else i} {say(f'c{i}x', 5)}" for i in range(40))
         assert [by[100 + i] for i in range(3)] == changed
         assert all(by[110 + i] == (changed[i] if i < 3 else say(f"m{i}x", 30)) for i in range(9))
+
+
+def test_a_title_beside_the_article_stays(spark):
+    rows = [(1, "http://a.example/1", "<main><h1>A title</h1><p>teaser</p><article><p>Text</p></article></main>"), (2, "http://b.example/1", "<h1>Site</h1><main><h1>B</h1><p>more</p></main><p>x</p>")]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "A title\nText", 2: "B\nmore"}
