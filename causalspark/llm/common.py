@@ -38,6 +38,20 @@ def _remove(spark: SparkSession, root: str) -> None:
         pass
 
 
+#: Up to so many rows of a few numbers each (some 20 bytes) are broadcast; beyond, joins shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def hinted(small: DataFrame) -> DataFrame:
+    """A materialized table of ids, to be broadcast if its counted rows are few enough."""
+    return F.broadcast(small) if small.count() <= BROADCAST_IDS else small
+
+
+def release(table: DataFrame) -> None:
+    """Delete a table that `materialize` wrote and nothing will read again."""
+    _remove(table.sparkSession, table._written_to)
+
+
 def materialize(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder, in so many files at most, and read it back.
 
@@ -46,7 +60,9 @@ def materialize(df: DataFrame, name: str, files: int | None = None) -> DataFrame
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:8]}"
     (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
 
 
 def fresh(df: DataFrame, name: str) -> str:

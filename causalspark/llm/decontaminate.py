@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize
+from .common import ascii_lower, fresh, hinted, materialize
 
 WINDOW = 13
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -132,12 +132,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns.
+    """The rows of docs that are not contaminated, with all their columns, whatever their names.
 
     Contaminated rows are found by id and text, so rows that share an id are judged each by
-    its own text; a row that nothing is found in always stays.
+    its own text; a row that nothing is found in always stays, as do null texts and ids.
     """
-    bad = contamination(docs.select("doc_id", "text"), items).where("contaminated").select(
-        F.col("doc_id").alias("_doc"), F.col("h").alias("_h")
-    ).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
+    doc, h = fresh(docs, "doc"), fresh(docs, "hash")
+    bad = contamination(docs.select("doc_id", "text"), items).where("contaminated").select(F.col("doc_id").alias(doc), F.col("h").alias(h)).distinct()
+    return docs.join(hinted(materialize(bad, "contaminated")), F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(h)), "left_anti")

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import forget
+
 DIM = 512
 #: Letters are folded into so many classes: 0 is a gap between words, 1-26 are a-z, others hash.
 CLASSES = 64
@@ -102,6 +104,7 @@ def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang") -> d
     """
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         vectors, sums = letter_vectors(), {}
         for b in batches:
             for t, k in zip(b.column(0), b.column(1), strict=True):
@@ -190,6 +193,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     text_at, lang_at = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         vectors = letter_vectors()
         for b in batches:
             keep, lang = [], []

@@ -30,16 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import fresh, hinted, materialize, release
 from .components import connected_components
+from .tokens import forget
 
 SCREEN = 64
 COORDINATES = 256
 #: Standard deviations below the expected matches at the threshold; the chance of fewer is some 5e-6.
 SLACK = 4.5
 SCREEN_SLACK = 4.2
-#: Up to so many ids (8 bytes each) are broadcast to pick the screened texts; more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
 
 _DRAW = np.random.default_rng(20)
 _A = (_DRAW.integers(0, 2**63, COORDINATES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -112,6 +111,7 @@ def _features(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, h, n, fp1, fp2, sig): set size, two fingerprints of the set, signature; from whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         powers = _Powers()
         for b in batches:
             n, f1, f2, sig = [], [], [], []
@@ -210,8 +210,7 @@ def _sets(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
                 names=["node", "n", "shingles", "sig", "mini"],
             )
 
-    hint = F.broadcast if chosen.count() <= BROADCAST_IDS else (lambda df: df)
-    texts = docs.join(hint(chosen), ["doc_id", "h"]).select("node", "text")
+    texts = docs.join(hinted(chosen), ["doc_id", "h"]).select("node", "text")
     return texts.mapInArrow(run, "node long, n long, shingles array<long>, sig binary, mini binary")
 
 
@@ -344,6 +343,7 @@ def _classified(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
     more = materialize(_verified(crossing, full, percent), "minhash-links")
     if more.take(1):
         labels = materialize(connected_components(links.union(more)), "minhash-labels")
+    release(full)
     renamed = labels.withColumnRenamed("node", "rep")
     moved = members.join(renamed, "rep", "left").select("node", F.coalesce("component", "rep").alias("component"))
     heads = members.select(F.col("rep").alias("node"), F.col("rep").alias("component")).join(labels, "node", "left_anti").distinct()
@@ -385,7 +385,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
     i, h = fresh(docs, "id"), fresh(docs, "hash")
     gone = rows.join(first, "component").where(F.struct("doc_id", "h") != F.col("first")).select(F.col("doc_id").alias(i), F.col("h").alias(h)).distinct()
     same_id = F.col("doc_id").cast("long") == F.col(i)
-    kept = docs.join(materialize(gone, "minhash-gone"), same_id & (F.xxhash64("text") == F.col(h)), "left_anti")
+    kept = docs.join(hinted(materialize(gone, "minhash-gone")), same_id & (F.xxhash64("text") == F.col(h)), "left_anti")
     again = materialize(
         features.where("doc_id is not null").groupBy("doc_id", "h").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias(i)).distinct(), "minhash-again"
     )

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import materialize
-from .tokens import default_tokenizer, encoder
+from .tokens import REMEMBERED, default_tokenizer, encoder
 
 CAPACITY = 4096
 UNIT = 32
@@ -124,11 +124,11 @@ def _cuts(length: int) -> list[tuple[int, int]]:
     return out
 
 
-def pieces(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]) of every piece of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, remembered)
         for b in batches:
             rows, start, length, crc, total, ids = [], [], [], [], [], []
             for k, t in enumerate(b.column(1)):
@@ -170,9 +170,12 @@ def _plan(histogram: dict[int, int]) -> dict[int, np.ndarray]:
     return {n: np.array(s, dtype=np.int64) for n, s in slots.items()}
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) of every piece."""
-    cut = materialize(pieces(docs, tokenizer or default_tokenizer(), with_ids), "pieces")
+def pack(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids]) of every piece.
+
+    remembered: words whose ids a Python worker keeps, which saves time and takes some 400 bytes each.
+    """
+    cut = materialize(pieces(docs, tokenizer or default_tokenizer(), with_ids, remembered), "pieces")
     parts = max(PARTS, -(-cut.count() // PART_ROWS))
     salted = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(parts)).cast("int"))
     counts = sorted(tuple(r) for r in salted.groupBy("length", "part").agg(F.count("*")).collect())

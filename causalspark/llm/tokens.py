@@ -27,9 +27,10 @@ class _Remembered(dict):
     def __init__(self) -> None:
         super().__init__()
         self.old: dict[str, bytes] = {}
+        self.most = REMEMBERED
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         out = self.old.get(key)
@@ -84,11 +85,20 @@ class WordEncoder(_Remembered):
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """The encoder of this Python worker; it lives as long as the worker."""
+def encoder(path: str, remembered: int = REMEMBERED) -> WordEncoder:
+    """The encoder of this Python worker; it lives as long as the worker, and remembers so many parts a generation."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    out = _ENCODERS[path]
+    out.most = out.runs.most = remembered
+    return out
+
+
+def forget() -> None:
+    """Free what this Python worker's encoders remember: for operators that do not tokenise and run in it later."""
+    for e in _ENCODERS.values():
+        for m in (e, e.old, e.runs, e.runs.old):
+            m.clear()
 
 
 def default_tokenizer() -> str:
