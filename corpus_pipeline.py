@@ -38,8 +38,8 @@ def redaction_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a document with its place in a sequence."""
-    return pack(docs)
+    """A row for each piece of a document with its place in a sequence; the stages before have taken memory, too."""
+    return pack(docs, remembered=100_000)
 
 
 STAGES = [
