@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import contamination
 from .html_text import main_text
+from .jaccard_join import jaccard_components
 from .language_id import language_id
 from .minhash import near_duplicates
 from .packing import pack
@@ -73,6 +74,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), width=5, percent=80)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,5 +96,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_topk": op8_topk,
         "op9_packing": op9_packing,
         "op10_decontamination": op10_decontamination,
+        "op12_jaccard_join": op12_jaccard_join,
         "pipeline": pipeline,
     }

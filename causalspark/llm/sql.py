@@ -55,5 +55,23 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, doc_id = component
 """
 
 
+OP12 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE w END) AS s FROM w
+), n AS (SELECT doc_id, len(s) AS n FROM s), e AS (SELECT doc_id, unnest(s) AS g FROM s), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM p JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 100 * i >= 80 * (a.n + b.n - i)
+), bi AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l), r AS (
+  SELECT doc_id, doc_id AS root FROM n UNION SELECT bi.y, r.root FROM r JOIN bi ON r.doc_id = bi.x
+), c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id FROM n JOIN c USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": OP1, "op8_topk": OP8, "op10_decontamination": OP10}
+    return {"op1_minhash_dedup": OP1, "op8_topk": OP8, "op10_decontamination": OP10, "op12_jaccard_join": OP12}
