@@ -14,6 +14,7 @@ from .jaccard_join import jaccard_components
 from .language_id import language_id
 from .minhash import near_duplicates
 from .packing import pack
+from .periodic_runs import periodic_runs
 from .pii import BASE, count_kind, rendered, train, with_spans
 from .spans import remove_repeated_spans
 from .topk import integer_vectors, top_k
@@ -78,6 +79,12 @@ def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=5, percent=80)
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(table(spark, sf_dir, "documents"), shortest=6, least=4, plant=True)
+    digests = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("runs", "collapsed")]
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", *digests)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,5 +104,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_packing": op9_packing,
         "op10_decontamination": op10_decontamination,
         "op12_jaccard_join": op12_jaccard_join,
+        "op13_periodic_runs": op13_periodic_runs,
         "pipeline": pipeline,
     }
