@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align, link_sums
 from .common import table
 from .decontaminate import contamination
 from .html_text import main_text
@@ -75,6 +76,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_sums(align(table(spark, sf_dir, "documents"), texts=False)).withColumnRenamed("groups", "groups_sha256")
+
+
 def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=5, percent=80)
 
@@ -103,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_topk": op8_topk,
         "op9_packing": op9_packing,
         "op10_decontamination": op10_decontamination,
+        "op11_token_alignment": op11_token_alignment,
         "op12_jaccard_join": op12_jaccard_join,
         "op13_periodic_runs": op13_periodic_runs,
         "pipeline": pipeline,
