@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from .operators import cyclic
 from .operators import independence as ind
-from .planted import ALPHA, gauss, known, rows_of
+from .operators import vanishing
+from .planted import ALPHA, ORACLES, QUERIES, gauss, known, measured, rows_of
 from .plans.suffstats import sufficient_stats
 
 CLASS = "kind first second third marks"
@@ -67,3 +68,79 @@ def ccd_max_planted(spark, sf):
     """The same system with the pair in feedback named."""
     stats = sufficient_stats(feedback(spark, sf), ["W", "A", "B", "X", "Y", "Z"])
     return cyclic.ccd_max(ind.FisherZ(stats, ALPHA)).to_df(spark)
+
+
+# factors by tetrads and sextads
+
+PRICES = ["l_discount", "l_extendedprice", "l_quantity", "l_tax"]
+STATED = [[("l_quantity", "l_extendedprice", "l_discount", "l_tax"), ("l_quantity", "l_extendedprice", "l_tax", "l_discount")]]
+
+
+def fourth_moments_lineitem(spark, sf):
+    """Fourth moments of standardised columns that two tetrads need, and no others."""
+    df = spark.read.parquet(f"{sf}/lineitem.parquet")
+    stats = sufficient_stats(df, PRICES)
+    found = vanishing.fourth_moments(df, vanishing.needed_products(STATED), stats)
+    deviation = {v: float(stats.cov[k, k]) ** 0.5 for k, v in enumerate(stats.names)}
+    rows = [(*k, v / deviation[k[0]] / deviation[k[1]] / deviation[k[2]] / deviation[k[3]]) for k, v in sorted(found.values.items())]
+    out = spark.createDataFrame(rows, "var_i string, var_j string, var_k string, var_l string, value double")
+    return out.withColumn("value", F.round("value", 6))
+
+
+QUERIES["fourth_moments_lineitem"] = fourth_moments_lineitem
+ORACLES["fourth_moments_lineitem"] = """
+WITH z AS (
+  SELECT (l_discount - avg(l_discount) OVER ()) / stddev_samp(l_discount) OVER () AS l_discount,
+    (l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_samp(l_extendedprice) OVER () AS l_extendedprice,
+    (l_quantity - avg(l_quantity) OVER ()) / stddev_samp(l_quantity) OVER () AS l_quantity,
+    (l_tax - avg(l_tax) OVER ()) / stddev_samp(l_tax) OVER () AS l_tax
+  FROM (SELECT CAST(l_discount AS DOUBLE) AS l_discount, CAST(l_extendedprice AS DOUBLE) AS l_extendedprice,
+    CAST(l_quantity AS DOUBLE) AS l_quantity, CAST(l_tax AS DOUBLE) AS l_tax FROM lineitem)
+), long AS (
+  SELECT row_number() OVER () AS r, l_discount, l_extendedprice, l_quantity, l_tax FROM z
+), cells AS (
+  UNPIVOT long ON l_discount, l_extendedprice, l_quantity, l_tax INTO NAME v VALUE x
+), pairs AS (SELECT DISTINCT * FROM (VALUES
+  ('l_extendedprice', 'l_quantity'), ('l_discount', 'l_tax'), ('l_discount', 'l_quantity'), ('l_extendedprice', 'l_tax'), ('l_quantity', 'l_tax'), ('l_discount', 'l_extendedprice')) p(a, b)
+), wanted AS (
+  SELECT DISTINCT list_sort([p.a, p.b, q.a, q.b]) AS k FROM pairs p, pairs q
+)
+SELECT k[1] AS var_i, k[2] AS var_j, k[3] AS var_k, k[4] AS var_l, round(avg(a.x * b.x * c.x * d.x), 6) AS value
+FROM wanted JOIN cells a ON a.v = k[1] JOIN cells b ON b.v = k[2] AND b.r = a.r JOIN cells c ON c.v = k[3] AND c.r = a.r JOIN cells d ON d.v = k[4] AND d.r = a.r
+GROUP BY k
+"""
+
+
+@known("tetrads same", [("M1 M2 M3 M4", True), ("M1 M2 M5 M6", False), ("M1 M2 M3 M5", True), ("M1 M5 M6 M7", True)])
+def tetrads_planted(spark, sf):
+    """Whether both tetrads vanish together, by fourth moments of the rows."""
+    sets = [("M1", "M2", "M3", "M4"), ("M1", "M2", "M5", "M6"), ("M1", "M2", "M3", "M5"), ("M1", "M5", "M6", "M7")]
+    groups = [vanishing.tetrads(*s)[:2] for s in sets]
+    test = vanishing.delta_test(measured(spark, sf), [f"M{k}" for k in range(1, 9)], groups=groups)
+    return spark.createDataFrame([(" ".join(s), test.p_value(*g) > ALPHA) for s, g in zip(sets, groups, strict=True)], "tetrads string, same boolean")
+
+
+def two_factors(spark: SparkSession, sf: str) -> DataFrame:
+    """id and twelve indicators: six of two factors, six of two others of which one depends on a first one; and noise N."""
+    df = rows_of(spark, sf).withColumns({f"f{k}": gauss("id", 70 + k) for k in range(3)}).withColumn("f3", 0.6 * F.col("f0") + gauss("id", 73))
+    up = [0.9, 0.5, 1.1, 0.6, 1.0, 0.8]
+    down = [0.6, 1.0, -0.7, 0.9, 0.5, -1.1]
+    load = lambda k: up[k % 6] * F.col("f0" if k < 6 else "f3") + down[k % 6] * F.col("f1" if k < 6 else "f2")
+    return df.select("id", *[(load(k) + 0.5 * gauss("id", 74 + k)).alias(f"T{k + 1}") for k in range(12)], gauss("id", 90).alias("N"))
+
+
+@known("cluster members", [(1, "T1 T2 T3 T4 T5 T6"), (2, "T7 T8 T9 T10 T11 T12")])
+def two_factor_clusters_planted(spark, sf):
+    """Clusters with two common causes each, sextets tested by Spark tasks."""
+    test = vanishing.DeltaTest(sufficient_stats(two_factors(spark, sf), [*(f"T{k}" for k in range(1, 13)), "N"]))
+    found = vanishing.two_factor_clusters(spark, test, ALPHA)
+    return spark.createDataFrame([(k, " ".join(c)) for k, c in enumerate(found, 1)], "cluster int, members string")
+
+
+@known("cluster members", [(1, "M1 M2 M3 M4"), (2, "M5 M6 M7 M8")])
+def pure_clusters_planted(spark, sf):
+    """Clusters with one common cause each, beside an indicator of both causes and one that copies another with noise."""
+    df = measured(spark, sf).withColumn("both", F.col("M2") + F.col("M6") + 0.5 * gauss("id", 91))
+    test = vanishing.DeltaTest(sufficient_stats(df.drop("id")))
+    found = vanishing.build_pure_clusters(spark, test, ALPHA)
+    return spark.createDataFrame([(k, " ".join(c)) for k, c in enumerate(found, 1)], "cluster int, members string")
