@@ -12,16 +12,18 @@ id pair is linked is counted over all documents. The pairs that are linked most,
 at most, are sent to all executors; rarer ones, none of which can be a large group, are joined.
 
 Encoding: neither tokenizer has a token with a space behind another character, so a text is the
-sequence of its chunks, cut before each space that follows no white space, and chunks met
-before are remembered. Texts in which a chunk's tokens do not give its bytes are encoded whole.
+sequence of its chunks, cut before each space that follows no white space. Chunks met before are
+remembered, and those that are new are encoded together. Texts in which a chunk's tokens do not
+give its bytes are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 from hashlib import sha256
 
 import numpy as np
@@ -32,15 +34,16 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .tokens import forget
 
-#: Chunks of a generation that a Python worker remembers.
+#: Chunks that a Python worker remembers, and an eighth of their ids; beyond, it begins anew.
 REMEMBERED = 250_000
-#: Characters of the longest chunk that is remembered.
-LONG = 64
 #: Characters of texts that are aligned together, and rows whose links are counted together.
-TOGETHER = 2_000_000
+TOGETHER = 500_000
 ROWS = 2000
 #: Most linked pairs that every executor gets: 2**16 rows of three numbers.
 PAIRS = 1 << 16
+#: Where both libraries' classes of letters, digits and white space could differ in version.
+_RARE = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\u024f]")
+_DOUBLE = [chr(c) + " " for c in range(0x10000) if chr(c).isspace()]
 _CUT = re.compile(r"(?<=\S)(?= )")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
@@ -52,70 +55,147 @@ def _byte_level() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class _Table:
+    """Ids of chunks one after the other, with where each chunk's begin."""
+
+    def __init__(self) -> None:
+        self.ids, self.starts, self.sizes = np.empty(1 << 12, dtype=np.int32), np.zeros(1 << 10, dtype=np.int64), np.zeros(1 << 10, dtype=np.int64)
+        self.chunks = self.used = 0
+
+    def extend(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        while self.chunks + len(sizes) > len(self.sizes):
+            self.starts, self.sizes = (np.resize(x, 2 * len(x)) for x in (self.starts, self.sizes))
+        new = slice(self.chunks, self.chunks + len(sizes))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.sizes[new] = sizes
+        self.starts[new] = self.used + np.cumsum(sizes) - sizes
+        self.chunks += len(sizes)
+        self.used += len(ids)
+
+    def gathered(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of these chunks one after the other, how many each has)."""
+        sizes = self.sizes[chunks]
+        ends = np.cumsum(sizes)
+        return self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[chunks] - ends + sizes, sizes)], sizes
+
+
 class _Pair:
     """Both tokenizers, the bytes of their tokens, and the chunks met lately."""
 
     def __init__(self, path_a: str, path_b: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
+        self.path_a = path_a
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        chars = _byte_level()
-        tokens = sorted((i, t) for t, i in self.a.get_vocab().items())
-        self.bytes_a = [b""] * (tokens[-1][0] + 1)
-        for i, t in tokens:
-            self.bytes_a[i] = bytes(chars[c] for c in t) if all(c in chars for c in t) else t.encode()
+        with open(path_a, encoding="utf-8") as f:
+            model = json.load(f)
+        chars, vocabulary = _byte_level(), model["model"]["vocab"]
+        special = {t["id"]: t["content"].encode() for t in model.get("added_tokens", [])}
+        self.bytes_a = [b""] * (max([*vocabulary.values(), *special]) + 1)
+        for t, i in vocabulary.items():
+            self.bytes_a[i] = special[i] if i in special else bytes(chars[c] for c in t)
+        for i, t in special.items():
+            self.bytes_a[i] = t
+        merged = [vocabulary["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["model"]["merges"]]
+        self.ranked = None
+        if merged == sorted(merged):  # ids are in the order of merges
+            import tiktoken
+            from public_tokenizers import PATTERN
+
+            ranks = {self.bytes_a[i]: i for i in vocabulary.values() if i not in special}
+            self.ranked = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.bytes_b = []
         for i in range(self.b.vocab_size()):
             piece = self.b.id_to_piece(i)
             one = _BYTE.fullmatch(piece)
             self.bytes_b.append(bytes([int(one[1], 16)]) if one and self.b.is_byte(i) else piece.replace("▁", " ").encode())
         self.sizes_a, self.sizes_b = (np.array([len(t) for t in x], dtype=np.int64) for x in (self.bytes_a, self.bytes_b))
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
-        self.old: dict[str, tuple[bytes, bytes] | None] = {}
+        self.forget()
 
-    def _checked(self, text: str, a: list[int], b: list[int]) -> tuple[bytes, bytes] | None:
-        """The ids of space + text as bytes of 32-bit numbers; None if the tokens' bytes are not its bytes."""
+    @cached_property
+    def a(self):
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path_a)
+        out.encode_special_tokens = True
+        return out
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}  # number of a chunk, or -1 where its tokens' bytes are not its own
+        self.of_a, self.of_b = _Table(), _Table()
+
+    def _ids(self, text: str) -> tuple[list[int], list[int]] | None:
+        """The ids of space + text; None if the tokens' bytes are not its bytes."""
+        if self.ranked is not None and not _RARE.search(text):
+            a = self.ranked.encode_ordinary(" " + text)
+        else:
+            a = self.a.encode(" " + text, add_special_tokens=False).ids
+        b = self.b.encode(text)
         whole = b" " + text.encode()
-        if b"".join([self.bytes_a[i] for i in a]) != whole or b"".join([self.bytes_b[i] for i in b]) != whole:
-            return None
-        return np.array(a, dtype="<u4").tobytes(), np.array(b, dtype="<u4").tobytes()
-
-    def _pairs(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
-        a = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
-        b = self.b.encode(texts, num_threads=1)
-        return [self._checked(t, x.ids, y) for t, x, y in zip(texts, a, b, strict=True)]
-
-    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes] | None]:
-        """Ids of A and of B for each text; None where there are no tokens."""
-        chunks = []
+        same = b"".join([self.bytes_a[i] for i in a]) == whole and b"".join([self.bytes_b[i] for i in b]) == whole
+        return (a, b) if same else None
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Encode chunks: those with a character at either end as one text, which is cut again, the others each for itself."""
+        plain = [c for c in chunks if c and not c[0].isspace() and not c[-1].isspace()]
+        for at in range(0, len(plain), 2000):
+            part = plain[at : at + 2000]
+            ids = self._ids(" ".join(part))
+            if ids is None:
+                for c in part:
+                    self._learn_one(c)
+                continue
+            ends = np.cumsum([1 + len(c.encode()) for c in part])
+            for table, x, sizes in ((self.of_a, ids[0], self.sizes_a), (self.of_b, ids[1], self.sizes_b)):
+                x = np.array(x, dtype=np.int64)
+                table.extend(x, np.diff(np.searchsorted(np.cumsum(sizes[x]), ends) + 1, prepend=0))
+            first = self.of_a.chunks - len(part)
+            self.known.update(zip(part, range(first, first + len(part)), strict=True))
+        for c in set(chunks).difference(plain):
+            self._learn_one(c)
+
+    def _learn_one(self, chunk: str) -> None:
+        ids = self._ids(chunk)
+        if ids is None:
+            self.known[chunk] = -1
+            return
+        self.known[chunk] = self.of_a.chunks
+        for table, x in ((self.of_a, ids[0]), (self.of_b, ids[1])):
+            table.extend(np.array(x, dtype=np.int64), np.array([len(x)]))
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of A, ids of B, of all texts one after the other; how many of A and of B each text has)."""
+        flat, sizes = [], []
         for t in texts:
             c = t.split(" ") if t else []
-            if t and c != t.split():  # white space of other kinds, or several of it
+            if t and (t[0] == " " or any(x in t for x in _DOUBLE)):  # a space that follows white space is no cut
                 c = [x[1:] for x in _CUT.split(" " + t)]
-            chunks.append(c)
-        if len(self.known) > REMEMBERED:
-            self.known, self.old = {}, self.known
-        new = {x for c in chunks for x in c if x not in self.known}
-        self.known |= {x: self.old[x] for x in new if x in self.old}
-        new = [x for x in new if x not in self.old]
-        passing = {}  # long chunks are not remembered
-        for at in range(0, len(new), 1000):
-            part = new[at : at + 1000]
-            for x, ids in zip(part, self._pairs(part), strict=True):
-                (self.known if len(x) <= LONG else passing)[x] = ids
-        known = self.known | passing if passing else self.known
+            flat += c
+            sizes.append(len(c))
+        if len(self.known) > REMEMBERED or self.of_a.used > 8 * REMEMBERED:
+            self.forget()
+        self._learn(list({c for c in flat if c not in self.known}))
+        number = np.fromiter(map(self.known.__getitem__, flat), dtype=np.int64, count=len(flat))
+        ends = np.cumsum(sizes)
+        wrong = np.flatnonzero(number < 0)
+        for k in np.unique(np.searchsorted(ends, wrong, side="right")).tolist():  # texts to be encoded whole
+            at = slice(int(ends[k]) - sizes[k], int(ends[k]))
+            ids = self._ids(texts[k])
+            number[at] = -1
+            if ids is not None:
+                for table, x in ((self.of_a, ids[0]), (self.of_b, ids[1])):
+                    table.extend(np.array(x, dtype=np.int64), np.array([len(x)]))
+                number[at.start] = self.of_a.chunks - 1
+        of = np.repeat(np.arange(len(texts)), sizes)[number >= 0]
+        number = number[number >= 0]
         out = []
-        for t, c in zip(texts, chunks, strict=True):
-            ids = [known[x] for x in c]
-            if None in ids:
-                out.append(self._pairs([t])[0])
-            else:
-                out.append((b"".join([x for x, _ in ids]), b"".join([y for _, y in ids])) if ids else None)
-        return out
+        for table in (self.of_a, self.of_b):
+            ids, many = table.gathered(number)
+            out.append((ids, np.bincount(of, weights=many, minlength=len(texts)).astype(np.int64)))
+        return out[0][0], out[1][0], out[0][1], out[1][1]
 
 
 @cache
@@ -123,8 +203,8 @@ def _pair(path_a: str, path_b: str) -> _Pair:
     return _Pair(path_a, path_b)
 
 
-def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, counts_a: np.ndarray, counts_b: np.ndarray) -> np.ndarray:
-    """Numbers of the tokens of A that end a group, in order.
+def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, counts_a: np.ndarray, counts_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the tokens of A and of those of B that end the groups, in order.
 
     ends_*: byte offsets at which tokens end, of all texts one after the other; counts_*: tokens
     of each text. Tokens are not empty, and both tokenizers' tokens of a text end together.
@@ -150,11 +230,13 @@ def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray, counts_a: np.ndarray, co
             step += 1
             todo = todo[(cut[todo] < 0) & ((middle[todo] - step >= a0[todo]) | (middle[todo] + step < a1[todo] - 1))]
         whole = cut < 0
-        leaves.append(a1[whole] - 1)
+        leaves.append((a1[whole] - 1, b1[whole] - 1))
         a0, a1, b0, b1, cut, place = (x[~whole] for x in (a0, a1, b0, b1, cut, place))
         a0, a1 = np.concatenate((a0, cut + 1)), np.concatenate((cut + 1, a1))
         b0, b1 = np.concatenate((b0, place + 1)), np.concatenate((place + 1, b1))
-    return np.sort(np.concatenate(leaves)) if leaves else np.empty(0, dtype=np.int64)
+    if not leaves:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    return tuple(np.sort(np.concatenate(x)) for x in zip(*leaves, strict=True))
 
 
 @cache
@@ -165,17 +247,13 @@ def _numerals(size: int) -> list[str]:
 
 def _aligned(pair: _Pair, texts: list[str | None]) -> Iterator[tuple[int, int, int, str, bytes, bytes]]:
     """(n_a, n_b, n_groups, groups, linked ids of A, linked ids of B) of each text."""
-    ids = [x or (b"", b"") for x in pair.encode(texts)]
-    a, b = (np.frombuffer(b"".join([x[k] for x in ids]), dtype="<u4").astype(np.int64) for k in (0, 1))
-    counts_a, counts_b = (np.array([len(x[k]) // 4 for x in ids], dtype=np.int64) for k in (0, 1))
+    a, b, counts_a, counts_b = pair.encode(texts)
     ends_a, ends_b = np.cumsum(pair.sizes_a[a]), np.cumsum(pair.sizes_b[b])
-    cuts = shared_cuts(ends_a, ends_b, counts_a, counts_b)
-    places = np.searchsorted(ends_b, ends_a[cuts])
+    cuts, places = shared_cuts(ends_a, ends_b, counts_a, counts_b)
     # every token's place in the listing: groups in order, A before B in each
-    group_a = np.searchsorted(cuts, np.arange(len(a)))
-    group_b = np.searchsorted(places, np.arange(len(b)))
+    group_a, group_b = (np.bincount(x + 1, minlength=n + 1)[:n].cumsum() for x, n in ((cuts, len(a)), (places, len(b))))
     size = max(len(pair.bytes_a), len(pair.bytes_b))
-    listed = np.empty(len(a) + len(b), dtype=np.int64)
+    listed = np.empty(len(a) + len(b), dtype=np.int32)
     ending_a, ending_b = a.copy(), b.copy()
     ending_a[cuts] += size
     ending_b[places] += 2 * size
@@ -241,6 +319,7 @@ def _keys(x: pa.Array, y: pa.Array) -> np.ndarray:
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _pair.cache_clear()  # this Python worker may have encoded
     for b in batches:
         for at in range(0, b.num_rows, ROWS):
             yield b.slice(at, ROWS)
