@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+
+import numpy as np
 from statistics import NormalDist
 
 _STD = NormalDist()
@@ -183,3 +185,17 @@ def fdr_cutoff(alpha: float, p_values: list[float], dependent: bool = True) -> t
         if p < alpha * (k + 1) / ((harmonic if dependent else 1.0) * (len(ordered) + 1)):
             index = k
     return (ordered[index] if index >= 0 else 0.0), index
+
+
+def log_gamma(x) -> np.ndarray:
+    """ln of the gamma function of positive numbers, element by element: Stirling's series above 10, recurrence below."""
+    x = np.asarray(x, dtype=np.float64)
+    below, shift = x.copy(), np.zeros_like(x)
+    for _ in range(10):
+        low = below < 10
+        shift = shift + np.where(low, np.log(np.where(low, below, 1.0)), 0.0)
+        below = np.where(low, below + 1, below)
+    inverse = 1 / below
+    square = inverse * inverse
+    series = inverse * (1 / 12 - square * (1 / 360 - square * (1 / 1260 - square * (1 / 1680 - square / 1188))))
+    return (below - 0.5) * np.log(below) - below + 0.5 * np.log(2 * np.pi) + series - shift

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from .operators import cyclic
 from .operators import independence as ind
-from .operators import vanishing
-from .planted import ALPHA, ORACLES, QUERIES, gauss, known, measured, rows_of
+from .operators import missing, vanishing
+from .operators.graph import Graph, cpdag
+from .planted import ALPHA, DISCRETE_DAG, ORACLES, QUERIES, coin, discrete, gauss, known, measured, rows_of
 from .plans.suffstats import sufficient_stats
 
 CLASS = "kind first second third marks"
@@ -144,3 +145,48 @@ def pure_clusters_planted(spark, sf):
     test = vanishing.DeltaTest(sufficient_stats(df.drop("id")))
     found = vanishing.build_pure_clusters(spark, test, ALPHA)
     return spark.createDataFrame([(k, " ".join(c)) for k, c in enumerate(found, 1)], "cluster int, members string")
+
+
+# hidden cells
+
+NETWORK = "node given value p"
+
+
+def with_holes(spark: SparkSession, sf: str) -> DataFrame:
+    """The planted network A --> C, B --> C, C --> D with cells emptied by hashes: a tenth of A and D, a fifth of C."""
+    df = discrete(spark, sf)
+    hole = lambda c, k, p: F.when(coin("id", k, p) == 0, F.col(c)).alias(c)
+    return df.select("id", hole("A", 101, 0.1), "B", hole("C", 102, 0.2), hole("D", 103, 0.1))
+
+
+@known(
+    NETWORK,
+    [
+        ("A", "", "0", 0.5), ("A", "", "1", 0.5), ("B", "", "0", 0.6), ("B", "", "1", 0.4),
+        ("C", "A=0, B=0", "0", 0.9), ("C", "A=0, B=0", "1", 0.1), ("C", "A=0, B=1", "0", 0.45), ("C", "A=0, B=1", "1", 0.55),
+        ("C", "A=1, B=0", "0", 0.55), ("C", "A=1, B=0", "1", 0.45), ("C", "A=1, B=1", "0", 0.1), ("C", "A=1, B=1", "1", 0.9),
+        ("D", "C=0", "0", 0.85), ("D", "C=0", "1", 0.15), ("D", "C=1", "0", 0.15), ("D", "C=1", "1", 0.85),
+    ],
+)
+def em_missing_planted(spark, sf):
+    """Tables of the known graph from rows with missing cells, to the nearest twentieth."""
+    net = missing.fit_tables(missing.counted_rows(with_holes(spark, sf), ["A", "B", "C", "D"]), DISCRETE_DAG)
+    return net.to_df(spark).withColumn("p", F.round(F.round(20 * F.col("p")) / 20, 2))
+
+
+@known("src dst ep_src ep_dst", [("A", "C", "-", ">"), ("B", "C", "-", ">"), ("C", "D", "-", ">")])
+def structural_em_planted(spark, sf):
+    """The pattern found from rows with missing cells."""
+    net = missing.structural_em(missing.counted_rows(with_holes(spark, sf), ["A", "B", "C", "D"]))
+    return cpdag(net.dag).to_df(spark)
+
+
+@known("value p", [("0", 0.6), ("1", 0.4)])
+def em_hidden_planted(spark, sf):
+    """A hidden cause of four observed columns: how often it has each value, the more frequent one first (to tenths)."""
+    df = rows_of(spark, sf).withColumn("h", coin("id", 104, 0.4))
+    df = df.select("id", *[(coin("id", 105 + k, 0.85) == F.col("h")).cast("int").alias(f"Q{k}") for k in range(4)])
+    dag = Graph.parse("H-->Q0,H-->Q1,H-->Q2,H-->Q3")
+    net = missing.fit_tables(missing.counted_rows(df, dag.nodes, {"H": ["0", "1"]}), dag)
+    shares = sorted((round(float(p), 1) for p in net.tables["H"]), reverse=True)
+    return spark.createDataFrame([(str(k), p) for k, p in enumerate(shares)], "value string, p double")
