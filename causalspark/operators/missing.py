@@ -7,7 +7,8 @@ families come back, merged in the executors.
 
 `fit_tables` estimates probabilities of a known graph; `structural_em` also looks for the graph:
 each pass gives the expected counts of all families that one more, one less or one turned edge
-leads to, and the best of these changes are made as far as no cycle arises.
+leads to, and the best of these changes are made, each node in one at most, as far as no cycle
+arises.
 """
 
 from __future__ import annotations
@@ -235,7 +236,7 @@ def structural_em(data: CountedRows, start: Graph | None = None, sample: float =
         dag, touched, changed = net.dag.copy(), set(), False
         if net.log_likelihood == net.log_likelihood:  # the tables have seen the rows once
             for g, what, u, v in sorted(changes, key=lambda c: (-c[0], order[c[2]], order[c[3]])):
-                ends = {v} if what != "turn" else {u, v}
+                ends = {u, v}  # the other direction is as good at first and may not be later
                 if g <= 1e-6 or ends & touched:
                     continue
                 trial = dag.copy()
