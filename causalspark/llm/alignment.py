@@ -38,7 +38,7 @@ from .tokens import forget
 REMEMBERED = 250_000
 #: Characters of texts that are aligned together, and rows whose links are counted together.
 TOGETHER = 500_000
-ROWS = 2000
+ROWS = 500
 #: Most linked pairs that every executor gets: 2**16 rows of three numbers.
 PAIRS = 1 << 16
 #: Where both libraries' classes of letters, digits and white space could differ in version.
@@ -270,11 +270,11 @@ def _aligned(pair: _Pair, texts: list[str | None]) -> Iterator[tuple[int, int, i
         yield n_a, n_b, g1 - g0, text, linked_a[g0:g1].tobytes(), linked_b[g0:g1].tobytes()
 
 
-def _portions(texts: list[str | None]) -> Iterator[list[str | None]]:
+def _portions(texts: pa.Array) -> Iterator[list[str | None]]:
     part, total = [], 0
     for t in texts:
-        part.append(t)
-        total += len(t or "")
+        part.append(t.as_py())
+        total += len(part[-1] or "")
         if total >= TOGETHER:
             yield part
             part, total = [], 0
@@ -301,12 +301,12 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
         forget()
         pair = _pair(path_a, path_b)
         for b in batches:
-            rows = []
-            for part in _portions(b.column(1).to_pylist()):
-                for n_a, n_b, n, listing, x, y in _aligned(pair, part):
-                    rows.append((n_a, n_b, n, listing if texts or not listing else sha256(listing.encode()).hexdigest(), x, y))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
+            at = 0
+            for part in _portions(b.column(1)):  # a small batch for each portion
+                rows = [(*r[:3], r[3] if texts or not r[3] else sha256(r[3].encode()).hexdigest(), *r[4:]) for r in _aligned(pair, part)]
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), *columns], names=names)
+                at += len(part)
 
     schema = "doc_id long, n_a long, n_b long, n_groups long, groups string, linked_a binary, linked_b binary"
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, schema)
