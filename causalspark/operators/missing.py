@@ -5,18 +5,18 @@ each pattern of missing cells a task lists the completions, weighs them by the p
 and sums expected counts of the families that are asked for. Arrays of the size of these
 families come back, merged in the executors.
 
-`fit_tables` estimates probabilities of a known graph; `structural_em` also looks for the graph:
-each pass gives the expected counts of all families that one more, one less or one turned edge
-leads to, and the best of these changes are made, each node in one at most, as far as no cycle
-arises.
+`fit_tables` estimates probabilities of a known graph; `structural_em` also looks for the graph,
+by a search over patterns whose scores come from the expected counts of whole sets of families,
+gathered in one pass.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from ..functions.special import log_gamma
 from ..plans.suffstats import merged_sums
 from ..plans.tables import fresh, written
-from .graph import Graph
+from .graph import Graph, dag_from_pattern
 from .models import BayesNet
+from .scores import Score
+from .search import fges
 
 #: Completions of rows that a task weighs at once.
 CELLS = 1 << 20
@@ -201,63 +203,48 @@ def family_score(counts: np.ndarray, sample: float) -> float:
     return float((log_gamma(np.array(row)) - log_gamma(row + n)).sum() + (log_gamma(cell + rows) - log_gamma(np.array(cell))).sum())
 
 
-def structural_em(data: CountedRows, start: Graph | None = None, sample: float = 1.0, most_parents: int = 4, tolerance: float = 1e-6, rounds: int = 500, seed: int = 0) -> Network:
-    """A DAG and its tables from rows with missing cells.
+class ExpectedScore(Score):
+    """Marginal likelihoods of families from expected counts under a network.
 
-    A round is one pass. It ends where no change of an edge gains in score and the tables have
-    settled; `converged` tells whether that was within so many rounds. `history` lists changes.
+    All families of two parents or fewer are counted in one pass; where a search asks for a
+    larger one, one more pass counts those that add any variable to the same parents but one.
     """
-    dag = start.copy() if start is not None else Graph(data.variables)
-    net, before, history = starting_network(data, dag, seed), -math.inf, []
-    order = {v: k for k, v in enumerate(data.variables)}
 
-    def family(v: str, parents: set[str]) -> Family:
-        return (*sorted(parents, key=order.get), v)
+    def __init__(self, data: CountedRows, net: Network, sample: float = 1.0) -> None:
+        super().__init__()
+        self.data, self.net, self.sample, self.variables = data, net, sample, data.variables
+        self.found: dict[Family, np.ndarray] = {}
+        self.count([(*p, v) for v in self.variables for k in range(3) for p in combinations(sorted(set(self.variables) - {v}), k)])
+
+    def count(self, families: list[Family]) -> None:
+        self.found |= expected_counts(self.data, self.net, [f for f in families if f not in self.found])[0]
+
+    def _local(self, y, parents):
+        if (*parents, y) not in self.found:
+            self.count([(*sorted({*parents[:-1], u}), y) for u in self.variables if u != y and u not in parents[:-1]])
+        return family_score(self.found[*parents, y], self.sample)
 
-    settled = False
+
+def structural_em(
+    data: CountedRows, start: Graph | None = None, sample: float = 1.0, find: Callable[[Score], Graph] = fges, tolerance: float = 1e-5, rounds: int = 20, seed: int = 0
+) -> Network:
+    """A DAG and its tables from rows with missing cells.
+
+    A round fits the tables of the present graph and then searches a pattern with the counts that
+    these lead to expect. It ends where the pattern stays; `converged` tells whether that was
+    within so many rounds. `history` has the patterns found. Hidden variables need a start graph
+    that joins them to others.
+    """
+    dag, history = start.copy() if start is not None else Graph(data.variables), []
+    net = fit_tables(data, dag, starting_network(data, dag, seed), tolerance=tolerance)
     for k in range(rounds):
-        parents = {v: set(net.dag.parents(v)) for v in data.variables}
-        wanted = {net.family(v): None for v in data.variables}
-        for v in data.variables:
-            wanted |= {family(v, parents[v] ^ {u}): None for u in data.variables if u != v and (u in parents[v] or len(parents[v]) < most_parents)}
-        counts, like = expected_counts(data, net, list(wanted))
-        score = {(f[-1], frozenset(f[:-1])): family_score(c, sample) for f, c in counts.items()}
-        gain = lambda v, ps, score=score, parents=parents: score.get((v, frozenset(ps)), -math.inf) - score[v, frozenset(parents[v])]
-        changes = []
-        for v in data.variables:
-            for u in data.variables:
-                if u == v:
-                    continue
-                if u in parents[v]:
-                    changes.append((gain(v, parents[v] - {u}), "remove", u, v))
-                    changes.append((gain(v, parents[v] - {u}) + gain(u, parents[u] | {v}), "turn", u, v))
-                elif v not in parents[u]:
-                    changes.append((gain(v, parents[v] | {u}), "add", u, v))
-        dag, touched, changed = net.dag.copy(), set(), False
-        if net.log_likelihood == net.log_likelihood:  # the tables have seen the rows once
-            for g, what, u, v in sorted(changes, key=lambda c: (-c[0], order[c[2]], order[c[3]])):
-                ends = {u, v}  # the other direction is as good at first and may not be later
-                if g <= 1e-6 or ends & touched:
-                    continue
-                trial = dag.copy()
-                trial.remove_edge(u, v)
-                if what != "remove":
-                    trial.add_edge(*((u, v) if what == "add" else (v, u)))
-                if trial.has_directed_cycle():
-                    continue
-                dag, changed = trial, True
-                touched |= ends
-                history.append(f"{what} {u} {v}")
-        tables = {v: _shares(_as(counts, dag, v, order), 0.0) for v in data.variables}
-        settled = not changed and like - before <= tolerance * abs(like) and k > 0
-        net, before = Network(dag, data.values, tables, like, settled, k + 1, history), -math.inf if changed else like
+        pattern = find(ExpectedScore(data, net, sample))
+        settled = bool(history) and history[-1] == str(pattern)
+        history.append(str(pattern))
+        if not settled:
+            dag = dag_from_pattern(pattern)
+            net = fit_tables(data, dag, starting_network(data, dag, seed), tolerance=tolerance)
+        net.converged, net.rounds, net.history = settled, k + 1, history
         if settled:
             break
     return net
-
-
-def _as(counts: dict[Family, np.ndarray], dag: Graph, v: str, order: dict[str, int]) -> np.ndarray:
-    """The counts of v's family in the order that the graph lists its parents in."""
-    parents = dag.parents(v)
-    key = next(f for f in counts if f[-1] == v and set(f[:-1]) == set(parents))
-    return np.transpose(counts[key], [key.index(c) for c in (*parents, v)])
