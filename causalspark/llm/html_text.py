@@ -5,7 +5,7 @@ adverts, forms and comments are marked by their elements and class names; an art
 a main, else a content container) holds the main text if the page has one, else all blocks
 that are not marked. A main area's title beside its article belongs to it. These are the
 page's kept blocks. The words of all blocks, kept or not,
-are its token stream, with breaks where kept blocks meet others.
+are its token stream, with breaks where kept blocks, headings and others meet.
 
 A run of RUN words or more that is on enough different pages of its host is boilerplate, and
 goes from the kept blocks of every page. The words of such runs are those of their windows
@@ -17,8 +17,10 @@ left out. Runs on two pages only are followed to LONG words. How many pages are
 are repeated with small changes are not boilerplate: pages that would lose more than COPY of
 their kept words, less those in runs on most pages of the host, to other runs do not count.
 
-Covered words go in whole blocks or in RUN or more words of a block; fewer at a block's
-edge stay. Defined results: null and empty html give an empty text. Pages of one content
+On pages without a container covered words go in whole blocks or in RUN or more words of a
+block; fewer at a block's edge stay. In containers, text that other articles repeat is text:
+there only whole blocks go, if runs on most pages of the host hold them, and headings never.
+Defined results: null and empty html give an empty text. Pages of one content
 count once, so that copies of a page do not erase each other. Repeated rows give repeated
 rows. An empty table gives none. Other columns are ignored. Words are equal if they differ
 in the case of A-Z only.
@@ -62,6 +64,7 @@ _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html "
     "legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
+_HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 _NAMES = (
     "ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|sidebar|side-bar|aside|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|topbar|"
     "masthead|site-header|page-header|header|footer|site-footer|page-footer|cookie|cookies|consent|gdpr|notice|notices|alert|disclaimer|popup|modal|overlay|newsletter|subscribe|"
@@ -103,7 +106,12 @@ TITLE = 2.5
 
 def parse(page: str | None) -> list[tuple[float, str]]:
     """[(rank, text)] of a page's blocks in order: -1 for boilerplate, else the rank of the container (0: none)."""
-    out: list[tuple[float, str]] = []
+    return [(rank, text) for rank, _, text in _blocks_of(page)]
+
+
+def _blocks_of(page: str | None) -> list[tuple[float, bool, str]]:
+    """(rank, whether it is a heading, text) of a page's blocks."""
+    out: list[tuple[float, bool, str]] = []
     stack: list[tuple[str, bool, int]] = []  # element, boilerplate in force, rank in force
     parts: list[str] = []
     page, at = page or "", 0
@@ -115,7 +123,8 @@ def parse(page: str | None) -> list[tuple[float, str]]:
             if text:
                 drop, rank = stack[-1][1:] if stack else (False, 0)
                 title = rank == 2 and any(x[0] == "h1" for x in stack)
-                out.append((-1 if drop else TITLE if title else rank, text))
+                heading = any(x[0] in _HEADINGS for x in stack)
+                out.append((-1 if drop else TITLE if title else rank, heading, text))
 
     for m in iter(lambda: _TAG.search(page, at), None):
         if m.start() > at:
@@ -200,16 +209,23 @@ def _hash(*parts: str) -> int:
     return xxhash.xxh3_64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass")) - 2**63
 
 
+def _mark(rank: float, heading: bool, top: int) -> str:
+    """0: not kept; kept blocks are 1 on pages without a container, 2 in one, 3 headings in one."""
+    if rank != TITLE and rank != top:
+        return "0"
+    return "1" if not top else "3" if heading else "2"
+
+
 def _parsed(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, content, page, text, kept): text has a block a line, kept a 1 for each kept block, else a 0; page is a hash of all these."""
+    """(page_id, url, host, content, page, text, kept): text has a block a line, kept a mark for each block, see `_mark`; page is a hash of all these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, kepts, numbers = [], [], []
             for url, page in zip(b.column(1), b.column(2), strict=True):
-                blocks = parse(page.as_py())
-                top = max((int(r) for r, _ in blocks if r >= 0), default=0)
-                text, kept = "\n".join(t for _, t in blocks), "".join("01"[r == TITLE or r == top] for r, _ in blocks)
+                blocks = _blocks_of(page.as_py())
+                top = max((int(r) for r, _, _ in blocks if r >= 0), default=0)
+                text, kept = "\n".join(t for _, _, t in blocks), "".join(_mark(r, heading, top) for r, heading, _ in blocks)
                 host = _host(url.as_py())
                 texts.append(text)
                 kepts.append(kept)
@@ -338,12 +354,15 @@ def _words_on(text: str, places: np.ndarray) -> np.ndarray:
     return on
 
 
-def unique_words(text: str, kept: str, places: np.ndarray) -> str:
-    """The kept blocks less the words that runs at these places hold."""
-    gone, out, at = _words_on(text, places), [], 0
+def unique_words(text: str, kept: str, places: np.ndarray, most: np.ndarray) -> str:
+    """The kept blocks less the words that runs at these places hold; in containers less whole blocks that runs on most pages hold."""
+    gone, everywhere, out, at = _words_on(text, places), _words_on(text, places[most]), [], 0
     for block, size, keep in zip(text.split("\n"), _sizes(text), kept, strict=False):
-        if keep == "1":
-            here = gone[at : at + size]
+        here = gone[at : at + size]
+        if keep in "23":
+            if keep == "3" or not everywhere[at : at + size].all():
+                out.append(block)
+        elif keep == "1":
             if not here.any():
                 out.append(block)
             elif not here.all():
@@ -361,7 +380,7 @@ def is_copy(text: str, kept: str, places: np.ndarray, most: np.ndarray) -> bool:
     """Whether runs at these places hold more than the share COPY of the kept words, less those that runs on most pages hold."""
     if most.all():
         return False
-    own = np.repeat(np.frombuffer(kept.encode(), dtype=np.uint8) == ord("1"), _sizes(text)) & ~_words_on(text, places[most])
+    own = np.repeat(np.frombuffer(kept.encode(), dtype=np.uint8) != ord("0"), _sizes(text)) & ~_words_on(text, places[most])
     return bool((_words_on(text, places[~most]) & own).sum() > COPY * own.sum())
 
 
@@ -442,7 +461,7 @@ def main_text(pages: DataFrame, sent: int = SENT) -> DataFrame:
     boiler = materialize(_uncopied(streams, common, sent), "boilerplate-runs")
 
     def run(b: pa.RecordBatch, hits: list) -> pa.RecordBatch:
-        text = [unique_words(t, k, at) for t, k, (at, _, _) in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), hits, strict=True)]
+        text = [unique_words(t, k, at, most) for t, k, (at, _, most) in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), hits, strict=True)]
         return pa.RecordBatch.from_arrays([b.column(4), b.column(5), pa.array(text, pa.string())], names=["page_id", "url", "text"])
 
     id_kind = pages.schema["page_id"].dataType.simpleString()

@@ -73,3 +73,19 @@ def test_a_title_beside_the_article_stays(spark):
     rows = [(1, "http://a.example/1", "<main><h1>A title</h1><p>teaser</p><article><p>Text</p></article></main>"), (2, "http://b.example/1", "<h1>Site</h1><main><h1>B</h1><p>more</p></main><p>x</p>")]
     got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {1: "A title\nText", 2: "B\nmore"}
+
+
+def test_titles_and_sentences_that_articles_share_stay(spark):
+    title = "a long title of twelve words that eight of twenty pages bear"
+    lead = "this sentence of the lead is the same in all of the twenty articles"
+    own = lambda i, k: " ".join(f"w{i}x{j}" for j in range(k))
+    rows = []
+    for i in range(20):
+        head = title if i < 8 else f"title {i}"
+        rows.append((i, f"http://h.example/{i}", f"<article><h1>{head}</h1><p>{head}. {own(i, 9)} {lead}</p><p>{own(i + 100, 30)}</p></article>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for sent in (10**6, 0):
+        by = {r.page_id: r.text for r in main_text(df, sent).collect()}
+        for i in range(20):
+            head = title if i < 8 else f"title {i}"
+            assert by[i] == f"{head}\n{head}. {own(i, 9)} {lead}\n{own(i + 100, 30)}"
