@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import clusters, glm, kernel, lofs, mixed, models, scores, search, timeseries
+from .operators import clusters, glm, interventions, kernel, lofs, mixed, models, scores, search, timeseries
 from .operators import graph as gr
 from .operators import graph_more as gm
 from .operators import independence as ind
@@ -644,16 +644,8 @@ def instruments_planted(spark, sf):
 @known("var mean variance", [("X1", 0.0, 1.0), ("X2", 0.0, 1.0), ("X4", 1.6, 1.0), ("X5", 1.1, 2.1)])
 def updated_means(spark, sf):
     """Distributions of a Gaussian model after X3 is set to 2, its causes cut off (rounded to tenths)."""
-    s = stats(spark, sf)
-    fit = models.fit_sem(s, DAG)
-    b, at = np.zeros((5, 5)), {v: k for k, v in enumerate(DAG.nodes)}
-    for (a, c), w in fit.edges.items():
-        if c != "X3":  # an intervention
-            b[at[c], at[a]] = w
-    err = np.array([fit.variances[v] if v != "X3" else 1.0 for v in DAG.nodes])
-    paths = np.linalg.inv(np.eye(5) - b)
-    cut = SuffStats(list(DAG.nodes), s.n, paths @ np.diag(err) @ paths.T, np.zeros(5))
-    rows = [(v, abs(round(m, 1)), round(x, 1)) for v, (m, x) in sorted(ms.expected_given(cut, {"X3": 2.0}).items())]
+    cut = interventions.manipulated(models.fit_sem(stats(spark, sf), DAG), {"X3": 2.0})
+    rows = [(v, abs(round(m, 1)), round(x, 1)) for v, m, x in sorted(zip(cut.names, map(float, cut.means), map(float, np.diag(cut.cov)), strict=True)) if v != "X3"]
     return spark.createDataFrame(rows, "var string, mean double, variance double")
 
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from .operators import cyclic
 from .operators import independence as ind
-from .operators import missing, vanishing
+from .operators import interventions, latent, missing, vanishing
 from .operators.graph import Graph, cpdag
 from .planted import ALPHA, DISCRETE_DAG, ORACLES, QUERIES, coin, discrete, gauss, known, measured, rows_of
+from .operators.transforms import unit_hash
 from .plans.suffstats import sufficient_stats
 
 CLASS = "kind first second third marks"
@@ -190,3 +191,77 @@ def em_hidden_planted(spark, sf):
     net = missing.fit_tables(missing.counted_rows(df, dag.nodes, {"H": ["0", "1"]}), dag)
     shares = sorted((round(float(p), 1) for p in net.tables["H"]), reverse=True)
     return spark.createDataFrame([(str(k), p) for k, p in enumerate(shares)], "value string, p double")
+
+
+# latent variables
+
+
+def indicators(spark: SparkSession, sf: str) -> DataFrame:
+    """id and twelve indicators, three each of four latents: K1 --> K3 <-- K2, K3 --> K4."""
+    df = rows_of(spark, sf).withColumns({"K1": gauss("id", 111), "K2": gauss("id", 112)})
+    df = df.withColumn("K3", 0.7 * F.col("K1") + 0.7 * F.col("K2") + 0.5 * gauss("id", 113)).withColumn("K4", 0.9 * F.col("K3") + 0.6 * gauss("id", 114))
+    return df.select("id", *[((0.8 + 0.2 * j) * F.col(f"K{k}") + 0.5 * gauss("id", 115 + 3 * k + j)).alias(f"I{k}{j}") for k in range(1, 5) for j in range(3)])
+
+
+INDICATORS = [[f"I{k}{j}" for j in range(3)] for k in range(1, 5)]
+
+
+@known("src dst ep_src ep_dst", [("L1", "L3", "-", ">"), ("L2", "L3", "-", ">"), ("L3", "L4", "-", ">")])
+def latent_structure_planted(spark, sf):
+    """The pattern of four latents that are seen through three indicators each."""
+    g, _ = latent.latent_structure(sufficient_stats(indicators(spark, sf).drop("id")), INDICATORS, alpha=1e-4)
+    return g.subgraph({"L1", "L2", "L3", "L4"}).to_df(spark)
+
+
+@known("src dst kind value", [
+    ("K1", "K3", "coefficient", 0.7), ("K2", "K3", "coefficient", 0.7), ("K3", "K4", "coefficient", 0.9),
+    ("I11", "I11", "error", 0.25), ("I32", "I32", "error", 0.25), ("K3", "K3", "error", 0.25), ("K4", "K4", "error", 0.35),
+])
+def latent_sem_planted(spark, sf):
+    """Coefficients among latents and error variances, the second indicator of each with its true loading 1 (to the nearest twentieth)."""
+    g = Graph.parse("Latent(K1)-->Latent(K3),Latent(K2)-->Latent(K3),Latent(K3)-->Latent(K4)")
+    for k, names in enumerate(INDICATORS, 1):
+        for v in names:
+            g.add_edge(f"K{k}", v)
+    fit = latent.fit_latent_sem(sufficient_stats(indicators(spark, sf).drop("id")), g, {(f"K{k}", f"I{k}1"): 1.0 for k in range(1, 5)})
+    shown = {("K1", "K3"), ("K2", "K3"), ("K3", "K4"), ("I11", "I11"), ("I32", "I32"), ("K3", "K3"), ("K4", "K4")}
+    rows = [(r["src"], r["dst"], r["kind"], round(round(20 * r["value"]) / 20, 2)) for r in fit.to_df(spark).collect() if (r["src"], r["dst"]) in shown]
+    return spark.createDataFrame(rows, "src string, dst string, kind string, value double")
+
+
+# interventions
+
+FRONT_DOOR = "Latent(U)-->X,Latent(U)-->Y,X-->M,M-->Y"
+
+
+def confounded(spark: SparkSession, sf: str) -> DataFrame:
+    """id and X, M, Y of noughts and ones: a hidden U moves X and Y, and X moves Y through M."""
+    df = rows_of(spark, sf).withColumn("U", coin("id", 131, 0.5))
+    df = df.withColumn("X", (unit_hash("id", 13200) < 0.2 + 0.6 * F.col("U")).cast("int"))
+    df = df.withColumn("M", (unit_hash("id", 13300) < 0.1 + 0.7 * F.col("X")).cast("int"))
+    return df.withColumn("Y", (unit_hash("id", 13400) < 0.1 + 0.4 * F.col("M") + 0.4 * F.col("U")).cast("int")).drop("U")
+
+
+@known("x y p", [(0, 0, 0.65), (0, 1, 0.35), (1, 0, 0.4), (1, 1, 0.6)])
+def front_door_planted(spark, sf):
+    """P(Y | do(X)) through the variable between, with X's and Y's cause unseen (to the nearest twentieth)."""
+    df, g = confounded(spark, sf), Graph.parse(FRONT_DOOR)
+    parts = [interventions.effect(df, g, ["Y"], {"X": x}).select(F.lit(x).alias("x"), F.col("Y").alias("y"), F.round(F.round(20 * F.col("p")) / 20, 2).alias("p")) for x in (0, 1)]
+    return parts[0].unionByName(parts[1])
+
+
+def back_door_lineitem(spark, sf):
+    """P(l_linestatus | do(l_returnflag)) with l_shipmode as the cause of both."""
+    df = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_shipmode", "l_returnflag", "l_linestatus")
+    g = Graph.parse("l_shipmode-->l_returnflag,l_shipmode-->l_linestatus,l_returnflag-->l_linestatus")
+    parts = [interventions.effect(df, g, ["l_linestatus"], {"l_returnflag": x}).select(F.lit(x).alias("returnflag"), "l_linestatus", F.round("p", 9).alias("p")) for x in ("A", "N", "R")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+QUERIES["back_door_lineitem"] = back_door_lineitem
+ORACLES["back_door_lineitem"] = """
+WITH n AS (SELECT l_shipmode, l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL),
+z AS (SELECT l_shipmode, sum(n) / (SELECT sum(n) FROM n) AS p FROM n GROUP BY l_shipmode),
+y AS (SELECT *, n / sum(n) OVER (PARTITION BY l_shipmode, l_returnflag) AS p FROM n)
+SELECT l_returnflag AS returnflag, l_linestatus, round(sum(z.p * y.p), 9) AS p FROM y JOIN z USING (l_shipmode) GROUP BY ALL
+"""
