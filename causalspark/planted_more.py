@@ -251,17 +251,17 @@ def front_door_planted(spark, sf):
 
 
 def back_door_lineitem(spark, sf):
-    """P(l_linestatus | do(l_returnflag)) with l_shipmode as the cause of both."""
-    df = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_shipmode", "l_returnflag", "l_linestatus")
-    g = Graph.parse("l_shipmode-->l_returnflag,l_shipmode-->l_linestatus,l_returnflag-->l_linestatus")
+    """P(l_linestatus | do(l_returnflag)) with l_linenumber as the cause of both."""
+    df = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_linenumber", "l_returnflag", "l_linestatus")
+    g = Graph.parse("l_linenumber-->l_returnflag,l_linenumber-->l_linestatus,l_returnflag-->l_linestatus")
     parts = [interventions.effect(df, g, ["l_linestatus"], {"l_returnflag": x}).select(F.lit(x).alias("returnflag"), "l_linestatus", F.round("p", 9).alias("p")) for x in ("A", "N", "R")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 QUERIES["back_door_lineitem"] = back_door_lineitem
 ORACLES["back_door_lineitem"] = """
-WITH n AS (SELECT l_shipmode, l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL),
-z AS (SELECT l_shipmode, sum(n) / (SELECT sum(n) FROM n) AS p FROM n GROUP BY l_shipmode),
-y AS (SELECT *, n / sum(n) OVER (PARTITION BY l_shipmode, l_returnflag) AS p FROM n)
-SELECT l_returnflag AS returnflag, l_linestatus, round(sum(z.p * y.p), 9) AS p FROM y JOIN z USING (l_shipmode) GROUP BY ALL
+WITH n AS (SELECT l_linenumber, l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL),
+z AS (SELECT l_linenumber, sum(n) / (SELECT sum(n) FROM n) AS p FROM n GROUP BY l_linenumber),
+y AS (SELECT *, n / sum(n) OVER (PARTITION BY l_linenumber, l_returnflag) AS p FROM n)
+SELECT l_returnflag AS returnflag, l_linestatus, round(sum(z.p * y.p), 9) AS p FROM y JOIN z USING (l_linenumber) GROUP BY ALL
 """
