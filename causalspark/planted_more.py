@@ -5,14 +5,17 @@ They register themselves beside those of `planted`; expected rows are typed by h
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import cyclic
 from .operators import independence as ind
-from .operators import interventions, latent, missing, vanishing
+from .operators import allrow, interventions, latent, missing, vanishing
 from .operators.graph import Graph, cpdag
 from .planted import ALPHA, DISCRETE_DAG, ORACLES, QUERIES, coin, discrete, gauss, known, measured, rows_of
+from .operators.search import pc
 from .operators.transforms import unit_hash
 from .plans.suffstats import sufficient_stats
 
@@ -265,3 +268,36 @@ z AS (SELECT l_linenumber, sum(n) / (SELECT sum(n) FROM n) AS p FROM n GROUP BY
 y AS (SELECT *, n / sum(n) OVER (PARTITION BY l_linenumber, l_returnflag) AS p FROM n)
 SELECT l_returnflag AS returnflag, l_linestatus, round(sum(z.p * y.p), 9) AS p FROM y JOIN z USING (l_linenumber) GROUP BY ALL
 """
+
+
+# non-linear dependence over all rows
+
+ASKED = [("a", "b", ()), ("a", "c", ()), ("a", "d", ()), ("a", "c", ("b",)), ("b", "c", ("a", "d"))]
+
+
+def bent(spark: SparkSession, sf: str) -> DataFrame:
+    """id and a, b, c, d: b follows the size of a, c a wave of b; d alone. No two are correlated much."""
+    df = rows_of(spark, sf).withColumns({"a": gauss("id", 141), "d": gauss("id", 142)})
+    df = df.withColumn("b", F.abs("a") + 0.4 * gauss("id", 143))
+    return df.withColumn("c", F.sin(2 * F.col("b")) + 0.3 * gauss("id", 144)).select("id", "a", "b", "c", "d")
+
+
+@known("test question independent", [
+    (kind, q, free) for kind in ("kernel", "powers") for q, free in [("a b |", False), ("a c |", False), ("a d |", True), ("a c | b", True), ("b c | a d", False)]
+])
+def nonlinear_decisions(spark, sf):
+    """Tests on all rows, all questions of a kind in two passes."""
+    rows = []
+    for kind, test in (("kernel", allrow.FeatureKernel), ("powers", allrow.ResidualPowers)):
+        t = test(bent(spark, sf), ["a", "b", "c", "d"], ALPHA)
+        t.prefetch(ASKED)
+        rows += [(kind, f"{x} {y} | {' '.join(z)}".strip(), t.independent(x, y, z)) for x, y, z in ASKED]
+    return spark.createDataFrame(rows, "test string, question string, independent boolean")
+
+
+@known("src dst", [("a", "b"), ("b", "c")])
+def nonlinear_skeleton(spark, sf):
+    """A search with the kernel test."""
+    test = allrow.FeatureKernel(bent(spark, sf), ["a", "b", "c", "d"], ALPHA)
+    test.prefetch([(x, y, ()) for x, y in combinations(test.variables, 2)])
+    return spark.createDataFrame(sorted(tuple(sorted(e[:2])) for e in pc(test).edges()), "src string, dst string")
