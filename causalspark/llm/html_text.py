@@ -53,6 +53,8 @@ SHARE = 0.1
 COPY = 0.8
 #: Words of streams whose suffixes are sorted together.
 BATCH_WORDS = 200_000
+#: Pages that are hashed together.
+PAGES = 64
 #: Grams or runs, 8 or 16 bytes each, that are sent to all executors; more are not, see `main_text`.
 SENT = 2_000_000
 
@@ -239,24 +241,44 @@ def _parsed(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, host long, content long, page long, text string, kept string")
 
 
-def _windows(host: int, text: str, kept: str, powers: _Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words, places of windows of RUN words, their hashes, least hashes of their grams); no window holds a break."""
-    ids = word_hashes(text, powers) + np.uint64(host & (2**64 - 1))
+def _windows(hosts: list[int], texts: list[str], kepts: list[str], powers: _Powers) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(words, places of windows of RUN words, their hashes, least hashes of their grams) of each page; no window holds a break.
+
+    Some pages are hashed together, as short arrays are slow.
+    """
+    for at in range(0, len(texts), PAGES):
+        yield from _windows_together(hosts[at : at + PAGES], texts[at : at + PAGES], kepts[at : at + PAGES], powers)
+
+
+def _windows_together(hosts: list[int], texts: list[str], kepts: list[str], powers: _Powers) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    blocks = [_sizes(t) for t in texts]
+    counts = np.array([int(b.sum()) for b in blocks])
+    ids = word_hashes("\n".join(texts), powers) + np.repeat(np.array(hosts, dtype=np.int64).view(np.uint64), counts)
+    ends = np.cumsum(counts)
     n = len(ids) - RUN + 1
-    if n < 1:
-        none = np.empty(0, dtype=np.uint64)
-        return ids, none.astype(np.int64), none, none
-    up, down = powers.upto(len(ids) + 1)
-    sums = np.zeros(len(ids) + 1, dtype=np.uint64)
-    np.cumsum(ids * up[:-1], dtype=np.uint64, out=sums[1:])
-    grams = _mix((sums[GRAM:] - sums[:-GRAM]) * down[: len(ids) - GRAM + 1])
-    least = np.lib.stride_tricks.sliding_window_view(grams, RUN - GRAM + 1).min(axis=1)
-    runs = _mix((sums[RUN:] - sums[:-RUN]) * down[:n])
-    marks = np.frombuffer(kept.encode(), dtype=np.uint8)
-    changes = np.concatenate(([0], np.cumsum(marks[1:] != marks[:-1])))
-    part = np.repeat(changes, _sizes(text))
-    at = np.flatnonzero(part[:n] == part[RUN - 1 :])
-    return ids, at, runs[at], least[at]
+    at, runs, least = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)
+    if n > 0:
+        up, down = powers.upto(len(ids) + 1)
+        sums = np.zeros(len(ids) + 1, dtype=np.uint64)
+        np.cumsum(ids * up[:-1], dtype=np.uint64, out=sums[1:])
+        grams = _mix((sums[GRAM:] - sums[:-GRAM]) * down[: len(ids) - GRAM + 1])
+        have, wanted = 1, RUN - GRAM + 1
+        while have < wanted:  # least of ever more grams in a row
+            step = min(have, wanted - have)
+            grams, have = np.minimum(grams[:-step], grams[step:]), have + step
+        runs = _mix((sums[RUN:] - sums[:-RUN]) * down[:n])
+        marks = np.frombuffer("".join(kepts).encode(), dtype=np.uint8)
+        breaks = marks[1:] != marks[:-1]
+        starts = np.cumsum([len(b) for b in blocks])[:-1]
+        breaks[starts[(starts > 0) & (starts < len(marks))] - 1] = True  # another page
+        part = np.repeat(np.concatenate(([0], np.cumsum(breaks))), np.concatenate(blocks))
+        at = np.flatnonzero(part[:n] == part[RUN - 1 :])
+        runs, least = runs[at], grams[at]
+    cuts = np.searchsorted(at, ends)
+    first = 0
+    for end, size, cut in zip(ends.tolist(), counts.tolist(), cuts.tolist(), strict=True):
+        yield ids[end - size : end], at[first:cut] - (end - size), runs[first:cut], least[first:cut]
+        first = cut
 
 
 def _sizes(text: str) -> np.ndarray:
@@ -274,8 +296,9 @@ def _common_grams(pages: DataFrame) -> DataFrame:
         powers = _Powers()
         for b in batches:
             grams, host_pages = [np.empty(0, np.uint64)], [np.empty(0, np.int32)]
-            for host, text, kept, size in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                grams.append(np.unique(_windows(host, text, kept, powers)[3] >> _SHIFT))
+            hosts, texts, kepts, sizes = (b.column(k).to_pylist() for k in range(4))
+            for size, found in zip(sizes, _windows(hosts, texts, kepts, powers), strict=True):
+                grams.append(np.unique(found[3] >> _SHIFT))
                 host_pages.append(np.full(len(grams[-1]), size, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(host_pages))], names=["gram", "size"])
 
@@ -312,8 +335,8 @@ def _classes(pages: DataFrame, grams: Broadcast | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, held, size = _Powers(), [], 0
         for b in batches:
-            for host, content, text, kept, pages_ in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                words, at, runs, least = _windows(host, text, kept, powers)
+            hosts, contents, texts, kepts, host_pages = (b.column(k).to_pylist() for k in range(5))
+            for content, pages_, (words, at, runs, least) in zip(contents, host_pages, _windows(hosts, texts, kepts, powers), strict=True):
                 if grams is not None:
                     may = _places(least >> _SHIFT, grams.value) >= 0
                     at, runs = at[may], runs[may]
@@ -340,6 +363,8 @@ _FEW, _SOME, _MOST = 0, 1, 2  # runs on two pages, on more, on most pages of the
 
 def _long(places: np.ndarray, runs: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places, runs, whether on most pages), without runs on two pages that do not follow each other for LONG words."""
+    if not len(places):
+        return places, runs, kinds == _MOST
     follows = np.diff(places, prepend=-9) == 1
     size = np.bincount(stretch := np.cumsum(~follows)) + RUN - 1
     keep = (kinds != _FEW) | (size[stretch] >= LONG)
@@ -356,6 +381,8 @@ def _words_on(text: str, places: np.ndarray) -> np.ndarray:
 
 def unique_words(text: str, kept: str, places: np.ndarray, most: np.ndarray) -> str:
     """The kept blocks less the words that runs at these places hold; in containers less whole blocks that runs on most pages hold."""
+    if not len(places):
+        return "\n".join(t for t, keep in zip(text.split("\n"), kept, strict=False) if keep != "0")
     gone, everywhere, out, at = _words_on(text, places), _words_on(text, places[most]), [], 0
     for block, size, keep in zip(text.split("\n"), _sizes(text), kept, strict=False):
         here = gone[at : at + size]
@@ -395,8 +422,7 @@ def _mapped(pages: DataFrame, boiler: DataFrame, f: Callable, schema: str, sent:
             powers = _Powers()
             for b in batches:
                 hits = []
-                for host, text, kept in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                    _, at, runs, _ = _windows(host, text, kept, powers)
+                for _, at, runs, _ in _windows(*(b.column(k).to_pylist() for k in (1, 2, 3)), powers):
                     place = _places(runs, known.value[0])
                     hit = place >= 0
                     hits.append(_long(at[hit], runs[hit].view(np.int64), known.value[1][place[hit]]))
@@ -407,8 +433,7 @@ def _mapped(pages: DataFrame, boiler: DataFrame, f: Callable, schema: str, sent:
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _Powers()
         for b in batches:
-            for page, host, text, kept in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                _, at, runs, _ = _windows(host, text, kept, powers)
+            for page, (_, at, runs, _) in zip(b.column(0).to_pylist(), _windows(*(b.column(k).to_pylist() for k in (1, 2, 3)), powers), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), page, dtype=np.int64)), pa.array(at), pa.array(runs.view(np.int64))], names=["page", "place", "run"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
