@@ -330,11 +330,9 @@ def complementary_pairs_bound(q: float, p: float, tau: float, pairs: int) -> flo
     if tau <= 0.5:
         return p
     if tau <= 0.75:
-        c = 2 * (2 * tau - 1 - 1 / (2 * pairs))
-    else:
-        c = (1 + 1 / pairs) / (4 * (1 - tau + 1 / (2 * pairs)))
-        return c * theta * theta * p
-    return theta * theta * p / c
+        spread = 2 * tau - 1 - 1 / (2 * pairs)
+        return theta * theta * p / (2 * spread) if spread > 0 else p
+    return 4 * (1 - tau + 1 / (2 * pairs)) / (1 + 1 / pairs) * theta * theta * p
 
 
 def preferential_diversity(relevance: dict[str, float], stats: SuffStats, k: int, radius: float = 0.5, share: float = 0.5) -> list[str]:

@@ -197,12 +197,17 @@ def nonparanormal(df: DataFrame, col: str, out: str) -> DataFrame:
 
 def case_expand(df: DataFrame, multiplicity: str) -> DataFrame:
     """Each row as often as its multiplicity says; none for zero, negative and null."""
-    m = F.col(multiplicity).cast("int")
-    return df.where(m > 0).withColumn("_k", F.explode(F.sequence(F.lit(1), m))).drop("_k", multiplicity)
+    m, k = F.col(multiplicity).cast("int"), fresh(df, "k")
+    return df.where(m > 0).withColumn(k, F.explode(F.sequence(F.lit(1), m))).drop(k, multiplicity)
 
 
 def bootstrap(df: DataFrame, replicates: int, seed: int, row_id: str) -> DataFrame:
-    """df with `replicate` and `weight`: Poisson(1) weights from a hash of row, replicate and seed; rows of weight 0 left out."""
+    """df with `replicate` and `weight`: Poisson(1) weights from a hash of row, replicate and seed; rows of weight 0 left out.
+
+    A table with columns of these names is refused.
+    """
+    if {"replicate", "weight"} & {c.lower() for c in df.columns}:
+        raise ValueError("the table has a column called replicate or weight")
     u = F.pmod(F.xxhash64(F.col(row_id), F.col("replicate"), F.lit(seed)), F.lit(1 << 53)).cast("double") / float(1 << 53)
     bounds, p, total = [], math.exp(-1), 0.0
     for k in range(12):
@@ -221,9 +226,10 @@ def subsamples(df: DataFrame, number: int, share: float, seed: int, row_id: str)
 
 
 def complementary_halves(df: DataFrame, pairs: int, seed: int, row_id: str) -> DataFrame:
-    """df with `pair` and `half`: each row in one half of each pair."""
-    many = df.withColumn("pair", F.explode(F.sequence(F.lit(0), F.lit(pairs - 1))))
-    return many.withColumn("half", F.pmod(F.xxhash64(F.col(row_id), F.col("pair"), F.lit(seed)), F.lit(2)).cast("int"))
+    """df with `pair` and `half`: each row in one half of each pair, halves of equal size (but for one row)."""
+    from .folds import half_column
+
+    return half_column(df, row_id, pairs, seed)
 
 
 def concatenate(frames: list[DataFrame]) -> DataFrame:
@@ -244,12 +250,14 @@ def lagged(df: DataFrame, cols: list[str], order: str, lags: int, by: list[str]
     """Columns `x`, `x_lag1`, ... for rows that have all lags, within each series of `by`."""
     w = W.partitionBy(*(by or [])).orderBy(order)
     out = {f"{c}_lag{k}": F.lag(c, k).over(w) for c in cols for k in range(1, lags + 1)}
-    return df.withColumns(out | {"_row": F.row_number().over(w)}).where(F.col("_row") > lags).drop("_row")
+    row = fresh(df, "row")
+    return df.withColumns(out | {row: F.row_number().over(w)}).where(F.col(row) > lags).drop(row)
 
 
 def difference(df: DataFrame, cols: list[str], order: str, by: list[str] | None = None) -> DataFrame:
     w = W.partitionBy(*(by or [])).orderBy(order)
-    return df.withColumns({c: F.col(c) - F.lag(c, 1).over(w) for c in cols} | {"_row": F.row_number().over(w)}).where(F.col("_row") > 1).drop("_row")
+    row = fresh(df, "row")
+    return df.withColumns({c: F.col(c) - F.lag(c, 1).over(w) for c in cols} | {row: F.row_number().over(w)}).where(F.col(row) > 1).drop(row)
 
 
 def ar_residuals(df: DataFrame, col: str, order: str, lags: int, by: list[str] | None = None) -> DataFrame:

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from .operators import cyclic
 from .operators import independence as ind
-from .operators import allrow, interventions, latent, missing, vanishing
+from .operators import allrow, folds, interventions, latent, missing, vanishing
 from .operators.graph import Graph, cpdag
-from .planted import ALPHA, DISCRETE_DAG, ORACLES, QUERIES, coin, discrete, gauss, known, measured, rows_of
-from .operators.search import pc
+from .planted import ALPHA, DAG, DISCRETE_DAG, ORACLES, QUERIES, coin, discrete, gauss, known, linear, measured, rows_of
+from .operators.search import pc, skeleton
 from .operators.transforms import unit_hash
 from .plans.suffstats import sufficient_stats
 
@@ -301,3 +301,39 @@ def nonlinear_skeleton(spark, sf):
     test = allrow.FeatureKernel(bent(spark, sf), ["a", "b", "c", "d"], ALPHA)
     test.prefetch([(x, y, ()) for x, y in combinations(test.variables, 2)])
     return spark.createDataFrame(sorted(tuple(sorted(e[:2])) for e in pc(test).edges()), "src string, dst string")
+
+
+# folds, rows left out, and pairs of halves
+
+
+def _skeleton_at(alpha: float):
+    return lambda s: skeleton(ind.FisherZ(s, alpha))[0]
+
+
+@known("fold features error", [(k, "X3", 1.0) for k in range(5)])
+def validated_features_planted(spark, sf):
+    """What predicts X4 without each fold, and how well it does so on the fold (to the nearest tenth): X3 is X4's only cause, X5 is not offered."""
+    parts = folds.fold_stats(linear(spark, sf), ["X1", "X2", "X3", "X4"], "id", 5)
+    found = folds.validated_features(spark, parts, "X4", _skeleton_at(ALPHA))
+    return found.select("fold", F.array_join("features", " ").alias("features"), F.round("error", 1).alias("error"))
+
+
+def leave_one_out_customer(spark, sf):
+    """The mean squared error of balances predicted from nations by the other customers."""
+    df = spark.read.parquet(f"{sf}/customer.parquet")
+    found = folds.leave_one_out(df, ["c_acctbal", "c_nationkey"], "c_acctbal", "c_custkey")
+    return found.agg(F.count("*").alias("customers"), F.round(F.avg("loss") / 1000, 4).alias("loss"))
+
+
+QUERIES["leave_one_out_customer"] = leave_one_out_customer
+ORACLES["leave_one_out_customer"] = """
+WITH c AS (SELECT CAST(c_acctbal AS DOUBLE) AS y, CAST(c_nationkey AS DOUBLE) AS x FROM customer),
+m AS (SELECT avg(x) AS mx, avg(y) AS my, count(*) AS n, regr_slope(y, x) AS b, regr_sxx(y, x) AS sxx FROM c)
+SELECT count(*) AS customers, round(avg(power((y - my - b * (x - mx)) / (1 - 1.0 / n - (x - mx) * (x - mx) / sxx), 2)) / 1000, 4) AS loss FROM c, m
+"""
+
+
+@known("a b share kept", [("X1", "X3", 1.0, True), ("X2", "X3", 1.0, True), ("X2", "X5", 1.0, True), ("X3", "X4", 1.0, True), ("X4", "X5", 1.0, True)])
+def stable_edges_planted(spark, sf):
+    """Edges that are found in halves of complementary pairs, searched by Spark tasks."""
+    return folds.stable_edges(linear(spark, sf), sorted(DAG.nodes), "id", _skeleton_at(ALPHA), 10)
