@@ -95,9 +95,14 @@ def forms(edges: DataFrame) -> DataFrame:
     return both_ways(edges).where("a < b").select("a", "b", _kind("at_a", "at_b").alias("form"))
 
 
+def pair_forms(edges: DataFrame) -> DataFrame:
+    """(a, b, form): one row for each pair, with the forms of all its edges, such as both of a two-cycle, joined by a plus sign."""
+    return forms(edges).groupBy("a", "b").agg(F.array_join(F.sort_array(F.collect_set("form")), "+").alias("form"))
+
+
 def misclassification(estimate: DataFrame, truth: DataFrame) -> DataFrame:
     """(true_form, estimated_form, n) over pairs that either graph has; `none` where one has no edge."""
-    t, e = forms(truth).withColumnRenamed("form", "true_form"), forms(estimate).withColumnRenamed("form", "estimated_form")
+    t, e = pair_forms(truth).withColumnRenamed("form", "true_form"), pair_forms(estimate).withColumnRenamed("form", "estimated_form")
     both = t.join(e, ["a", "b"], "full").na.fill("none", ["true_form", "estimated_form"])
     return both.groupBy("true_form", "estimated_form").agg(F.count("*").alias("n"))
 
@@ -110,8 +115,8 @@ def direction_errors(estimate: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def hamming(estimate: DataFrame, truth: DataFrame) -> DataFrame:
-    """(shd): pairs whose edges differ in being there or in a mark."""
-    t, e = forms(truth).withColumnRenamed("form", "t"), forms(estimate).withColumnRenamed("form", "e")
+    """(shd): pairs whose edges differ in being there or in a mark; repeated edges count once."""
+    t, e = pair_forms(truth).withColumnRenamed("form", "t"), pair_forms(estimate).withColumnRenamed("form", "e")
     return t.join(e, ["a", "b"], "full").agg(F.count_if(~F.col("t").eqNullSafe(F.col("e"))).alias("shd"))
 
 

@@ -52,7 +52,7 @@ def ols(data: DataFrame | SuffStats, target: str, predictors: list[str]) -> Regr
 
 
 def logistic(df: DataFrame, target: str, predictors: list[str], rounds: int = 30) -> RegressionResult:
-    """Newton's method; a round is one pass that returns (p + 1)^2 numbers from each task."""
+    """Newton's method; a round is one pass that returns (p + 1)^2 numbers from each task. Raises an error if it does not settle."""
     rows = df.select(F.col(target).cast("double"), *[F.col(c).cast("double") for c in predictors]).dropna()
     p = len(predictors) + 1
     w = np.zeros(p)
@@ -75,8 +75,12 @@ def logistic(df: DataFrame, target: str, predictors: list[str], rounds: int = 30
         h, g, n = np.frombuffer(r["h"]).reshape(p, p), np.frombuffer(r["g"]), r["n"]
         step = np.linalg.solve(h + 1e-10 * np.eye(p), g)
         w = w + step
-        if np.abs(step).max() < 1e-10:
+        if np.abs(step).max() < 1e-10 * (1 + np.abs(w).max()):
             break
+    else:
+        raise RuntimeError(f"the coefficients did not settle in {rounds} rounds; predictors may separate the outcomes")
+    if not np.isfinite(w).all() or np.linalg.cond(h) > 1e14:
+        raise RuntimeError("predictors separate the outcomes or depend on each other")
     se = np.sqrt(np.diag(np.linalg.inv(h + 1e-10 * np.eye(p))))
     z = w / se
     return RegressionResult(["const", *predictors], w, se, z, np.array([2 * (1 - normal_cdf(abs(v))) for v in z]), float("nan"), n)

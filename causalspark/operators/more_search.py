@@ -163,6 +163,8 @@ def graphical_lasso(stats: SuffStats, penalty: float, rounds: int = 200, tol: fl
             w[rest, j] = w[j, rest] = v @ b
         if np.abs(w - before).max() < tol:
             break
+    else:
+        raise RuntimeError(f"the penalised precision matrix did not settle in {rounds} rounds")
     inverse = np.zeros((p, p))
     for j in range(p):
         rest = np.arange(p) != j
@@ -206,6 +208,8 @@ def fit_mixed_graph(stats: SuffStats, graph: Graph, rounds: int = 2000, tol: flo
             omega[i, i] = residual + float(shared @ inv[np.ix_(at, at)] @ shared)
         if np.abs(np.concatenate((b.ravel(), omega.ravel())) - before).max() < tol:
             break
+    else:
+        raise RuntimeError(f"the fit did not settle in {rounds} rounds")
     paths = np.linalg.inv(np.eye(p) - b)
     edges = {(names[k], names[i]): float(b[i, k]) for i in range(p) for k in parents[i]}
     errors = {(names[min(i, k)], names[max(i, k)]): float(omega[i, k]) for i in range(p) for k in [*spouses[i], i]}

@@ -239,3 +239,20 @@ def spacing_entropy(df: DataFrame, cols: list[str]) -> DataFrame:
     values = rows.groupBy("var", "value").agg(F.count("*").alias("n"))
     gap = F.col("value") - F.lag("value").over(W.partitionBy("var").orderBy("value"))
     return values.withColumn("gap", gap).groupBy("var").agg((F.sum(F.log("gap")) / (F.sum("n") - 1)).alias("s"))
+
+
+def false_discovery_cutoff(df: DataFrame, col: str, alpha: float, dependent: bool = True) -> DataFrame:
+    """(cutoff, index): the largest p-value within its bound and its place from 0 among all in order; a null and -1 if none is.
+
+    Bounds are alpha * k / (c * (m + 1)) for the k-th smallest of m, c the harmonic sum up to k
+    if the tests may depend on each other, else 1. By ranks of range partitions.
+    """
+    from .transforms import counted
+
+    counts, m = counted(df, col, "double")
+    k = (F.col("below") + F.col("n")).cast("double")  # the last place of equal values has the widest bound
+    few = F.element_at(F.array(*[F.lit(sum(1 / j for j in range(1, i + 1))) for i in range(1, 31)]), F.least(k, F.lit(30.0)).cast("int"))
+    many = F.log(k) + 0.5772156649015329 + 1 / (2 * k) - 1 / (12 * k * k) + 1 / (120 * k * k * k * k)
+    bound = alpha * k / (F.when(k <= 30, few).otherwise(many) if dependent else F.lit(1.0)) / (m + 1)
+    last = counts.where(F.col("v") < bound).agg(F.max(F.struct(F.col("v"), (k - 1).cast("int").alias("at"))).alias("last"))
+    return last.select(F.col("last.v").alias("cutoff"), F.coalesce(F.col("last.at"), F.lit(-1)).alias("index"))

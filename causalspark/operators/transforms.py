@@ -112,13 +112,16 @@ def equal_intervals(df: DataFrame, col: str, k: int, out: str | None = None) ->
 
 
 def counted(df: DataFrame, col: str, kind: str | None = None) -> tuple[DataFrame, int]:
-    """((v, n, below) for each distinct value, the number of rows): n rows hold v, `below` a smaller value.
+    """((v, n, below) for each distinct value, the number of rows): n rows hold v, `below` a smaller value; NaN counts as missing.
 
     Distinct values are range-partitioned and written once, as ranges differ between runs; the
     driver sees the number of rows of each partition only.
     """
     value = F.col(col).cast(kind) if kind else F.col(col)
-    counts = df.where(F.col(col).isNotNull()).groupBy(value.alias("v")).agg(F.count("*").alias("n"))
+    there = F.col(col).isNotNull()
+    if dict(df.dtypes)[col] in ("double", "float"):
+        there = there & ~F.isnan(col)
+    counts = df.where(there).groupBy(value.alias("v")).agg(F.count("*").alias("n"))
     ranged = written(counts.repartitionByRange("v").select("v", "n", F.spark_partition_id().alias("p")))
     sizes = dict(sorted(tuple(r) for r in ranged.groupBy("p").agg(F.sum("n")).collect()))
     offset, at = {-1: 0}, 0
@@ -162,7 +165,7 @@ def histogram(df: DataFrame, col: str, bins: int, where: Column | None = None) -
 
 
 def average_ranks(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Ranks from 1, tied values sharing their mean; nulls have none. By one count for each value and running sums of ranges."""
+    """Ranks from 1, tied values sharing their mean; nulls and NaN have none. By one count for each value and running sums of ranges."""
     counts, _ = counted(df, col)
     v = fresh(df, "value")
     ranked = counts.select(F.col("v").alias(v), (F.col("below") + (F.col("n") + 1) / 2).alias(out))
@@ -172,7 +175,7 @@ def average_ranks(df: DataFrame, col: str, out: str) -> DataFrame:
 def nonparanormal(df: DataFrame, col: str, out: str) -> DataFrame:
     """Truncated normal scores of the ranks, brought to the column's own mean and deviation.
 
-    Scores are computed once for each distinct value; nulls stay null.
+    Scores are computed once for each distinct value; nulls and NaN become null.
     """
     from ..functions.special import normal_quantile
 

@@ -607,12 +607,10 @@ def prefdiv_topk(spark, sf):
 )
 def fdr(spark, sf):
     """The false-discovery cutoff of a p-value for each part."""
-    from .functions.special import fdr_cutoff
+    from .operators.statistics import false_discovery_cutoff
 
     u = (F.col("p_partkey") * 7919 % 10007 + 0.5) / 10007.0
-    values = sorted(r["p"] for r in t(spark, sf, "part").select((u * u * u).alias("p")).collect())
-    cutoff, index = fdr_cutoff(0.05, values, False)
-    return rounded(spark.createDataFrame([(cutoff, index)], "cutoff double, index int"), 7)
+    return rounded(false_discovery_cutoff(t(spark, sf, "part").select((u * u * u).alias("p")), "p", 0.05, False), 7)
 
 
 # searches over the tables are in planted.py
