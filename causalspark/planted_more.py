@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from .operators import cyclic
 from .operators import independence as ind
-from .operators import allrow, folds, interventions, latent, missing, vanishing
+from .operators import allrow, folds, ica, interventions, latent, missing, vanishing
 from .operators.graph import Graph, cpdag
-from .planted import ALPHA, DAG, DISCRETE_DAG, ORACLES, QUERIES, coin, discrete, gauss, known, linear, measured, rows_of
+from .planted import ALPHA, DAG, DISCRETE_DAG, ORACLES, QUERIES, coin, discrete, flat, gauss, known, linear, measured, rows_of
 from .operators.search import pc, skeleton
 from .operators.transforms import unit_hash
 from .plans.suffstats import sufficient_stats
@@ -337,3 +337,23 @@ SELECT count(*) AS customers, round(avg(power((y - my - b * (x - mx)) / (1 - 1.0
 def stable_edges_planted(spark, sf):
     """Edges that are found in halves of complementary pairs, searched by Spark tasks."""
     return folds.stable_edges(linear(spark, sf), sorted(DAG.nodes), "id", _skeleton_at(ALPHA), 10)
+
+
+# independent components
+
+
+@known("src dst", [("X1", "X3"), ("X2", "X3"), ("X3", "X4"), ("X4", "X5"), ("X2", "X5")])
+def lingam_all_rows(spark, sf):
+    """Directions from non-normal errors, each round a pass over all rows."""
+    g, _ = ica.lingam(ica.independent_components(linear(spark, sf, flat), DAG.nodes), 0.2)
+    return spark.createDataFrame([e[:2] for e in g.edges()], "src string, dst string")
+
+
+@known("model src dst effect", [(1, "P", "Q", 0.9), (1, "Q", "R", 0.8), (1, "R", "Q", -0.6), (1, "R", "S", 0.7)])
+def ling_planted(spark, sf):
+    """The stable model of a system in which Q and R cause each other (effects to the nearest tenth)."""
+    df = rows_of(spark, sf).withColumns({"P": flat("id", 151), "eq": flat("id", 152), "er": flat("id", 153), "es": flat("id", 154)})
+    df = df.withColumn("Q", (0.9 * F.col("P") + F.col("eq") - 0.6 * F.col("er")) / (1 + 0.6 * 0.8)).withColumn("R", 0.8 * F.col("Q") + F.col("er"))
+    models = ica.ling(ica.independent_components(df.withColumn("S", 0.7 * F.col("R") + F.col("es")), ["P", "Q", "R", "S"]), 0.2)
+    rows = [(k, a, b, round(w, 1)) for k, m in enumerate(models, 1) if m.stable for a, b, w in m.edges()]
+    return spark.createDataFrame(rows, "model int, src string, dst string, effect double")
