@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .operators import cyclic
 from .operators import independence as ind
 from .operators import allrow, folds, ica, interventions, latent, missing, vanishing
+from .operators.count_tree import CountTree, tree_test
 from .operators.graph import Graph, cpdag
 from .planted import ALPHA, DAG, DISCRETE_DAG, ORACLES, QUERIES, coin, discrete, flat, gauss, known, linear, measured, rows_of
 from .operators.search import pc, skeleton
@@ -357,3 +358,30 @@ def ling_planted(spark, sf):
     models = ica.ling(ica.independent_components(df.withColumn("S", 0.7 * F.col("R") + F.col("es")), ["P", "Q", "R", "S"]), 0.2)
     rows = [(k, a, b, round(w, 1)) for k, m in enumerate(models, 1) if m.stable for a, b, w in m.edges()]
     return spark.createDataFrame(rows, "model int, src string, dst string, effect double")
+
+
+# count trees
+
+
+def count_tree_lineitem(spark, sf):
+    """Counts of each pair of discrete columns from one tree."""
+    names = ["l_linenumber", "l_linestatus", "l_returnflag"]
+    tree = CountTree(spark.read.parquet(f"{sf}/lineitem.parquet").select(*names), depth=2)
+    rows = [(" ".join(pair), *values, n) for pair in combinations(names, 2) for values, n in tree.counts(pair).items()]
+    return spark.createDataFrame(rows, "pair string, first string, second string, n long")
+
+
+QUERIES["count_tree_lineitem"] = count_tree_lineitem
+ORACLES["count_tree_lineitem"] = """
+WITH l AS (SELECT CAST(l_linenumber AS VARCHAR) AS a, l_linestatus AS b, l_returnflag AS c FROM lineitem)
+SELECT 'l_linenumber l_linestatus' AS pair, a AS first, b AS second, count(*) AS n FROM l GROUP BY ALL
+UNION ALL SELECT 'l_linenumber l_returnflag', a, c, count(*) FROM l GROUP BY ALL
+UNION ALL SELECT 'l_linestatus l_returnflag', b, c, count(*) FROM l GROUP BY ALL
+"""
+
+
+@known("src dst ep_src ep_dst", [("A", "C", "-", ">"), ("B", "C", "-", ">"), ("C", "D", "-", ">")])
+def pc_count_tree(spark, sf):
+    """A discrete search whose tests all take their counts from one tree."""
+    tree = CountTree(discrete(spark, sf).select("A", "B", "C", "D"), alpha=ALPHA, depth=4)
+    return pc(tree_test(ind.GSquare, tree)).to_df(spark)
