@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from ..plans.suffstats import covariance_long
 from ..plans.tables import written
-from .transforms import average_ranks, counted
+from .transforms import average_ranks_of, counted
 
 
 def long(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -54,10 +54,8 @@ def moments(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def spearman(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Correlations of average ranks."""
-    out = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
-    for c in cols:
-        out = average_ranks(out, c, f"{c}_rank")
+    """Correlations of average ranks, over rows without a null or NaN; the values of all columns are counted in one pass."""
+    out = average_ranks_of(df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna(), cols)
     named = out.select(*[F.col(f"{c}_rank").alias(c) for c in cols])
     return covariance_long(named, cols, True).where("var_i < var_j")
 

@@ -133,6 +133,38 @@ def counted(df: DataFrame, col: str, kind: str | None = None) -> tuple[DataFrame
     return ranged.select("v", "n", below.cast("long").alias("below")), at
 
 
+#: Distinct values of a column whose ranks are sent to all executors, 24 bytes each; beyond, they are joined by a shuffle.
+SENT_RANKS = 1_000_000
+
+
+def counted_columns(df: DataFrame, cols: list[str]) -> dict[str, tuple[DataFrame, int]]:
+    """{column: ((v, n, below) as `counted` gives it, the number of distinct values)}: all columns in one pass, written once."""
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).cast("double").alias("v")) for k, c in enumerate(cols)])).alias("cell")
+    counts = df.select(cells).select("cell.k", "cell.v").where("v is not null and not isnan(v)").groupBy("k", "v").agg(F.count("*").alias("n"))
+    ranged = written(counts.repartitionByRange("k", "v").select("k", "v", "n", F.spark_partition_id().alias("p")))
+    sizes = sorted(tuple(r) for r in ranged.groupBy("k", "p").agg(F.sum("n"), F.count("*")).collect())  # partitions and columns
+    offset, distinct, at = {}, dict.fromkeys(range(len(cols)), 0), dict.fromkeys(range(len(cols)), 0)
+    for k, p, n, d in sizes:
+        offset[k, p] = at[k]
+        at[k] += n
+        distinct[k] += d
+    below = F.sum("n").over(W.partitionBy("k", "p").orderBy("v")) - F.col("n")
+    out = {}
+    for k, c in enumerate(cols):
+        first = F.element_at(F.create_map(*[F.lit(x) for (j, p), o in offset.items() if j == k for x in (p, o)]), F.col("p")) if distinct[k] else F.lit(0)
+        out[c] = ranged.where(F.col("k") == k).select("v", "n", (below + first).cast("long").alias("below")), distinct[k]
+    return out
+
+
+def average_ranks_of(df: DataFrame, cols: list[str]) -> DataFrame:
+    """df with a column `x_rank` for each of the columns: average ranks from 1; nulls and NaN have none."""
+    for c, (counts, distinct) in counted_columns(df, cols).items():
+        v = fresh(df, "value")
+        ranks = counts.select(F.col("v").alias(v), (F.col("below") + (F.col("n") + 1) / 2).alias(f"{c}_rank"))
+        df = df.join(F.broadcast(ranks) if distinct <= SENT_RANKS else ranks, F.col(c).cast("double") == F.col(v), "left").drop(v)
+    return df
+
+
 def quantile_points(df: DataFrame, col: str, k: int) -> list[float]:
     """The sorted values at n / k * (i + 1) with whole-number division: exact order statistics."""
     counts, total = counted(df, col, "double")

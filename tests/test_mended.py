@@ -49,3 +49,13 @@ def test_false_discovery_cutoff_of_a_table(spark, dependent):
     got = tuple(statistics.false_discovery_cutoff(df, "p", 0.05, dependent).first())
     assert got == pytest.approx(fdr_cutoff(0.05, values, dependent))
     assert tuple(statistics.false_discovery_cutoff(spark.createDataFrame([(0.9,)], "p double"), "p", 0.05).first()) == (None, -1)
+
+
+@pytest.mark.parametrize("sent", [0, 10**6])
+def test_ranks_of_several_columns_in_one_pass(spark, monkeypatch, sent):
+    monkeypatch.setattr(transforms, "SENT_RANKS", sent)
+    rows = [(3.0, 1), (1.0, 1), (float("nan"), 2), (3.0, None), (None, 5), (2.0, 5)]
+    df = spark.createDataFrame(rows, "x double, y int").repartition(3)
+    got = sorted(((r["x"], r["y"], r["x_rank"], r["y_rank"]) for r in transforms.average_ranks_of(df, ["x", "y"]).collect()), key=str)
+    want = [(3.0, 1, 3.5, 1.5), (1.0, 1, 1.0, 1.5), (float("nan"), 2, None, 3.0), (3.0, None, 3.5, None), (None, 5, None, 4.5), (2.0, 5, 2.0, 4.5)]
+    assert list(map(str, got)) == list(map(str, sorted(want, key=str)))
