@@ -14,6 +14,7 @@ from .operators import cyclic
 from .operators import independence as ind
 from .operators import allrow, folds, ica, interventions, latent, missing, vanishing
 from .operators.count_tree import CountTree, tree_test
+from .operators.generalized_sem import Equation, fit_equations
 from .operators.graph import Graph, cpdag
 from .planted import ALPHA, DAG, DISCRETE_DAG, ORACLES, QUERIES, coin, discrete, flat, gauss, known, linear, measured, rows_of
 from .operators.search import pc, skeleton
@@ -385,3 +386,19 @@ def pc_count_tree(spark, sf):
     """A discrete search whose tests all take their counts from one tree."""
     tree = CountTree(discrete(spark, sf).select("A", "B", "C", "D"), alpha=ALPHA, depth=4)
     return pc(tree_test(ind.GSquare, tree)).to_df(spark)
+
+
+# structural equations of any form
+
+
+@known("node parameter value", [("Y", "a", 0.8), ("Y", "b", 0.5), ("Y", "s", 0.7), ("Z", "c", 2.0), ("Z", "k", 1.5), ("Z", "t", 0.3)])
+def generalized_sem_planted(spark, sf):
+    """Parameters of two curved equations, each fitted by aggregations over many parameter vectors (to the nearest tenth)."""
+    df = rows_of(spark, sf).withColumns({"X": gauss("id", 161)})
+    df = df.withColumn("Y", 0.8 * F.col("X") + 0.5 * F.col("X") ** 2 + 0.7 * gauss("id", 162))
+    df = df.withColumn("Z", 2 / (1 + F.exp(-1.5 * F.col("Y"))) + 0.3 * gauss("id", 163)).select("X", "Y", "Z")
+    system = [
+        Equation("Y", "a * X + b * X^2", "Normal(0, s)", {"a": 0.1, "b": 0.1, "s": 1.0}),
+        Equation("Z", "c * logistic(k * Y)", "Normal(0, t)", {"c": 1.0, "k": 1.0, "t": 1.0}),
+    ]
+    return fit_equations(df, system).to_df(spark).withColumn("value", F.round("value", 1))
