@@ -170,6 +170,7 @@ def fit_equations(df: DataFrame, equations: list[Equation]) -> GeneralizedFit:
     for e in equations:
         g.add_node(e.node)
         for c in e.causes:
+            g.add_node(c)
             if g.adjacent(c, e.node) or c == e.node:
                 raise ValueError("the equations have a cycle")
             g.add_edge(c, e.node)
