@@ -4,20 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the checkpoint folder that executors share.
-
-    The folder is spark.checkpoint.dir; one of our own is made only in local mode.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that executors share: spark.checkpoint.dir; one of our own is made only in local mode."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        base = spark.conf.get("spark.checkpoint.dir", None)
         if not base and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="causalspark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, in the checkpoint folder that executors share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
