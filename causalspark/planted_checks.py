@@ -219,3 +219,19 @@ def separation_in_found_graph(spark, sf):
         ends, given = q.split("|")
         rows.append((q, test.independent(*ends.split(), tuple(given.split()))))
     return spark.createDataFrame(rows, "question string, independent boolean")
+
+
+@asked("""
+SELECT n_nationkey AS case_key, CAST(n_regionkey AS DOUBLE) AS region, CASE WHEN n_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS parity, 'even odd' AS declared, true AS tiers FROM nation
+""")
+def sections_written_and_read(spark, sf):
+    """Nations as one file with declared variables, data with case ids, and knowledge."""
+    rows = spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey", "n_regionkey").orderBy("n_nationkey").collect()  # 25 nations at every size
+    lines = ["/variables", "region: Continuous", "parity: even, odd", "/data", "region,parity"]
+    lines += [f"k{r['n_nationkey']},{r['n_regionkey']},{'odd' if r['n_nationkey'] % 2 else 'even'}" for r in rows]
+    lines += ["/knowledge", "addtemporal", "1 region", "2 parity"]
+    path = _folder(spark)
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)
+    df, values, known = tabular.read_sections(spark, path, "comma", ids=True)
+    key = F.substring("id", 2, 10).cast("int").alias("case_key")
+    return df.select(key, "region", "parity", F.lit(" ".join(values["parity"])).alias("declared"), F.lit(known.tiers == [["region"], ["parity"]]).alias("tiers"))
