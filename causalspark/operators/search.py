@@ -332,7 +332,10 @@ def fci_max(test: Test, depth: int = -1, knowledge: Knowledge | None = None) ->
 
 
 def gfci(test: Test, score, depth: int = -1, knowledge: Knowledge | None = None, rule: str = "sepset") -> Graph:
-    """Score-based skeleton, less what the test separates within triangles; colliders of either, then the rules of FCI."""
+    """Score-based skeleton, less what the test separates within triangles; colliders of either, then the rules of FCI.
+
+    rule "max_p" takes colliders from the best separating sets instead.
+    """
     first = fges(score, knowledge)
     g, sepsets = first.copy(), {}
     for a, b, _, _ in first.edges():
@@ -345,6 +348,9 @@ def gfci(test: Test, score, depth: int = -1, knowledge: Knowledge | None = None,
                     sepsets[frozenset((x, y))] = z
     g.reorient(CIRCLE)
     _orient_knowledge(g, knowledge, CIRCLE)
+    if rule == "max_p":
+        orient_colliders(g, test, sepsets, rule, knowledge, depth, CIRCLE)
+        return fci_rules(g, sepsets, True, knowledge)
     for a, b, c in g.unshielded():
         if first.adjacent(a, c):
             z = sepsets.get(frozenset((a, c)))
@@ -356,6 +362,10 @@ def gfci(test: Test, score, depth: int = -1, knowledge: Knowledge | None = None,
     return fci_rules(g, sepsets, True, knowledge)
 
 
+def gfci_max(test: Test, score, depth: int = -1, knowledge: Knowledge | None = None) -> Graph:
+    return gfci(test, score, depth, knowledge, "max_p")
+
+
 def dag_to_pag(dag: Graph) -> Graph:
     """The partial ancestral graph of a DAG's measured nodes."""
     test = DSeparation(dag)

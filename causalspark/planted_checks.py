@@ -12,7 +12,7 @@ from .operators import clusters, model_io
 from .operators import graph as gr
 from .operators import graph_more as gm
 from .operators import independence as ind
-from .operators import search
+from .operators import scores, search
 from .operators.graph import Graph
 from .operators.models import BayesNet, fit_sem
 from .planted import ALPHA, DAG, DISCRETE_DAG, LATENT_DAG, ORACLES, QUERIES, discrete, known, measured, stats, with_latent
@@ -235,3 +235,15 @@ def sections_written_and_read(spark, sf):
     df, values, known = tabular.read_sections(spark, path, "comma", ids=True)
     key = F.substring("id", 2, 10).cast("int").alias("case_key")
     return df.select(key, "region", "parity", F.lit(" ".join(values["parity"])).alias("declared"), F.lit(known.tiers == [["region"], ["parity"]]).alias("tiers"))
+
+
+@known("graph src dst ep_src ep_dst", [
+    ("gfci_max", "Y3", "Y1", "o", ">"), ("gfci_max", "Y1", "Y2", ">", ">"), ("gfci_max", "Y4", "Y2", "o", ">"),
+    ("mag", "Y3", "Y1", "-", ">"), ("mag", "Y1", "Y2", ">", ">"), ("mag", "Y4", "Y2", "-", ">"),
+])
+def hidden_cause_members(spark, sf):
+    """A class found with best-set colliders, and a member of it."""
+    s = sufficient_stats(with_latent(spark, sf), ["Y1", "Y2", "Y3", "Y4"])
+    pag = search.gfci_max(ind.FisherZ(s, ALPHA), scores.SemBic(s, 4.0))
+    rows = [(n, *e) for n, g in (("gfci_max", pag), ("mag", gm.pag_to_mag(pag))) for e in g.edges()]
+    return spark.createDataFrame(rows, "graph string, src string, dst string, ep_src string, ep_dst string")

@@ -59,3 +59,23 @@ def test_ranks_of_several_columns_in_one_pass(spark, monkeypatch, sent):
     got = sorted(((r["x"], r["y"], r["x_rank"], r["y_rank"]) for r in transforms.average_ranks_of(df, ["x", "y"]).collect()), key=str)
     want = [(3.0, 1, 3.5, 1.5), (1.0, 1, 1.0, 1.5), (float("nan"), 2, None, 3.0), (3.0, None, 3.5, None), (None, 5, None, 4.5), (2.0, 5, 2.0, 4.5)]
     assert list(map(str, got)) == list(map(str, sorted(want, key=str)))
+
+
+def test_members_of_a_class_with_hidden_causes():
+    from itertools import combinations
+
+    from causalspark.operators.graph import Graph, random_dag
+    from causalspark.operators.graph_more import is_ancestral, pag_to_mag
+    from causalspark.operators.search import dag_to_pag
+
+    g = pag_to_mag(Graph.parse("Y3o->Y1,Y1<->Y2,Y4o->Y2"))
+    assert set(str(g).split(",")) == {"Y3-->Y1", "Y1<->Y2", "Y4-->Y2"} and is_ancestral(g)
+    assert not is_ancestral(Graph.parse("A-->B,B-->C,A<->C"))
+    for seed in range(40):  # the member has the separations of the DAG it comes from
+        dag = random_dag(6, 8, seed)
+        dag.latent = set(dag.nodes[:2])
+        mag = pag_to_mag(dag_to_pag(dag))
+        assert is_ancestral(mag)
+        for a, b in combinations(mag.nodes, 2):
+            for z in ([], [v for v in mag.nodes if v not in (a, b)][:1], [v for v in mag.nodes if v not in (a, b)]):
+                assert mag.d_separated(a, b, z) == dag.d_separated(a, b, z), (seed, a, b, z)
