@@ -1,9 +1,14 @@
+import importlib
 import re
 import zlib
 
+import pytest
+
 from causalspark.llm.decontaminate import contamination, decontaminate
 from causalspark.llm.language_id import keep_identified, language_id
 
+decontaminate_module = importlib.import_module("causalspark.llm.decontaminate")
+
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -29,7 +34,10 @@ def brute(docs, items):
     return sorted(out, key=str)
 
 
-def test_contamination_matches_brute_force(spark):
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_contamination_matches_brute_force(spark, monkeypatch, sent):
+    """With windows sent to all executors, and joined by a shuffle."""
+    monkeypatch.setattr(decontaminate_module, "BROADCAST_ROWS", sent)
     long = " ".join("tok%d" % k for k in range(30))
     items = [(1, long), (2, "Short Item-here"), (3, None), (4, "..."), (5, " ".join("tok%d" % k for k in range(5, 25))), (6, "same same same same"), (7, "naïve É 東京")]
     docs = [

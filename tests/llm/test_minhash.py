@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from causalspark.llm import common
 from causalspark.llm.minhash import drop_near_duplicates, near_duplicates
 
 
@@ -54,7 +55,9 @@ def corpus():
     return rows
 
 
-def test_components_match_brute_force(spark):
+@pytest.mark.parametrize("sent", [1_000_000, 0])
+def test_components_match_brute_force(spark, monkeypatch, sent):
+    monkeypatch.setattr(common, "BROADCAST_IDS", sent)
     rows = corpus()
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, key string")
     got = {tuple(r) for r in near_duplicates(df, 2, 80).collect()}
