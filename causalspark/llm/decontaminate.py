@@ -79,15 +79,14 @@ def occurrences(norm: DataFrame, items: DataFrame, window: int = WINDOW) -> Data
         )
     else:  # a row that a shuffle copies must not carry the document
         places = (
-            full.select("doc_id", "h", F.posexplode("w").alias("pos", "word"))
+            full.select(F.col("doc_id").alias("of"), F.col("h").alias("oh"), F.posexplode("w").alias("pos", "word"))
             .join(prefixes.select("word"), "word")
-            .groupBy("doc_id", "h")
+            .groupBy("of", "oh")
             .agg(F.collect_set(F.struct("pos", "word")).alias("places"))
         )
-        same = [full[c].eqNullSafe(places[c]) for c in ("doc_id", "h")]
         hits = (
-            full.join(places, same)
-            .select(full["doc_id"], full["h"], "w", F.inline("places"))
+            full.join(places, F.col("doc_id").eqNullSafe(F.col("of")) & F.col("h").eqNullSafe(F.col("oh")))
+            .select("doc_id", "h", "w", F.inline("places"))
             .select("doc_id", "h", "pos", "word", near.alias("near"), at.alias("at"))
             .join(prefixes, "word")
         )
