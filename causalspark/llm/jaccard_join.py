@@ -40,6 +40,8 @@ from .tokens import forget
 EXTRA = 10
 #: Words of 64 parities that stand for what comes after a posting.
 WORDS = 4
+#: Shingles of sets, or numbers of postings, that a Python worker gathers before it sends them on.
+TOGETHER = 500_000
 
 
 def _spare(n, percent: int):
@@ -133,21 +135,63 @@ def _shared_heads(classes: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "node long, m long").groupBy("node").agg(F.sum("m").alias("m"))
 
 
+def _set_batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """(node, n, shingles) of (node, text), in batches of TOGETHER shingles and one text's more at most."""
+    powers = _Powers()
+
+    def flush() -> pa.RecordBatch:
+        ends = np.cumsum([0, *map(len, out)], dtype=np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out).view(np.int64)))
+        return pa.RecordBatch.from_arrays([nodes.slice(at, len(out)), pa.array(np.diff(ends).astype(np.int64)), lists], names=["node", "n", "shingles"])
+
+    for b in batches:
+        nodes, at, size, out = b.column(0), 0, 0, []
+        for t in b.column(1):
+            out.append(shingle_set(t.as_py(), width, powers))
+            size += len(out[-1])
+            if size >= TOGETHER:
+                yield flush()
+                at, size, out = at + len(out), 0, []
+        if out:
+            yield flush()
+
+
 def _sets(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
     """(node, n, shingles) of the chosen (node, doc_id, h)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = _Powers()
-        for b in batches:
-            out = [shingle_set(t.as_py(), width, powers) for t in b.column(1)]
-            ends = np.cumsum([0, *map(len, out)], dtype=np.int32)
-            values = np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(ends).astype(np.int64)), lists], names=["node", "n", "shingles"])
-
     chosen = hinted(chosen.select("node", F.col("doc_id").alias("of"), F.col("h").alias("oh")))
     texts = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("oh"))).select("node", "text")
-    return texts.mapInArrow(run, "node long, n long, shingles array<long>")
+    return texts.mapInArrow(lambda batches: _set_batches(batches, width), "node long, n long, shingles array<long>")
+
+
+_POSTED = ["key", "node", "n", "lone", "rest", *(f"w{k}" for k in range(WORDS))]
+
+
+def _posted_batches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """`_posted` of (node, n, keys by rarity), in batches of TOGETHER numbers and one class's more at most."""
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=_POSTED)
+
+    for b in batches:
+        out, size = [], 0
+        for node, n, keys in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            keys = keys.values.to_numpy(zero_copy_only=False)
+            lone = n - len(keys)
+            prefix = _spare(n, percent) + 1 - lone
+            part = _mix(keys.view(np.uint64)) % np.uint64(64 * WORDS)
+            bits = np.zeros((len(keys), WORDS), dtype=np.uint64)
+            bits[np.arange(len(keys)), part // np.uint64(64)] = np.uint64(1) << (part % np.uint64(64))
+            after = np.bitwise_xor.accumulate(bits[::-1])[::-1] ^ bits
+            at = np.arange(prefix)
+            # copies: the rest of `after` is as large as the whole set
+            out.append((keys[:prefix], np.full(prefix, node), np.full(prefix, n), np.full(prefix, lone), len(keys) - at, *after[:prefix].T.view(np.int64).copy()))
+            size += prefix * len(_POSTED)
+            if size >= TOGETHER:
+                yield flush()
+                out, size = [], 0
+        if out:
+            yield flush()
 
 
 def _posted(full: DataFrame, percent: int) -> DataFrame:
@@ -157,23 +201,6 @@ def _posted(full: DataFrame, percent: int) -> DataFrame:
     parities of the hashed parts of what comes after. lone: shingles that no other class has.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for node, n, keys in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                keys = keys.values.to_numpy(zero_copy_only=False)
-                lone = n - len(keys)
-                prefix = _spare(n, percent) + 1 - lone
-                part = _mix(keys.view(np.uint64)) % np.uint64(64 * WORDS)
-                bits = np.zeros((len(keys), WORDS), dtype=np.uint64)
-                bits[np.arange(len(keys)), part // np.uint64(64)] = np.uint64(1) << (part % np.uint64(64))
-                after = np.bitwise_xor.accumulate(bits[::-1])[::-1] ^ bits
-                at = np.arange(prefix)
-                out.append((keys[:prefix], np.full(prefix, node), np.full(prefix, n), np.full(prefix, lone), len(keys) - at, *after[:prefix].T.view(np.int64)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
-
-    names = ["key", "node", "n", "lone", "rest", *(f"w{k}" for k in range(WORDS))]
     each = full.select("node", "n", F.explode("shingles").alias("key"))
     shared = each.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     ranked = (
@@ -183,7 +210,7 @@ def _posted(full: DataFrame, percent: int) -> DataFrame:
         .where(100 * F.size("keys") >= percent * F.col("n"))
         .select("node", "n", F.col("keys.key").alias("keys"))
     )
-    return ranked.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return ranked.mapInArrow(lambda batches: _posted_batches(batches, percent), ", ".join(f"{c} long" for c in _POSTED))
 
 
 def _sides(x: DataFrame, y: DataFrame, percent: int) -> DataFrame:

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from causalspark.llm import jaccard_join
@@ -129,3 +132,22 @@ def test_filters_never_reject_what_is_similar():
         parts = 64 * jaccard_join.WORDS
         odd = [{p for p in range(parts) if sum(1 for v in s if v % parts == p) % 2} for s in (x, y)]
         assert len(odd[0] ^ odd[1]) <= len(x ^ y)
+
+
+def test_sets_and_postings_of_long_texts_are_sent_in_small_batches(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TOGETHER", 5000)
+    texts = [" ".join(f"w{k % 7}x{j}" for j in range(n)) for k, n in enumerate([*range(0, 3000, 60), 2, 9000, 1])]
+    given = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["node", "text"])
+    sets = list(jaccard_join._set_batches(iter([given]), 5))
+    assert max(sum(b.column(1).to_pylist()[:-1]) for b in sets) < 5000
+    rows = [r for b in sets for r in b.to_pylist()]
+    powers = jaccard_join._Powers()
+    for k, (r, t) in enumerate(zip(rows, texts, strict=True)):
+        assert r["node"] == k and r["n"] == len(r["shingles"])
+        assert r["shingles"] == jaccard_join.shingle_set(t, 5, powers).view(np.int64).tolist()
+    full = [b.filter(pa.compute.greater(b.column(1), 0)) for b in sets]
+    one = pa.Table.from_batches(full).combine_chunks().to_batches()
+    posted = list(jaccard_join._posted_batches(iter(one), 80))
+    assert len(posted) > 1 and all(b.num_rows * len(jaccard_join._POSTED) < 5000 + 9 * (9000 // 5 + 1) for b in posted)
+    monkeypatch.setattr(jaccard_join, "TOGETHER", 10**9)
+    assert pa.Table.from_batches(posted).to_pylist() == pa.Table.from_batches(jaccard_join._posted_batches(iter(one), 80)).to_pylist()
