@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .tokens import forget
+from .tokens import _byte_level, forget
 
 #: Chunks that a Python worker remembers, and an eighth of their ids; beyond, it begins anew.
 REMEMBERED = 250_000
@@ -48,13 +48,6 @@ _CUT = re.compile(r"(?<=\S)(?= )")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
-def _byte_level() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, the rest from U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 class _Table:
     """Ids of chunks one after the other, with where each chunk's begin."""
 

@@ -3,18 +3,22 @@
 The tokenizer splits at white space, lower-cases, and encodes each run of letters, single
 digit or run of other characters for itself. So the ids of a text are those of its parts in
 order, and a part that was met before need not be encoded again; nor need a run between
-white space be split again. Texts with characters outside a range where this is certain are
-encoded whole.
+white space be split again. A new part is normalised and split already, so the tokenizer's
+model gets its bytes directly where the tokenizer file has the steps that this stands for.
+Texts with characters outside a range where this is certain are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
 
 _PLAIN = re.compile(r"[^\x09-\x0d\x20-\x7e¡«»¿-ɏ]|<\|")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: The tokenizer's own rule for parts, which _PARTS is in the range of _PLAIN.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Parts, and runs between white space, of a generation that one Python worker remembers. When it is
 #: full it becomes the old generation, from which what is met again moves to the new one.
 REMEMBERED = 350_000
@@ -44,14 +48,43 @@ class _Remembered(dict):
 
 
 class _Runs(_Remembered):
-    """Maps a run between white space to its ids."""
+    """Maps a run between white space, in lower case, to its ids."""
 
     def __init__(self, parts: WordEncoder) -> None:
         super().__init__()
         self.parts = parts
 
     def compute(self, run: str) -> bytes:
-        return b"".join(map(self.parts.__getitem__, _PARTS.findall(run.lower())))
+        if run.isalpha():  # one part
+            return self.parts[run]
+        return b"".join(map(self.parts.__getitem__, _PARTS.findall(run)))
+
+
+def _byte_level() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, the rest from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+def _direct(path: str) -> bool:
+    """Whether all that happens to a part before and after the model is that its bytes become byte-level characters."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    steps = (file.get("normalizer") or {}).get("normalizers", [])
+    splits = (file.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (
+        [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"]
+        and steps[1] == {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+        and [x["type"] for x in splits] == ["Split", "ByteLevel"]
+        and splits[0]["pattern"] == {"Regex": _SPLIT}
+        and (splits[0]["behavior"], splits[0]["invert"]) == ("Removed", True)
+        and not splits[1]["add_prefix_space"]
+        and not splits[1].get("use_regex", True)
+        and file["model"]["type"] == "BPE"
+        and not any(file.get(x) for x in ("post_processor", "truncation", "padding"))
+        and all(x["content"].startswith("<|") for x in file.get("added_tokens", []))
+    )
 
 
 class WordEncoder(_Remembered):
@@ -63,10 +96,16 @@ class WordEncoder(_Remembered):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model if _direct(path) else None
+        self.characters = {b: c for c, b in _byte_level().items()}
         self.runs = _Runs(self)
 
     def compute(self, part: str) -> bytes:
-        return self.whole(part)
+        if self.model is None:
+            return self.whole(part)
+        if not part.isascii():
+            part = "".join(map(self.characters.__getitem__, part.encode()))
+        return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -78,7 +117,7 @@ class WordEncoder(_Remembered):
         elif _PLAIN.search(text):
             ids = self.whole(text)
         else:
-            ids = b"".join(map(self.runs.__getitem__, text.split()))
+            ids = b"".join(map(self.runs.__getitem__, text.lower().split()))
         return ids + EOS.to_bytes(4, "little")
 
 

@@ -4,7 +4,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from causalspark.llm.packing import CAPACITY, cutting_stock, pack, packed_sequences
-from causalspark.llm.tokens import default_tokenizer, encoder
+from causalspark.llm.tokens import WordEncoder, default_tokenizer, encoder
 
 TEXTS = [None, "", "It's 12 o'clock, they'll SAY!! ___ x_y", "naïve Ünïcode — ½ ² İstanbul   é", "<|endoftext|> a<|b", "word " * 9000, "x" * 30000, "a\x1cb\x85c d", "漢字 и кириллица"]
 
@@ -16,6 +16,26 @@ def test_encoding_is_the_tokenizers(spark):
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == want, t
 
 
+def test_new_parts_go_to_the_model_alone():
+    tk, enc = Tokenizer.from_file(default_tokenizer()), WordEncoder(default_tokenizer())
+
+    def whole(text):
+        raise AssertionError(f"all of the tokenizer's steps for {text!r}")
+
+    enc.whole = whole
+    plain = "".join(map(chr, [*range(9, 14), *range(32, 127), 0xA1, 0xAB, 0xBB, *range(0xBF, 0x250)]))
+    for t in (plain, " ".join(plain), "".join(f"{c}{c}a{c}'{c} '{c}S " for c in plain), TEXTS[2], "naïve Ünïcode İstanbul Therstea. ERED's"):
+        assert np.frombuffer(enc.encode(t), "<u4").tolist() == [*tk.encode(t, add_special_tokens=False).ids, 2], t
+
+
+def test_other_steps_are_not_left_out(tmp_path):
+    tk = Tokenizer.from_file(default_tokenizer())
+    tk.normalizer = None  # A-Z stay
+    tk.save(str(tmp_path / "other.json"))
+    enc = WordEncoder(str(tmp_path / "other.json"))
+    assert enc.model is None and enc.compute("ABC") == enc.whole("ABC") != enc.whole("abc")
+
+
 def test_every_id_in_one_piece_and_little_padding(spark):
     rows = [(i, TEXTS[i % len(TEXTS)] if i < 9 else "alpha beta gamma " * (i % 97 + 1)) for i in range(600)] + [(5, TEXTS[5])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
