@@ -5,7 +5,8 @@ digit or run of other characters for itself. So the ids of a text are those of i
 order, and a part that was met before need not be encoded again; nor need a run between
 white space be split again. A new part is normalised and split already, so the tokenizer's
 model gets its bytes directly where the tokenizer file has the steps that this stands for.
-Texts with characters outside a range where this is certain are encoded whole.
+Texts with characters outside a range where this is certain are encoded whole. Many texts
+together are split by Arrow, and each of their distinct parts is looked up once a block.
 """
 
 from __future__ import annotations
@@ -14,11 +15,20 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _PLAIN = re.compile(r"[^\x09-\x0d\x20-\x7e¡«»¿-ɏ]|<\|")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 #: The tokenizer's own rule for parts, which _PARTS is in the range of _PLAIN.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: All parts but letters, for Arrow, whose \s is another: with blanks around them, white space splits a text into its parts.
+_APART = r"'s|'t|'re|'ve|'m|'ll|'d|\pN|[^\x09-\x0d\x20\pL\pN]+"
+#: Bytes of texts, about, that are split together.
+BLOCK = 5_000_000
 #: Parts, and runs between white space, of a generation that one Python worker remembers. When it is
 #: full it becomes the old generation, from which what is met again moves to the new one.
 REMEMBERED = 350_000
@@ -120,6 +130,33 @@ class WordEncoder(_Remembered):
             ids = b"".join(map(self.runs.__getitem__, text.lower().split()))
         return ids + EOS.to_bytes(4, "little")
 
+    def encode_all(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """By blocks of texts: the number of ids of each, and all ids one after the other, as `encode` gives them."""
+        ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        lo = 0
+        while lo < len(texts):
+            hi = max(int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BLOCK, side="right")), lo + 1)
+            yield self._block(texts.slice(lo, hi - lo))
+            lo = hi
+
+    def _block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        odd = pc.match_substring_regex(texts, _PLAIN.pattern).fill_null(False).to_numpy(zero_copy_only=False)
+        every = texts.to_pylist()
+        lower = pa.array(["" if o or not t else t.lower() for o, t in zip(odd, every, strict=True)], pa.string())
+        parts = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, _APART, r" \0 "))
+        coded = parts.values.dictionary_encode()
+        known = [self[p] for p in coded.dictionary.to_pylist()]
+        offsets = np.cumsum([0, *map(len, known)], dtype=np.int64) // 4
+        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(known), dtype="<u4"))).take(coded.indices)
+        bounds = ids.offsets.to_numpy()[parts.offsets.to_numpy()]
+        out, sizes = np.insert(ids.values.to_numpy(), bounds[1:], EOS), np.diff(bounds) + 1
+        pieces, at, ends = [], 0, np.cumsum(sizes)
+        for k in np.flatnonzero(odd):  # the end-of-text id alone so far
+            own = np.frombuffer(self.encode(every[k]), dtype="<u4")
+            pieces += [out[at : ends[k] - 1], own]
+            at, sizes[k] = ends[k], len(own)
+        return sizes, np.concatenate([*pieces, out[at:]])
+
 
 _ENCODERS: dict[str, WordEncoder] = {}
 

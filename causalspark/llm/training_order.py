@@ -8,7 +8,8 @@ reader can begin at any slot and go on from there.
 
 Each input partition's sequences are written once to a table of compressed blobs, numbered
 within the partition; the driver gets each partition's total only. Then blobs are numbered
-over all partitions, permuted, and sent to their shards compressed again.
+over all partitions, permuted, and sent to their shards compressed again; by then the Python
+workers have freed what they remembered for tokenising.
 
 Defined results: a null or empty text is one sequence with the end-of-text id. Repeated rows
 are sequences of their own. A null doc_id is written as the smallest long. An empty table
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, shared_root
-from .tokens import default_tokenizer, encoder
+from .tokens import default_tokenizer, encoder, forget
 
 LENGTH = 256
 #: Bytes of a shard, about; a shard is one task's sorted output.
@@ -80,19 +81,22 @@ class Manifest:
 
 
 def _records(docs: list, texts: list, enc) -> np.ndarray:
-    blocks = [np.empty(0, dtype=_RECORD)]
-    for doc, t in zip(docs, texts, strict=True):
-        ids = np.frombuffer(enc.encode(t), dtype="<u4")
-        if int(ids.max(initial=0)) > 0xFFFF:
-            raise ValueError(f"records hold 16-bit ids, the tokenizer gives {int(ids.max())}")
-        r = np.zeros(-(-len(ids) // LENGTH), dtype=_RECORD)
-        r["doc_id"], r["start"] = doc, np.arange(len(r)) * LENGTH
-        r["length"] = np.minimum(len(ids) - np.arange(len(r)) * LENGTH, LENGTH)
-        padded = np.zeros(len(r) * LENGTH, dtype="<u2")
-        padded[: len(ids)] = ids
-        r["ids"] = padded.reshape(-1, LENGTH)
-        blocks.append(r)
-    return np.concatenate(blocks)
+    """Records of documents that are encoded one by one."""
+    ids = [np.frombuffer(enc.encode(t), dtype="<u4") for t in texts]
+    return _cut(np.array(docs, dtype=np.int64), np.array([len(x) for x in ids], dtype=np.int64), np.concatenate([np.empty(0, dtype="<u4"), *ids]))
+
+
+def _cut(docs: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Records of documents that have so many ids each, which follow one another."""
+    if int(ids.max(initial=0)) > 0xFFFF:
+        raise ValueError(f"records hold 16-bit ids, the tokenizer gives {int(ids.max())}")
+    n = -(-sizes // LENGTH)
+    r = np.zeros(int(n.sum()), dtype=_RECORD)
+    start = (np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n)) * LENGTH
+    r["doc_id"], r["start"] = np.repeat(docs, n), start
+    r["length"] = np.minimum(np.repeat(sizes, n) - start, LENGTH)
+    r["ids"][np.arange(LENGTH) < r["length"][:, None]] = ids
+    return r
 
 
 def _pack(records: np.ndarray, level: int) -> bytes:
@@ -113,11 +117,15 @@ def write_shards(docs: DataFrame, path: str | None = None, tokenizer: str | None
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, at = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for b in batches:
-            for lo in range(0, b.num_rows, BLOB_ROWS):
-                piece = b.slice(lo, BLOB_ROWS)
-                r = _records(piece.column(0).to_pylist(), (t.as_py() for t in piece.column(1)), enc)
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at], pa.int64()), pa.array([len(r)], pa.int64()), pa.array([_pack(r, 6)], pa.binary())], names=["part", "at", "n", "blob"])
-                at += len(r)
+            docs, done = b.column(0).to_numpy(), 0
+            for sizes, ids in enc.encode_all(b.column(1)):
+                ends = np.cumsum([0, *sizes])
+                for lo in range(0, len(sizes), BLOB_ROWS):
+                    hi = min(lo + BLOB_ROWS, len(sizes))
+                    r = _cut(docs[done + lo : done + hi], sizes[lo:hi], ids[ends[lo] : ends[hi]])
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at], pa.int64()), pa.array([len(r)], pa.int64()), pa.array([_pack(r, 6)], pa.binary())], names=["part", "at", "n", "blob"])
+                    at += len(r)
+                done += len(sizes)
 
     blobs = materialize(texts.mapInArrow(tokenise, "part int, at long, n long, blob binary"), "sequences")
     first, total = {}, 0
@@ -129,6 +137,7 @@ def write_shards(docs: DataFrame, path: str | None = None, tokenizer: str | None
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each shard's records of some blobs as one blob, with their slots before them."""
+        forget()
 
         def flush(held: list):
             slots, records = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -153,6 +162,7 @@ def write_shards(docs: DataFrame, path: str | None = None, tokenizer: str | None
             yield from flush(held)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         places, records = [], []
         for b in batches:
             for p, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

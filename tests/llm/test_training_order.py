@@ -2,10 +2,13 @@ import glob
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
+from causalspark.llm import tokens
 from causalspark.llm import training_order as T
-from causalspark.llm.tokens import default_tokenizer, encoder
+from causalspark.llm.tokens import WordEncoder, default_tokenizer, encoder
 
 
 def test_permutation_is_keyed_and_onto():
@@ -85,3 +88,36 @@ def test_ids_beyond_16_bits_are_refused():
 
     with pytest.raises(ValueError):
         T._records([1], ["x"], Wide())
+
+
+def test_texts_together_have_the_ids_of_each(monkeypatch):
+    plain = "".join(map(chr, [*range(9, 14), *range(32, 127), 0xA1, 0xAB, 0xBB, *range(0xBF, 0x250)]))
+    around = "".join(f"{c}{c}a{c}'{c} '{c}S 5{c}'s{c}!'S 's'T{c}'LL " for c in plain)
+    texts = [None, "", "It's 12 o'clock, they'll SAY!! ___ x_y", plain, around, None, "漢字 и кириллица", " \t\r\n ", "<|endoftext|> a<|b", "İ!!İx '0İ's", "a\x00b", "a\x1cb\x85c d", "word " * 9000, "x" * 30000, "", "½ — ¼"]
+    tk, enc = Tokenizer.from_file(default_tokenizer()), WordEncoder(default_tokenizer())
+    want = [[*tk.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    docs = np.arange(len(texts))
+    for block in (1, 100, 10**9):  # a text by itself, some, all
+        monkeypatch.setattr(tokens, "BLOCK", block)
+        for skip in (0, 3):  # a slice of a column as well
+            blocks = list(enc.encode_all(pa.array(texts, pa.string())[skip:]))
+            sizes, ids = (np.concatenate(x) for x in zip(*blocks, strict=True))
+            assert sizes.tolist() == [len(x) for x in want[skip:]] and ids.tolist() == sum(want[skip:], [])
+            assert (T._cut(docs[skip:], sizes, ids) == T._records(docs[skip:].tolist(), texts[skip:], enc)).all()
+    assert list(enc.encode_all(pa.array([], pa.string()))) == []
+
+
+def test_a_block_looks_its_parts_up_once():
+    asked = []
+
+    class Counted(WordEncoder):
+        def __getitem__(self, part):
+            asked.append(part)
+            return super().__getitem__(part)
+
+        def encode(self, text):
+            raise AssertionError("a text by itself")
+
+    enc = Counted(default_tokenizer())
+    [(sizes, ids)] = enc.encode_all(pa.array(["Alpha beta, gamma. " * 500, "alpha ALPHA beta!"] * 20))
+    assert sorted(asked) == sorted({"", "alpha", "beta", ",", "gamma", ".", "!"}) and len(ids) == sizes.sum()
