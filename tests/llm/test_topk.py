@@ -64,3 +64,63 @@ def test_many_blocks_and_flat_spans(spark, monkeypatch):
         best = sorted({(-max(sum(a * b for a, b in zip(mine, e)) for o, mine in ints if o == q), c) for c, e in ints if c != q})
         want.append((q, best[0][1], -best[0][0]))
     assert {(q, c, s) for q, k, c, s in got if k == 1} == set(want)
+
+
+def _results(spark):
+    """Bytes that the tasks of each stage returned, beside their metrics."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return {s.stageId(): s.resultSize() - 10_000 * s.numTasks() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_driver_gets_the_sample_only(spark, monkeypatch):
+    """Every partition sent as many rows to the driver as the sample has."""
+    import causalspark.llm.topk as module
+
+    monkeypatch.setattr(module, "SAMPLE", 300)
+    few = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16", "spark.sql.files.maxPartitionBytes": "100k", "spark.sql.files.openCostInBytes": "100k"}
+    before = {k: spark.conf.get(k) for k in few}
+    r = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(r.normal(0, 1 / 8, (4000, 32)))], "vec_id long, embedding array<double>")
+    try:
+        for key, value in few.items():
+            spark.conf.set(key, value)
+        v = integer_vectors(df, "vec_id", "embedding")
+        old = _results(spark)
+        found = top_k(v, v.where("vec_id % 50 = 0"), 5)
+        found.write.format("noop").mode("overwrite").save()
+        new = {k: x for k, x in _results(spark).items() if k not in old}
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert max(new.values()) < 300_000  # twice the sample; all 4000 are over a million
+
+
+def test_ids_of_many_vectors_and_least_longs(spark):
+    """Thresholds leave out all vectors of the query's own id; products of least longs do not wrap round."""
+    rows = [(50, [100.0 + i, 0.0]) for i in range(12)] + [(i, [1.0 + i, float(i)]) for i in range(1, 9)] + [(100, [-1e30, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v = integer_vectors(df, "vec_id", "embedding")
+    got = sorted(map(tuple, top_k(v, v.where("vec_id % 50 = 0"), 3).collect()))
+    whole = lambda x: min(max(math.floor(256 * x), -(2**63)), 2**63 - 1)
+    ints = [(i, [whole(x) for x in e]) for i, e in rows]
+    want = []
+    for q in (50, 100):
+        scores = [(-min(max(sum(a * b for a, b in zip(mine, e)), -(2**63)), 2**63 - 1), c) for o, mine in ints if o == q for c, e in ints if c != q]
+        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(sorted(scores)[:3])]
+    assert got == want
+
+
+def test_exact_in_floats_of_any_kind():
+    """Lengths for single and double floats and for none, ties by id, several ids of a vector."""
+    r = np.random.default_rng(5)
+    for size in (2.0, 2e3, 2e8, 2e17):
+        c = np.unique(np.floor(size * r.normal(0, 1, (300, 6))).astype(np.int64), axis=0)
+        ids = [[3 * i] + [1000 + i] * (i % 5 == 0) for i in range(len(c))]
+        basis = choose_pivots(c, 3)
+        table = pivot_rows(c, basis)
+        found, _ = search_block([3 * i for i in range(40)], c[:40], table[:40], [-(2**63)] * 40, ids, c, table, 5)
+        for q in range(40):
+            scores = [(-min(max(sum(int(a) * int(b) for a, b in zip(c[q], c[j])), -(2**63)), 2**63 - 1), i) for j, mine in enumerate(ids) for i in mine if i != 3 * q]
+            assert [(i, s) for o, i, s in found if o == 3 * q] == [(i, -s) for s, i in sorted(scores)[:5]]
