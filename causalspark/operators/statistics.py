@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from ..plans.suffstats import covariance_long
 from ..plans.tables import written
-from .transforms import average_ranks_of, counted
+from .transforms import average_ranks_of, counted, order_statistics
 
 
 def long(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -22,12 +22,27 @@ def long(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "var", "value").where(F.col("value").isNotNull())
 
 
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
+
 def summary(df: DataFrame, cols: list[str]) -> DataFrame:
-    v = "value"
-    return long(df, cols).groupBy("var").agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"),
-        F.percentile(v, F.lit(0.25)).alias("q1"), F.percentile(v, F.lit(0.5)).alias("median"), F.percentile(v, F.lit(0.75)).alias("q3"),
-    )
+    """(var, n, mean, sd, min, max, q1, median, q3) of the values that are not null; quartiles are exact and interpolated, NaN counts as the greatest value.
+
+    Quartiles come from counts of distinct values over range partitions, so that no task holds
+    all distinct values of a column; the driver gets the values at up to six places of each.
+    """
+    sums = {"n": F.count, "mean": F.avg, "sd": F.stddev_samp, "min": F.min, "max": F.max}
+    one = df.select(*[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(cols)]).agg(*[F.struct(*[f(f"x{k}").alias(s) for s, f in sums.items()]).alias(f"a{k}") for k in range(len(cols))]).first()
+    rows = {c: one[k] for k, c in enumerate(cols) if one[k]["n"]}
+    places = {c: {q: (r["n"] - 1) * share for q, share in QUARTILES.items()} for c, r in rows.items()}
+    at = order_statistics(df, list(rows), {c: sorted({f(x) for x in xs.values() for f in (math.floor, math.ceil)}) for c, xs in places.items()}) if rows else {}
+
+    def value(c: str, x: float) -> float:
+        low, high = (at.get((c, f(x)), math.nan) for f in (math.floor, math.ceil))  # places behind all numbers are of NaN
+        return low if low == high else (math.ceil(x) - x) * low + (x - math.floor(x)) * high
+
+    out = [(c, *r, *(value(c, x) for x in places[c].values())) for c, r in rows.items()]
+    return df.sparkSession.createDataFrame(out, ", ".join(["var string", "n long", *[f"{s} double" for s in [*sums, *QUARTILES] if s != "n"]]))
 
 
 def moments(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -137,12 +137,36 @@ def counted(df: DataFrame, col: str, kind: str | None = None) -> tuple[DataFrame
 SENT_RANKS = 1_000_000
 
 
-def counted_columns(df: DataFrame, cols: list[str]) -> dict[str, tuple[DataFrame, int]]:
-    """{column: ((v, n, below) as `counted` gives it, the number of distinct values)}: all columns in one pass, written once."""
+def _ranged_counts(df: DataFrame, cols: list[str]) -> tuple[DataFrame, list[tuple[int, int, int, int]]]:
+    """(k, v, n, p), written once: n rows hold v in the k-th column, p is its range; and (k, p, rows, distinct values) of each range in order."""
     cells = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).cast("double").alias("v")) for k, c in enumerate(cols)])).alias("cell")
     counts = df.select(cells).select("cell.k", "cell.v").where("v is not null and not isnan(v)").groupBy("k", "v").agg(F.count("*").alias("n"))
     ranged = written(counts.repartitionByRange("k", "v").select("k", "v", "n", F.spark_partition_id().alias("p")))
-    sizes = sorted(tuple(r) for r in ranged.groupBy("k", "p").agg(F.sum("n"), F.count("*")).collect())  # partitions and columns
+    return ranged, sorted(tuple(r) for r in ranged.groupBy("k", "p").agg(F.sum("n"), F.count("*")).collect())  # partitions and columns
+
+
+def order_statistics(df: DataFrame, cols: list[str], places: dict[str, list[int]]) -> dict[tuple[str, int], float]:
+    """{(column, place): the value at that place, from 0, of the column's sorted values}; nulls and NaN have no place.
+
+    All columns are counted in one pass; only the ranges of distinct values that hold a place are sorted.
+    """
+    ranged, sizes = _ranged_counts(df, cols)
+    wanted, at = [], dict.fromkeys(range(len(cols)), 0)
+    for k, p, n, _ in sizes:
+        wanted += [(k, p, place - at[k], place) for place in places[cols[k]] if at[k] <= place < at[k] + n]
+        at[k] += n
+    if not wanted:
+        return {}
+    holds = reduce(lambda a, b: a | b, [(F.col("k") == k) & (F.col("p") == p) for k, p in sorted({w[:2] for w in wanted})])
+    below = ranged.where(holds).withColumn("below", F.sum("n").over(W.partitionBy("k", "p").orderBy("v")) - F.col("n"))
+    these = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(p).alias("p"), F.lit(i).cast("long").alias("i"), F.lit(place).cast("long").alias("place")) for k, p, i, place in wanted])
+    inside = F.filter(these, lambda w: (w["k"] == F.col("k")) & (w["p"] == F.col("p")) & (w["i"] >= F.col("below")) & (w["i"] < F.col("below") + F.col("n")))
+    return {(cols[r["k"]], r["place"]): r["v"] for r in below.select("k", F.explode(F.transform(inside, lambda w: w["place"])).alias("place"), "v").collect()}
+
+
+def counted_columns(df: DataFrame, cols: list[str]) -> dict[str, tuple[DataFrame, int]]:
+    """{column: ((v, n, below) as `counted` gives it, the number of distinct values)}: all columns in one pass, written once."""
+    ranged, sizes = _ranged_counts(df, cols)
     offset, distinct, at = {}, dict.fromkeys(range(len(cols)), 0), dict.fromkeys(range(len(cols)), 0)
     for k, p, n, d in sizes:
         offset[k, p] = at[k]

@@ -2,7 +2,9 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from causalspark.functions.special import fdr_cutoff
 from causalspark.operators import marked_tables, models, more_search, statistics, transforms
@@ -79,3 +81,37 @@ def test_members_of_a_class_with_hidden_causes():
         for a, b in combinations(mag.nodes, 2):
             for z in ([], [v for v in mag.nodes if v not in (a, b)][:1], [v for v in mag.nodes if v not in (a, b)]):
                 assert mag.d_separated(a, b, z) == dag.d_separated(a, b, z), (seed, a, b, z)
+
+
+def test_summary_of_odd_columns_equals_percentile(spark):
+    r = np.random.default_rng(11)
+    odd = [None, float("nan"), float("inf"), -float("inf"), -0.0, 0.0, 1e300, -1e-300]
+    rows = [(float(x), float(k % 7), odd[k % 8] if k < 60 else None, int(k % 3), None, float("nan")) for k, x in enumerate(r.normal(size=1001))]
+    df = spark.createDataFrame(rows, "a double, b float, c double, d int, e double, f double").repartition(5)
+    got = {x["var"]: x.asDict() for x in statistics.summary(df, list("abcdef")).collect()}
+    assert sorted(got) == list("abcdf")
+    for c in got:
+        v = F.col(c).cast("double")
+        quartiles = [F.percentile(v, F.lit(p)).alias(q) for q, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))]
+        want = df.where(F.col(c).isNotNull()).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"), *quartiles).first().asDict()
+        assert got[c].pop("var") == c and got[c].pop("n") == want.pop("n")
+        for k, x in want.items():
+            assert np.isclose(got[c][k], x, rtol=1e-12, atol=0, equal_nan=True), (c, k)
+    one = statistics.summary(spark.createDataFrame([(3.0,)], "x double"), ["x"]).first()
+    assert (one["n"], one["sd"], one["q1"], one["median"], one["q3"]) == (1, None, 3.0, 3.0, 3.0)
+    assert statistics.summary(df.limit(0), ["a"]).count() == 0
+
+
+def test_summary_gathers_no_column_in_one_record(spark):
+    """A percentile keeps all distinct values of a column in one state, which one task merges."""
+    df = spark.range(40_000).select((F.xxhash64("id") / 2.0**40).alias("x")).repartition(4)
+
+    def stages():
+        store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        found = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {s.stageId(): s.shuffleReadBytes() / max(s.shuffleReadRecords(), 1) for s in (found.apply(i) for i in range(found.size()))}
+
+    old = stages()
+    assert len(statistics.summary(df, ["x"]).collect()) == 1
+    assert max(size for k, size in stages().items() if k not in old) < 2_000
